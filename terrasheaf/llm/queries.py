@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, mixing, quality, secrets, simhash, tokens, warc
+from . import common, decontaminate, mixing, pii, quality, secrets, simhash, substrings, suffixes, tokens, warc
+
+#: Stands in for a secret that a deployment would hold outside the code.
+PII_KEY = "public demonstration key"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,18 +16,33 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop")
     return judged.select("doc_id", *(F.col(f"quality.{n}").alias(n) for n in names))
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_warc(common.table(spark, sf_dir, "pages"), common.scratch(spark, "warc"))
     index = warc.capture_index(warc.read_captures(spark, path))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", "pii.*")
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.write_token_ids(common.table(spark, sf_dir, "documents"), common.scratch(spark, "ids"))
     return tokens.with_crc32(tokens.read_token_ids(spark, path))
@@ -43,5 +61,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality_rules, op5_warc, op7_token_ids, op8_secrets, op9_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_quality_rules, op4_suffix_arrays, op5_warc, op6_pii, op7_token_ids, op8_secrets, op9_simhash, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
