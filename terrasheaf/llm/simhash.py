@@ -202,3 +202,115 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, d
 def keep_one(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """docs without those that are not their component's smallest doc_id; columns unchanged, null ids stay."""
     return docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), docs[doc_col] == F.col("_gone"), "left_anti")
+
+
+#: For similar texts: chunks end before words whose hash is a multiple of this; each document shows its smallest chunk
+#: fingerprints; blocks of more documents than ALL_PAIRS compare each with the first LEADERS of the block.
+CHUNK_WORDS, SHOWN_CHUNKS, ALL_PAIRS, LEADERS = 8, 16, 256, 32
+#: Bits that whole-text fingerprints of texts of similarity 0.8 differ in at most, but for about one pair in a thousand.
+SIMILAR_BITS = 20
+
+
+def _sketch(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, fp, digest, chunks): whole-text fingerprint and hash of all shingles, and the shown chunk fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            hashes, counts = shingle_hashes(*common.buffers(common.column(batch, "text")), width)
+            ends = np.cumsum(counts)
+            digest = common.range_hashes(common.mixed(hashes), ends - counts, ends) if len(hashes) else np.zeros(len(counts), np.uint64)
+            # cut where a shingle's hash says so: equal stretches of two texts are cut alike
+            head = hashes % np.uint64(CHUNK_WORDS) == 0
+            head[(ends - counts)[counts > 0]] = True
+            begin = np.flatnonzero(head)
+            size = np.diff(np.r_[begin, len(hashes)])
+            chunk = majority_bits(hashes, size) ^ common.mixed(size.astype(np.uint64))
+            owner = np.searchsorted(ends, begin, side="right")
+            order = np.lexsort((common.mixed(chunk), owner))
+            chunk, owner = chunk[order], owner[order]
+            first = np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(chunk)]
+            chunk, owner = chunk[first], owner[first]
+            n = np.bincount(owner, minlength=len(counts))
+            shown = common.ragged(n) < SHOWN_CHUNKS
+            n = np.minimum(n, SHOWN_CHUNKS)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(chunk[shown].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(digest.view(np.int64)), lists], names=["doc", "fp", "digest", "chunks"])
+
+    return docs.mapInArrow(run, "doc long, fp long, digest long, chunks array<long>")
+
+
+def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs may be similar: no pivot coordinate apart by more than bits, nor the fingerprints themselves."""
+    near = np.abs(table[i].astype(np.int16) - table[j]).max(axis=1, initial=0) <= bits
+    out = np.zeros(len(i), bool)
+    out[near] = np.bitwise_count(fp[i[near]] ^ fp[j[near]]) <= bits
+    return out
+
+
+def _candidates(sketch: DataFrame, bits: int) -> DataFrame:
+    """(a, b), a < b: documents that show a common chunk and whose fingerprints are close."""
+    n = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sketch.select(F.explode("chunks").alias("chunk"), "doc", "fp").repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
+
+    def pairs(chunk: np.ndarray, doc: np.ndarray, fp: np.ndarray, lead: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+        """Blocks come in document order, so leaders are the smallest; lead carries those of a block cut by a batch."""
+        m = 0
+        if lead is not None and lead[0] == chunk[0]:
+            m = len(lead[1])
+            chunk, doc, fp = np.r_[np.full(m, chunk[0]), chunk], np.r_[lead[1], doc], np.r_[lead[2], fp]
+        code = fp.view(np.uint64)
+        table = np.bitwise_count(code[:, None] ^ PIVOTS[None, :])
+        start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        size = np.diff(np.r_[start, len(chunk)])
+        block = np.repeat(np.arange(len(start)), size)
+        place = common.ragged(size)
+        reach = np.where(size[block] <= ALL_PAIRS, place, np.minimum(place, LEADERS))
+        found = [np.zeros((2, 0), np.int64)]
+        for k in range(int(reach.max(initial=0))):
+            j = np.flatnonzero((reach > k) & (np.arange(len(doc)) >= m))
+            i = start[block[j]] + k
+            good = _close(code, table, i, j, bits)
+            found.append(np.stack([doc[i[good]], doc[j[good]]]))
+        a, b = np.concatenate(found, axis=1)
+        last = slice(start[-1], start[-1] + LEADERS)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]), (chunk[-1], doc[last], fp[last])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
+        for batch in batches:
+            if batch.num_rows:
+                out, lead = pairs(*(common.column(batch, c).to_numpy() for c in ("chunk", "doc", "fp")), lead)
+                yield out
+
+    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            hashes, counts = shingle_hashes(*common.buffers(common.column(batch, "text")), width)
+            ends = np.r_[0, np.cumsum(counts)]
+            sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+
+    return docs.mapInArrow(run, "doc long, shingles array<long>")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = SIMILAR_BITS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that share a component with others: texts whose sets of `width`-word
+    shingles have a Jaccard similarity of at least `similarity`, found by SimHash and verified on the shingles.
+
+    Equal shingle sequences are one from the start. Texts without words are left out, as are null ids. Two similar
+    texts of very large blocks are joined through the block's leaders. Empty table: empty result."""
+    ids = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
+    sketch = common.written(_sketch(ids, width), "sketch")
+    classes = common.written(sketch.filter(F.size("chunks") > 0).groupBy("digest", "fp").agg(F.min("doc").alias("rep"), F.first("chunks").alias("chunks")), "classes")
+    pairs = common.written(_candidates(classes.select(F.col("rep").alias("doc"), "fp", "chunks"), bits), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    sets = common.written(_shingle_sets(ids.join(wanted, "doc").dropDuplicates(["doc"]), width), "sets")
+    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s")), "a")
+    both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t")), "b").withColumn("_n", F.size(F.array_intersect("s", "t")))
+    edges = both.filter(F.col("_n") >= similarity * (F.size("s") + F.size("t") - F.col("_n"))).select("a", "b")
+    roots_ = components(edges)
+    named = classes.join(roots_, F.col("rep") == F.col("node"), "left").select("digest", "fp", F.coalesce("root", "rep").alias("component_id"))
+    return sketch.join(named, ["digest", "fp"]).select(F.col("doc").alias("doc_id"), "component_id")
