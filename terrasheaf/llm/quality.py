@@ -49,7 +49,7 @@ def _total(values: Column) -> Column:
 def _repeated(words: Column, width: int = 8) -> Column:
     """Words in windows of `width` words that occur twice or more among the words, first occurrence included.
 
-    Window hashes without a duplicate end it; else equal hashes become neighbours by sorting (hash, place)."""
+    Windows are read element by element: slice() would copy the whole array for each of them. Window hashes without a duplicate end it; else equal hashes become neighbours by sorting (hash, place)."""
 
     def covered(pairs: Column) -> Column:
         twin = F.filter(pairs, lambda x, j: F.coalesce(F.get(pairs, j + 1)["h"] == x["h"], F.lit(False)) | F.when(j > 0, F.get(pairs, j - 1)["h"] == x["h"]).otherwise(False))
@@ -61,7 +61,7 @@ def _repeated(words: Column, width: int = 8) -> Column:
     def by_hash(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered))
 
-    windows = let(F.transform(words, lambda w: F.xxhash64(w)), lambda wh: F.transform(F.sequence(F.lit(1), F.size(wh) - (width - 1)), lambda i: F.xxhash64(F.slice(wh, i, width))))
+    windows = let(F.transform(words, lambda w: F.xxhash64(w)), lambda wh: F.transform(F.sequence(F.lit(0), F.size(wh) - width), lambda i: F.xxhash64(*(F.get(wh, i + k) for k in range(width)))))
     return F.when(F.size(words) <= width, 0).otherwise(let(windows, by_hash))
 
 
