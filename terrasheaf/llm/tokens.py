@@ -45,7 +45,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         steps = [spec["pre_tokenizer"], *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_word = any(s and s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in str(s.get("pattern")) for s in steps)
+        self.by_word = any(s and s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.forget()
 
@@ -54,15 +54,22 @@ class WordEncoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.begin, self.count, self.used = [], [], 0
 
-    def learn(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            got = e.ids
+    def learn(self, words: list[bytes], together: int = 1000) -> None:
+        """Encodes words in lines of many; each id goes to the word in which its text starts."""
+        lines = [[w.decode() for w in words[k : k + together]] for k in range(0, len(words), together)]
+        for k, (line, e) in enumerate(zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True)):
+            sizes = np.fromiter(map(len, line), np.int64, len(line))
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            count = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(line))
+            got = np.array(e.ids, np.int32)
             if self.used + len(got) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got)), np.int32)])
             self.ids[self.used : self.used + len(got)] = got
-            self.place[word] = len(self.begin)
-            self.begin.append(self.used)
-            self.count.append(len(got))
+            n = len(self.begin)
+            self.place.update(zip(words[k * together : k * together + len(line)], range(n, n + len(line)), strict=True))
+            self.begin += (self.used + np.cumsum(count) - count).tolist()
+            self.count += count.tolist()
             self.used += len(got)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
