@@ -6,23 +6,26 @@ parallel. A row carries its place within the file; the place in the whole corpus
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 END_ID = 1
-#: Distinct words whose ids a task remembers; full, it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a Python worker remembers; above it, it starts anew. Bytes of text looked up together.
+CACHE_WORDS, LOOKUP_BYTES = 1_500_000, 8 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "compression": "zstd"}
 
-_SPACE = np.zeros(256, bool)
-_SPACE[list(common.SPACES)] = True
+#: The rules of word_bpe_49k.json, which let words be encoded one by one.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_vocabulary() -> str:
@@ -34,8 +37,9 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once.
 
-    The vocabulary's rules drop white space and never join what it separates, so a text's ids are its words' ids in
-    order. Texts with one of the vocabulary's special tokens are encoded whole, as are all if the rules are others."""
+    The vocabulary's rules drop white space, never join what it separates, always split a letter from a mark after it,
+    and lower the case. So a text's ids are its words' ids in order, with marks cut off and ASCII words lowered first.
+    Texts with one of the vocabulary's special tokens are encoded whole, as are all if the rules are others."""
 
     def __init__(self, path: str):
         import json
@@ -44,73 +48,79 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        steps = [spec["pre_tokenizer"], *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_word = any(s and s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [s["pattern"].get("Regex") for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+        self.by_word = normal == NORMALIZERS and splits == [SPLIT_RULE]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.begin, self.count, self.used = [], [], 0
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, np.int32)
+        self.begin = self.count = np.zeros(0, np.int64)
 
-    def learn(self, words: list[bytes], together: int = 1000) -> None:
+    def learn(self, words: pa.Array, together: int = 200) -> None:
         """Encodes words in lines of many; each id goes to the word in which its text starts."""
-        lines = [[w.decode() for w in words[k : k + together]] for k in range(0, len(words), together)]
-        for k, (line, e) in enumerate(zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True)):
+        texts = words.to_pylist()
+        lines = [texts[k : k + together] for k in range(0, len(texts), together)]
+        ids, counts = [self.ids], []
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             sizes = np.fromiter(map(len, line), np.int64, len(line))
             starts = np.cumsum(sizes + 1) - sizes - 1
             at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            count = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(line))
-            got = np.array(e.ids, np.int32)
-            if self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(got)), np.int32)])
-            self.ids[self.used : self.used + len(got)] = got
-            n = len(self.begin)
-            self.place.update(zip(words[k * together : k * together + len(line)], range(n, n + len(line)), strict=True))
-            self.begin += (self.used + np.cumsum(count) - count).tolist()
-            self.count += count.tolist()
-            self.used += len(got)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text)."""
-        raw = data.tobytes()
-        if not self.by_word or any(s in raw for s in self.special):
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            counts.append(np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(line)))
+            ids.append(np.array(e.ids, np.int32))
+        count = np.concatenate(counts)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate(ids)
+        self.words = pa.concat_arrays([self.words, words])
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text); null is empty."""
+        text = pc.fill_null(text.cast(pa.string()), "")
+        if not self.by_word or any(pc.any(pc.match_substring(text, s)).as_py() for s in self.special):
+            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(text.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
-        if len(self.place) > CACHE_WORDS:
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(text, r"([A-Za-z])([.,;:!?])", r"\1 \2"))
+        words = lists.flatten().dictionary_encode()
+        own = words.dictionary
+        own = pc.if_else(pc.string_is_ascii(own), pc.ascii_lower(own), own)
+        if len(self.words) > CACHE_WORDS:
             self.forget()
-        words: list[bytes] = []
-        n = np.zeros(len(offsets) - 1, np.int64)
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            own = raw[a:b].split()
-            n[k] = len(own)
-            words += own
-        if new := list({w for w in words if w not in self.place}):
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        begin, count = np.array(self.begin, np.int64), np.array(self.count, np.int64)
-        counts = count[at]
-        ids = self.ids[np.repeat(begin[at], counts) + common.ragged(counts)] if len(at) else np.zeros(0, np.int32)
+        place = pc.index_in(own, self.words)
+        if place.null_count:
+            self.learn(own.filter(pc.is_null(place)).unique())
+            place = pc.index_in(own, self.words)
+        at = place.to_numpy()[words.indices.to_numpy()]
+        counts = self.count[at]
+        ids = self.ids[np.repeat(self.begin[at], counts) + common.ragged(counts)]
         ends = np.r_[0, np.cumsum(counts)]
-        doc = np.r_[0, np.cumsum(n)]
+        doc = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return ids, ends[doc[1:]] - ends[doc[:-1]]
 
 
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that words learned by one serve the next."""
+    return WordEncoder(path)
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """docs (doc_id, text) as (shard, doc_id, shard_start, n_tokens, ids), in ascending doc_id order over partitions.
 
-    Null text: no ids but the end id. Null doc_id: first. Equal doc_ids: by text."""
+    Without a number of partitions, adaptive execution joins small ones; they stay in order. Null text: no ids but the
+    end id. Null doc_id: first. Equal doc_ids: by text."""
     path = vocabulary or default_vocabulary()
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id", F.length("text")).sortWithinPartitions("doc_id", "text")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    by = ("doc_id", F.length("text"))
+    dealt = (base.repartitionByRange(partitions, *by) if partitions else base.repartitionByRange(*by)).sortWithinPartitions("doc_id", "text")
     dealt = dealt.withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = WordEncoder(path), 0
-        for batch in common.slices(batches, "text"):
-            ids, counts = encoder.encode(*common.buffers(common.column(batch, "text")))
+        encoder, start = shared_encoder(path), 0
+        for batch in common.slices(batches, "text", LOOKUP_BYTES):
+            ids, counts = encoder.encode(common.column(batch, "text"))
             ends = np.cumsum(counts + 1)
             full = np.full(ends[-1], end_id, np.int32)
             inner = np.ones(ends[-1], bool)
