@@ -20,7 +20,7 @@ from . import common
 
 END_ID = 1
 #: Distinct words whose ids a Python worker remembers; above it, it starts anew. Bytes of text looked up together.
-CACHE_WORDS, LOOKUP_BYTES = 1_500_000, 8 << 20
+CACHE_WORDS, LOOKUP_BYTES = 1_000_000, 8 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "compression": "zstd"}
 
 #: The rules of word_bpe_49k.json, which let words be encoded one by one.
