@@ -100,7 +100,12 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str
     """
     if result_col.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"docs already has a column {result_col}")
-    m = F.col(result_col)
+    return docs.withColumn(result_col, let(text_metrics(F.col(text_col)), lambda m: _judged(m, rules)))
+
+
+def _judged(m: Column, rules: Sequence[Rule]) -> Column:
+    """The struct of METRICS of a text's counts. All is one expression over bound values: a filter on `kept` that the
+    optimizer moves below the projection evaluates it once, not once for each field it reads."""
     n = m["w"]["n_words"]
     long = lambda x: x.cast("long")
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
@@ -109,10 +114,12 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str
         "mean_word_length": ratio(m["w"]["word_chars"], n), "symbol_ratio": ratio(m["n_symbols"], n), "stop_ratio": ratio(m["w"]["n_stop"], n), "dup_line_ratio": ratio(m["l"]["n_dup_lines"], m["l"]["n_lines"]),
         "base_failed": (n < 20) | (100 * long(m["w"]["n_repeat_words"]) > 30 * long(n)),
     }
-    judged = let(F.struct(*(v.alias(k) for k, v in values.items())), lambda s: F.struct(*(s[k].alias(k) for k in values), _broken(s, rules).alias("failed_rules")))
-    out = docs.withColumn(result_col, text_metrics(F.col(text_col))).withColumn(result_col, judged)
-    q = F.col(result_col)
-    return out.withColumn(result_col, q.withField("kept", ~q["base_failed"] & (F.size(q["failed_rules"]) == 0)))
+
+    def verdict(s: Column) -> Column:
+        fields = [s[k].alias(k) for k in values]
+        return let(_broken(s, rules), lambda broken: F.struct(*fields, broken.alias("failed_rules"), (~s["base_failed"] & (F.size(broken) == 0)).alias("kept")))
+
+    return let(F.struct(*(v.alias(k) for k, v in values.items())), verdict)
 
 
 def _broken(s: Column, rules: Sequence[Rule]) -> Column:
