@@ -32,7 +32,7 @@ def document_sizes(docs: DataFrame, text_col: str, size_col: str) -> DataFrame:
             first = common.word_bounds(*common.buffers(common.column(batch, text_col)))[2]
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in keep), pa.array(np.diff(first), pa.int64())], names=[*keep, size_col])
 
-    return docs.select(*keep, text_col).mapInArrow(count, kind)
+    return docs.select(*keep, text_col).mapInArrow(common.tidy(count), kind)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:

@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text_col: str = "text", result
             fp = majority_bits(*shingle_hashes(*common.buffers(common.column(batch, text_col)), width))
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, result_col])
 
-    return docs.select(*keep, text_col).mapInArrow(run, kind)
+    return docs.select(*keep, text_col).mapInArrow(common.tidy(run), kind)
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if held:
             yield solve(*held[0])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(common.tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -236,7 +236,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(chunk[shown].view(np.int64)))
             yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(digest.view(np.int64)), lists], names=["doc", "fp", "digest", "chunks"])
 
-    return docs.mapInArrow(run, "doc long, fp long, digest long, chunks array<long>")
+    return docs.mapInArrow(common.tidy(run), "doc long, fp long, digest long, chunks array<long>")
 
 
 def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
@@ -282,7 +282,7 @@ def _candidates(sketch: DataFrame, bits: int) -> DataFrame:
                 out, lead = pairs(*(common.column(batch, c).to_numpy() for c in ("chunk", "doc", "fp")), lead)
                 yield out
 
-    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return rows.mapInArrow(common.tidy(run), "a long, b long").filter("a <> b").distinct()
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -293,7 +293,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, shingles array<long>")
+    return docs.mapInArrow(common.tidy(run), "doc long, shingles array<long>")
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = SIMILAR_BITS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:

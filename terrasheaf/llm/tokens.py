@@ -130,7 +130,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
             yield pa.RecordBatch.from_arrays([common.column(batch, "shard"), common.column(batch, "doc_id"), pa.array(start + ends - counts - 1), pa.array(counts + 1), lists], names=["shard", "doc_id", "shard_start", "n_tokens", "ids"])
             start += int(ends[-1])
 
-    return dealt.mapInArrow(run, "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>")
+    return dealt.mapInArrow(common.tidy(run), "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>")
 
 
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, doc_col: str = "doc_id", text_col: str = "text") -> str:
@@ -160,7 +160,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
