@@ -204,113 +204,158 @@ def keep_one(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id") -> Data
     return docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), docs[doc_col] == F.col("_gone"), "left_anti")
 
 
-#: For similar texts: chunks end before words whose hash is a multiple of this; each document shows its smallest chunk
-#: fingerprints; blocks of more documents than ALL_PAIRS compare each with the first LEADERS of the block.
-CHUNK_WORDS, SHOWN_CHUNKS, ALL_PAIRS, LEADERS = 8, 16, 256, 32
-#: Bits that whole-text fingerprints of texts of similarity 0.8 differ in at most, but for about one pair in a thousand.
-SIMILAR_BITS = 20
+#: For similar texts: one document in SAMPLE is counted for the shingles that stand last in the common order, which are
+#: those in COMMON_COUNT sampled documents at least (COMMON_ROWS at most). Blocks are first thinned by STAR_ROUNDS
+#: rounds of one leader each; what these leave open is compared whole, in tiles of TILE_ROWS. None of them cuts results.
+SAMPLE, COMMON_COUNT, COMMON_ROWS = 16, 4, 1 << 18
+STAR_ROUNDS, TILE_ROWS = 2, 1024
 
 
-def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, fp, digest, chunks): whole-text fingerprint and hash of all shingles, and the shown chunk fingerprints."""
+def _distinct(hashes: np.ndarray, counts: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct shingles, by rank and hash, and their number."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner)) if rank is None else np.lexsort((hashes, rank, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.r_[True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])][: len(hashes)]
+    return hashes[first], np.bincount(owner[first], minlength=len(counts))
+
+
+def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that many documents of a sample hold, rarest first. They set the order alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            hashes, counts = shingle_hashes(*common.buffers(common.column(batch, "text")), width)
-            ends = np.cumsum(counts)
-            digest = common.range_hashes(common.mixed(hashes), ends - counts, ends) if len(hashes) else np.zeros(len(counts), np.uint64)
-            # cut where a shingle's hash says so: equal stretches of two texts are cut alike
-            head = hashes % np.uint64(CHUNK_WORDS) == 0
-            head[(ends - counts)[counts > 0]] = True
-            begin = np.flatnonzero(head)
-            size = np.diff(np.r_[begin, len(hashes)])
-            chunk = majority_bits(hashes, size) ^ common.mixed(size.astype(np.uint64))
-            owner = np.searchsorted(ends, begin, side="right")
-            order = np.lexsort((common.mixed(chunk), owner))
-            chunk, owner = chunk[order], owner[order]
-            first = np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(chunk)]
-            chunk, owner = chunk[first], owner[first]
-            n = np.bincount(owner, minlength=len(counts))
-            shown = common.ragged(n) < SHOWN_CHUNKS
-            n = np.minimum(n, SHOWN_CHUNKS)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(chunk[shown].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(majority_bits(hashes, counts).view(np.int64)), pa.array(digest.view(np.int64)), lists], names=["doc", "fp", "digest", "chunks"])
-
-    return docs.mapInArrow(common.tidy(run), "doc long, fp long, digest long, chunks array<long>")
-
-
-def _close(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs may be similar: no pivot coordinate apart by more than bits, nor the fingerprints themselves."""
-    near = np.abs(table[i].astype(np.int16) - table[j]).max(axis=1, initial=0) <= bits
-    out = np.zeros(len(i), bool)
-    out[near] = np.bitwise_count(fp[i[near]] ^ fp[j[near]]) <= bits
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(_distinct(*shingle_hashes(*common.buffers(common.column(batch, "text")), width))[0].view(np.int64))], names=["shingle"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(common.tidy(run), "shingle long")
+    top = sample.groupBy("shingle").count().filter(F.col("count") >= COMMON_COUNT).orderBy(F.desc("count"), "shingle").limit(COMMON_ROWS).toArrow()
+    return top["shingle"].to_numpy()[::-1].view(np.uint64)
 
 
-def _candidates(sketch: DataFrame, bits: int) -> DataFrame:
-    """(a, b), a < b: documents that show a common chunk and whose fingerprints are close."""
-    n = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sketch.select(F.explode("chunks").alias("chunk"), "doc", "fp").repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
-
-    def pairs(chunk: np.ndarray, doc: np.ndarray, fp: np.ndarray, lead: tuple | None) -> tuple[pa.RecordBatch, tuple]:
-        """Blocks come in document order, so leaders are the smallest; lead carries those of a block cut by a batch."""
-        m = 0
-        if lead is not None and lead[0] == chunk[0]:
-            m = len(lead[1])
-            chunk, doc, fp = np.r_[np.full(m, chunk[0]), chunk], np.r_[lead[1], doc], np.r_[lead[2], fp]
-        code = fp.view(np.uint64)
-        table = np.bitwise_count(code[:, None] ^ PIVOTS[None, :])
-        start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        size = np.diff(np.r_[start, len(chunk)])
-        block = np.repeat(np.arange(len(start)), size)
-        place = common.ragged(size)
-        reach = np.where(size[block] <= ALL_PAIRS, place, np.minimum(place, LEADERS))
-        found = [np.zeros((2, 0), np.int64)]
-        for k in range(int(reach.max(initial=0))):
-            j = np.flatnonzero((reach > k) & (np.arange(len(doc)) >= m))
-            i = start[block[j]] + k
-            good = _close(code, table, i, j, bits)
-            found.append(np.stack([doc[i[good]], doc[j[good]]]))
-        a, b = np.concatenate(found, axis=1)
-        last = slice(start[-1], start[-1] + LEADERS)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]), (chunk[-1], doc[last], fp[last])
+def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """(doc, digest, bits, n, keys): digest, parity bits and size of each set of shingles, and the prefix of it, in the
+    common order, that it shares a member of with every set of that similarity."""
+    place = np.argsort(last)
+    shared = docs.sparkSession.sparkContext.broadcast((last[place], place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None
+        known, ranks = shared.value
+        for batch in common.slices(batches, "text"):
+            hashes, counts = shingle_hashes(*common.buffers(common.column(batch, "text")), width)
+            rank = np.zeros(len(hashes), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                rank = np.where(known[at] == hashes, ranks[at] + 1, 0)
+            hashes, n = _distinct(hashes, counts, rank)
+            ends = np.cumsum(n)
+            digest, bits, some = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), n > 0
+            if len(hashes):
+                digest = common.range_hashes(common.mixed(hashes), ends - n, ends)
+                bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), (ends - n)[some])
+            take = np.where(some, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            keys = hashes[common.ragged(n) < np.repeat(take, n)].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(digest.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(n, pa.int64()), lists], names=["doc", "digest", "bits", "n", "keys"])
+
+    return docs.mapInArrow(common.tidy(run), "doc long, digest long, bits long, n long, keys array<long>")
+
+
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, doc, n, bits, place): the rows of each key that two documents show at least."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.select("doc", "n", "bits", F.posexplode("keys").alias("place", "key")).select("key", "doc", "n", "bits", "place")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, linked = None, False  # the last row, whose block may go on, and whether it has met another
         for batch in batches:
-            if batch.num_rows:
-                out, lead = pairs(*(common.column(batch, c).to_numpy() for c in ("chunk", "doc", "fp")), lead)
-                yield out
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            key = common.column(table, "key").to_numpy()
+            same = key[1:] == key[:-1]
+            keep = np.r_[linked, same] | np.r_[same, False]
+            held, linked = table.slice(table.num_rows - 1), bool(keep[-1])
+            yield table.slice(0, table.num_rows - 1).filter(pa.array(keep[:-1]))
+        if linked:
+            yield held
 
-    return rows.mapInArrow(common.tidy(run), "a long, b long").filter("a <> b").distinct()
+    return rows.mapInArrow(common.tidy(run), rows.schema)
+
+
+def _may(a: str, b: str, similarity: float) -> str:
+    """Whether rows a and b of a key can be of sets that similar: by sizes, places of the key, and parity bits, each
+    bit in which they differ being a member of one set alone. Bounds only: no similar pair is refused."""
+    need = f"({similarity / (1 + similarity)!r}D * ({a}.n + {b}.n) - 1e-6D)"
+    return (
+        f"least({a}.n, {b}.n) >= {similarity!r}D * greatest({a}.n, {b}.n) - 1e-6D"
+        f" and least({a}.place, {b}.place) + least({a}.n - {a}.place, {b}.n - {b}.place) >= {need}"
+        f" and bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {need}"
+    )
+
+
+_PAIR = ("least(x.doc, y.doc) as a", "greatest(x.doc, y.doc) as b")
+
+
+def _star_pairs(blocks: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b): in each block of several components, its leader of this turn with the members of other components."""
+    row = F.struct("doc", "n", "bits", "place", "root")
+    lead = blocks.groupBy("key").agg(F.min_by(row, F.xxhash64(F.lit(turn), "doc")).alias("x"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("key", "x")
+    return blocks.select("key", row.alias("y")).join(lead, "key").filter(f"x.root <> y.root and {_may('x', 'y', similarity)}").selectExpr(*_PAIR).distinct()
+
+
+def _open_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a block that no component joins yet. One side leaves out the block's largest component."""
+    sizes = blocks.groupBy("key", "root").count()
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("_rows"), F.count("*").alias("_roots")).filter("_roots > 1")
+    main = main.select("key", "main", F.ceil(F.col("_rows") / TILE_ROWS).alias("tiles"))
+    rows = blocks.join(main, "key")
+    row = F.struct("doc", "n", "bits", "place", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    left = rows.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), row.alias("x"))
+    right = rows.select("key", F.pmod(F.xxhash64("doc"), F.col("tiles")).alias("tile"), row.alias("y"))
+    return left.join(right, ["key", "tile"]).filter(f"x.root <> y.root and (y.in_main or x.doc < y.doc) and {_may('x', 'y', similarity)}").selectExpr(*_PAIR).distinct()
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            hashes, counts = shingle_hashes(*common.buffers(common.column(batch, "text")), width)
-            ends = np.r_[0, np.cumsum(counts)]
-            sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+            hashes, n = _distinct(*shingle_hashes(*common.buffers(common.column(batch, "text")), width))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), lists], names=["doc", "shingles"])
 
     return docs.mapInArrow(common.tidy(run), "doc long, shingles array<long>")
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = SIMILAR_BITS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that share a component with others: texts whose sets of `width`-word
-    shingles have a Jaccard similarity of at least `similarity`, found by SimHash and verified on the shingles.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t")), "b")
+    both = left.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s")), "a").withColumn("_n", F.size(F.array_intersect("s", "t")))
+    return both.filter(F.col("_n") >= similarity * (F.size("s") + F.size("t") - F.col("_n")) - 1e-9).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that have words: component_id is the smallest doc_id of the texts that
+    chains of pairs connect whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`.
 
-    Equal shingle sequences are one from the start. Texts without words are left out, as are null ids. Two similar
-    texts of very large blocks are joined through the block's leaders. Empty table: empty result."""
+    Exact up to equal 64-bit hashes: similar sets share a member of their prefixes in any common order, here rare
+    shingles first; every pair of a shared key is verified unless bounds refuse it or a component joins it already.
+    Equal sets are one from the start. Texts without words are left out, as are null ids. Empty table: empty result."""
     ids = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
-    sketch = common.written(_sketch(ids, width), "sketch")
-    classes = common.written(sketch.filter(F.size("chunks") > 0).groupBy("digest", "fp").agg(F.min("doc").alias("rep"), F.first("chunks").alias("chunks")), "classes")
-    pairs = common.written(_candidates(classes.select(F.col("rep").alias("doc"), "fp", "chunks"), bits), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = common.written(_shingle_sets(ids.join(wanted, "doc").dropDuplicates(["doc"]), width), "sets")
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t")), "b").withColumn("_n", F.size(F.array_intersect("s", "t")))
-    edges = both.filter(F.col("_n") >= similarity * (F.size("s") + F.size("t") - F.col("_n"))).select("a", "b")
-    roots_ = components(edges)
-    named = classes.join(roots_, F.col("rep") == F.col("node"), "left").select("digest", "fp", F.coalesce("root", "rep").alias("component_id"))
-    return sketch.join(named, ["digest", "fp"]).select(F.col("doc").alias("doc_id"), "component_id")
+    sketch = common.written(_sketch(ids, width, similarity, _common_shingles(ids, width)), "sketch")
+    classes = sketch.filter("n > 0").groupBy("digest", "bits", "n").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
+    classes = common.written(classes, "classes")
+    shared = common.written(_shared_keys(classes), "shared")
+    sets = common.written(_shingle_sets(ids.join(shared.select("doc").distinct(), "doc").dropDuplicates(["doc"]), width), "sets")
+    edges, roots_ = None, None
+    for turn in range(STAR_ROUNDS + 1):
+        blocks = shared.withColumn("root", F.col("doc"))
+        if roots_ is not None:
+            blocks = shared.join(roots_, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "bits", "place", F.coalesce("root", "doc").alias("root"))
+        pairs = common.written(_star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity), "pairs")
+        found = common.written(_verified(pairs, sets, similarity), "edges")
+        if found.take(1):
+            edges = found if edges is None else edges.unionByName(found)
+            roots_ = common.written(components(edges), "roots")
+    named = classes.select("digest", "bits", "n", F.col("doc").alias("component_id"))
+    if roots_ is not None:
+        named = classes.join(roots_, F.col("doc") == F.col("node"), "left").select("digest", "bits", "n", F.coalesce("root", "doc").alias("component_id"))
+    return sketch.join(named, ["digest", "bits", "n"]).select(F.col("doc").alias("doc_id"), "component_id")
