@@ -209,6 +209,8 @@ def keep_one(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id") -> Data
 #: rounds of one leader each; what these leave open is compared whole, in tiles of TILE_ROWS. None of them cuts results.
 SAMPLE, COMMON_COUNT, COMMON_ROWS = 16, 4, 1 << 18
 STAR_ROUNDS, TILE_ROWS = 2, 1024
+#: So many pairs are broadcast, so that texts need not be dealt out by id.
+BROADCAST_PAIRS = 400_000
 
 
 def _distinct(hashes: np.ndarray, counts: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -316,20 +318,40 @@ def _open_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
     return left.join(right, ["key", "tile"]).filter(f"x.root <> y.root and (y.in_main or x.doc < y.doc) and {_may('x', 'y', similarity)}").selectExpr(*_PAIR).distinct()
 
 
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Texts travel, which pack better than hashes; a repeated id counts with
+    any of its texts."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = pairs.select(F.col("a").alias("doc"), "a", "b").unionByName(pairs.select(F.col("b").alias("doc"), "a", "b"))
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    rows = docs.join(F.broadcast(sides) if few else sides, "doc").select("a", "b", "doc", "text")
+    rows = rows.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "doc")
+
+    def similar(pair: tuple[int, int], held: list) -> bool:
+        for s in (x for doc, x in held if doc == pair[0]):
+            for t in (x for doc, x in held if doc == pair[1]):
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= similarity * (len(s) + len(t) - both) - 1e-9:
+                    return True
+        return False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []  # the rows of the last pair, which may go on in the next slice
         for batch in common.slices(batches, "text"):
             hashes, n = _distinct(*shingle_hashes(*common.buffers(common.column(batch, "text")), width))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), lists], names=["doc", "shingles"])
-
-    return docs.mapInArrow(common.tidy(run), "doc long, shingles array<long>")
-
+            ends, good = np.cumsum(n).tolist(), []
+            for k, (a, b, doc) in enumerate(zip(*(common.column(batch, c).to_pylist() for c in ("a", "b", "doc")), strict=True)):
+                if pair != (a, b):
+                    if held and similar(pair, held):
+                        good.append(pair)
+                    pair, held = (a, b), []
+                held.append((doc, hashes[(ends[k - 1] if k else 0) : ends[k]]))
+            held = [(doc, x.copy()) for doc, x in held]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if held and similar(pair, held):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in pair], names=["a", "b"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    left = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t")), "b")
-    both = left.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s")), "a").withColumn("_n", F.size(F.array_intersect("s", "t")))
-    return both.filter(F.col("_n") >= similarity * (F.size("s") + F.size("t") - F.col("_n")) - 1e-9).select("a", "b")
+    return rows.mapInArrow(common.tidy(run), "a long, b long")
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,14 +366,15 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     classes = sketch.filter("n > 0").groupBy("digest", "bits", "n").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
     classes = common.written(classes, "classes")
     shared = common.written(_shared_keys(classes), "shared")
-    sets = common.written(_shingle_sets(ids.join(shared.select("doc").distinct(), "doc").dropDuplicates(["doc"]), width), "sets")
-    edges, roots_ = None, None
+    seen, edges, roots_ = None, None, None
     for turn in range(STAR_ROUNDS + 1):
         blocks = shared.withColumn("root", F.col("doc"))
         if roots_ is not None:
             blocks = shared.join(roots_, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "bits", "place", F.coalesce("root", "doc").alias("root"))
-        pairs = common.written(_star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity), "pairs")
-        found = common.written(_verified(pairs, sets, similarity), "edges")
+        pairs = _star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity)
+        pairs = common.written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        found = common.written(_verified(pairs, ids, width, similarity), "edges")
         if found.take(1):
             edges = found if edges is None else edges.unionByName(found)
             roots_ = common.written(components(edges), "roots")
