@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -132,14 +132,22 @@ def _block_rounder(seed: int, last: bool):
     return run
 
 
+def _row_key(doc_col: str, source_col: str, text_col: str, key_col: str | None) -> Column:
+    """What rows are rounded by: key_col, else the id, else a hash of text and source."""
+    if key_col:
+        return F.col(key_col).cast("long")
+    return F.coalesce(F.col(doc_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"), F.col(source_col).cast("string")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, doc_col: str = "doc_id", source_col: str = "source", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every document.
 
-    Null source: a source of its own, last. Null or empty text: size 0, no copies. Repeated or null doc_id: each row
-    is rounded by itself only if key_col names a column that tells rows apart; otherwise equal ids share their fate.
+    Null source: a source of its own, last. Null or empty text: size 0, no copies. Repeated doc_id: each row is rounded
+    by itself only if key_col names a column that tells rows apart; otherwise equal ids share their fate. Null doc_id:
+    told apart by text and source, so that only equal rows share it.
     Empty table: empty result. Reruns agree: chance comes from the key and the seed alone.
     """
-    key = F.col(key_col).cast("long") if key_col else F.coalesce(F.col(doc_col).cast("long"), F.lit(-(2**62)))
+    key = _row_key(doc_col, source_col, text_col, key_col)
     base = docs.select(F.col(doc_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     sizes = common.written(document_sizes(base, "text", "size"), "sizes")
     targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "_s")
@@ -158,9 +166,9 @@ def _few(targets: DataFrame, limit: int = 100_000) -> bool:
     return targets.limit(limit + 1).count() <= limit
 
 
-def take(docs: DataFrame, mixed: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns unchanged."""
-    name = common.free_name(docs, "_copies")
-    plan = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max("copies").alias(name))
-    joined = docs.join(plan, docs[doc_col] == plan["_mixed_id"], "inner").drop("_mixed_id")
+def take(docs: DataFrame, mixed: DataFrame, doc_col: str = "doc_id", source_col: str = "source", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """The rows of docs, null ids too, each as often as the mix takes it; columns unchanged. Names as given to mix()."""
+    name, key = common.free_name(docs, "_copies"), common.free_name(docs, "_mixed_key")
+    plan = mixed.filter("copies > 0").groupBy(F.col("key").alias(key)).agg(F.max("copies").alias(name))
+    joined = docs.withColumn(key, _row_key(doc_col, source_col, text_col, key_col)).join(plan, key).drop(key)
     return joined.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name).cast("int")))).drop(name)
