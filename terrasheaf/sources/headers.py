@@ -1,20 +1,20 @@
-"""Inventories of rasters and point clouds from the first bytes of each file."""
+"""Inventories of rasters and point clouds from the headers of each file, wherever in it they stand."""
 
 from __future__ import annotations
 
+import mmap
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-HEAD_BYTES = 64 << 10
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d", 16: "Q"}
 _RASTER = "path string, width long, height long, bands int, crs string, min_x double, min_y double, max_x double, max_y double, tiled boolean, tile_width long, tile_height long, overview_count int, cloud_optimized boolean"
 _CLOUD = "path string, point_count long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, crs string, center_x double, center_y double, center_z double, half_size double, spacing double, hierarchy_entries long"
 
 
-def _tags(head: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
+def _tags(head: bytes | mmap.mmap, at: int, order: str) -> tuple[dict[int, tuple], int]:
     (n,) = struct.unpack_from(order + "H", head, at)
     out = {}
     for k in range(n):
@@ -32,7 +32,7 @@ def _tags(head: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     return out, after
 
 
-def raster_header(head: bytes) -> dict:
+def raster_header(head: bytes | mmap.mmap) -> dict:
     """Fields of a classic TIFF header; overviews are the further images of the file."""
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     if order is None or struct.unpack_from(order + "H", head, 2)[0] != 42:
@@ -52,7 +52,7 @@ def raster_header(head: bytes) -> dict:
     return {"width": width, "height": height, "bands": one(277, 1), "crs": f"EPSG:{epsg}" if epsg else "unknown", "box": box, "tiled": tiled, "tile": (one(322), one(323)), "overviews": overviews}
 
 
-def cloud_header(head: bytes) -> dict:
+def cloud_header(head: bytes | mmap.mmap) -> dict:
     """Fields of a LAS 1.4 header and of the COPC info record behind it."""
     if head[:4] != b"LASF":
         raise ValueError("not a LAS file")
@@ -73,7 +73,7 @@ def cloud_header(head: bytes) -> dict:
 
 def _inventory(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
     """A row per file. Spark's binary reader finds the files on any file system; only paths leave the listing, and a task
-    opens its file for the first bytes where it is mounted."""
+    maps its file where it is mounted, so that only the pages of its headers are read."""
     files = spark.read.format("binaryFile").load(path).select("path")
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -83,8 +83,8 @@ def _inventory(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
         for batch in batches:
             out = []
             for name in batch.column(0).to_pylist():
-                with open(name.removeprefix("file:").replace("//", "/"), "rb") as f:
-                    out.append((name, *row(f.read(HEAD_BYTES))))
+                with open(name.removeprefix("file:").replace("//", "/"), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as whole:
+                    out.append((name, *row(whole)))
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -92,7 +92,7 @@ def _inventory(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
 
 
 def raster_inventory(spark: SparkSession, path: str) -> DataFrame:
-    def row(head: bytes) -> tuple:
+    def row(head: bytes | mmap.mmap) -> tuple:
         h = raster_header(head)
         return h["width"], h["height"], h["bands"], h["crs"], *h["box"], h["tiled"], *h["tile"], h["overviews"], h["tiled"] and h["overviews"] > 0
 
@@ -100,7 +100,7 @@ def raster_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pointcloud_inventory(spark: SparkSession, path: str) -> DataFrame:
-    def row(head: bytes) -> tuple:
+    def row(head: bytes | mmap.mmap) -> tuple:
         h = cloud_header(head)
         return h["points"], *h["box"], h["crs"], *h["center"], h["half"], h["spacing"], h["entries"]
 
