@@ -95,3 +95,10 @@ def test_template_variants(spark, monkeypatch):
             w[rng.randrange(120)] = f"z{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
     assert found(spark, rows) == brute(rows)
+
+
+def test_pairs_that_meet_in_a_large_block_alone(spark):
+    """300 pairs under one line of text; own words are too few for another common chunk in most pairs."""
+    line = [f"c{k}" for k in range(12)]
+    rows = [(i, " ".join([*line, *(f"u{i % 300}.{k}" for k in range(12)), *(["end"] if i >= 300 else [])])) for i in range(600)]
+    assert found(spark, rows) == brute(rows)
