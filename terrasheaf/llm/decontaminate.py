@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW, SHINGLE = 13, 5
-#: Windows that are broadcast at once (about 300 bytes each). A larger benchmark is joined in blocks of this size.
+#: Windows that are broadcast at once (about 300 bytes each). A larger benchmark is joined in blocks of this size, each
+#: against all documents, which are then written once with a row number.
 BROADCAST_WINDOWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,6 +34,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def folded(text: Column) -> Column:
+    """text in full lower case, each letter without regard to its neighbours (the final sigma would depend on them).
+
+    Whatever A-Z lowering makes equal is equal here too, so joins may use it, and a comparison of exact words follows."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def _shingle(words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(F.lit(width), *(F.get(words, at + k) for k in range(width)))
 
@@ -41,20 +51,21 @@ def _tokens(width: int) -> Column:
 
 
 def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, width: int = SHINGLE) -> DataFrame:
-    """(win, len, items, offset, token): one row for each distinct window and shingle place in it.
+    """(win, low, items, len, offset, token): one row for each distinct window and shingle place in it.
 
-    Tokens hash words in full lower case, which joins whatever A-Z lowering joins; the comparison is exact later."""
+    win has words in A-Z lowering, low in full lower case, which tokens hash."""
     words = items.select(F.col(item_col).cast("string").alias("item"), split_words(ascii_lower(F.col(text_col))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     each = words.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), window).alias("win"))
-    each = each.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("win")).withColumn("low", F.transform("win", lambda x: F.lower(x)))
+    each = each.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("win")).withColumn("low", F.transform("win", folded))
     places = [F.when(F.least(F.col("len"), F.lit(width)) == k, _tokens(k)) for k in range(1, width + 1)]
     return each.select("win", "low", "items", "len", F.posexplode(F.coalesce(*places)).alias("offset", "token"))
 
 
 def _positions(docs: DataFrame, widths: list[int], carried: list[str]) -> DataFrame:
-    """A row for each document word (one for a document without any) with its shingle's token; nothing is shuffled."""
-    base = docs.withColumn("_words", split_words(F.lower(F.col("text"))))
+    """A row for each document word (one for a document without any) with its shingle's token; nothing is shuffled.
+    The words as they stand (`_raw`) are split once for a document, not for each candidate."""
+    base = docs.withColumn("_words", split_words(folded(F.col("text")))).withColumn("_raw", split_words(F.col("text")))
     rows = base.select(*carried, "_words", F.posexplode_outer("_words").alias("_at", "_word"))
     if len(widths) == 1:
         return rows.withColumn("_token", _shingle(F.col("_words"), F.col("_at"), widths[0]))
@@ -76,13 +87,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
 
     Null text or item: no words, no window. Repeated item texts: each item counts. Null item ids are left out of
     item_ids. Repeated or null doc_id: rows stay apart. Empty benchmark: nothing is hit. Empty documents: empty result.
+    Long texts: each word is looked at once for each item window that its shingle starts. Other columns do not matter.
     """
-    windows = item_windows(items, item_col, item_text_col, window, width).persist()
-    texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    windows = common.written(item_windows(items, item_col, item_text_col, window, width), "windows")
     sizes = windows.select(F.least("len", F.lit(width)).alias("k")).distinct().orderBy("k").limit(width)  # at most `width` values
     widths = [r["k"] for r in sizes.collect()] or [width]
-    n = windows.groupBy("win").count().count()
+    n = windows.filter("offset = 0").count()
     blocks = max(1, -(-n // BROADCAST_WINDOWS))
+    texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    texts = common.written(texts, "texts") if blocks > 1 else texts
     found = None
     for k in range(blocks):
         own = windows.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k) if blocks > 1 else windows
@@ -100,15 +113,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", te
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _occurrences(texts: DataFrame, prefix: DataFrame, widths: list[int]) -> DataFrame:
+def _occurrences(keyed: DataFrame, prefix: DataFrame, widths: list[int]) -> DataFrame:
     """A row per occurrence, and one at least per document (span null), with the document's number of words."""
-    keyed = texts.withColumn("_row", F.monotonically_increasing_id())
-    rows = _positions(keyed, widths, ["_row", "doc_id", "text"])
+    rows = _positions(keyed, widths, ["_row", "doc_id", "_raw"])
     joined = rows.join(F.broadcast(prefix), F.col("_token") == F.col("token"), "left")
     start = F.col("_at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("len") <= F.size("_words"))
     # no lambda here: it would end the compiled stage, and each word's row would be built with its whole text
-    exact = ascii_lower(F.array_join(F.slice(split_words(F.col("text")), start + 1, F.col("len")), " ")) == F.array_join("win", " ")
+    exact = ascii_lower(F.array_join(F.slice("_raw", start + 1, F.col("len")), " ")) == F.array_join("win", " ")
     hit = F.when(F.col("len").isNotNull(), F.when(fits, F.when(F.slice("_words", start + 1, F.col("len")) == F.col("low"), exact)))
     checked = joined.withColumn("_hit", F.coalesce(hit, F.lit(False))).filter(F.col("_hit") | F.coalesce(F.col("_at") == 0, F.lit(True)))
     span = F.when(F.col("_hit"), F.struct(start.alias("s"), (start + F.col("len")).alias("e")))
