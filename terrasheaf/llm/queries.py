@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, decontaminate, mixing, pii, quality, secrets, simhash, substrings, suffixes, tokens, warc
+from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 #: Stands in for a secret that a deployment would hold outside the code.
 PII_KEY = "public demonstration key"
@@ -62,4 +63,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_quality_rules, op4_suffix_arrays, op5_warc, op6_pii, op7_token_ids, op8_secrets, op9_simhash, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
