@@ -128,5 +128,6 @@ def _occurrences(keyed: DataFrame, prefix: DataFrame, widths: list[int]) -> Data
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """docs without the contaminated ones; columns unchanged, null ids stay."""
-    return docs.join(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), docs[doc_col] == F.col("_gone"), "left_anti")
+    """docs without the contaminated ones; columns unchanged, null ids stay, rows of a repeated id go together."""
+    gone = common.free_name(docs, "_gone")
+    return docs.join(found.filter("contaminated").select(F.col("doc_id").alias(gone)).distinct(), docs[doc_col] == F.col(gone), "left_anti")

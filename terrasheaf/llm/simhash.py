@@ -200,8 +200,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, d
 
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """docs without those that are not their component's smallest doc_id; columns unchanged, null ids stay."""
-    return docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), docs[doc_col] == F.col("_gone"), "left_anti")
+    """docs without those that are not their component's smallest doc_id; columns unchanged, null ids stay. Rows of a
+    repeated id stay or go together: all go if one of them has a smaller partner."""
+    gone = common.free_name(docs, "_gone")
+    return docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), docs[doc_col] == F.col(gone), "left_anti")
 
 
 #: For similar texts: one document in SAMPLE is counted for the shingles that stand last in the common order, which are
@@ -211,6 +213,9 @@ SAMPLE, COMMON_COUNT, COMMON_ROWS = 16, 4, 1 << 18
 STAR_ROUNDS, TILE_ROWS = 2, 1024
 #: So many pairs are broadcast, so that texts need not be dealt out by id.
 BROADCAST_PAIRS = 400_000
+#: Longs of a set's parity code: bit b tells whether an odd number of its hashes end in b. Two codes differ in no more bits
+#: than members stand in one set alone, so a long code refuses most pairs before any text travels.
+PARITY = ("b0", "b1", "b2", "b3")
 
 
 def _distinct(hashes: np.ndarray, counts: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +240,7 @@ def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """(doc, digest, bits, n, keys): digest, parity bits and size of each set of shingles, and the prefix of it, in the
+    """(doc, digest, b0 .. b3, n, keys): digest, parity code and size of each set of shingles, and the prefix of it, in the
     common order, that it shares a member of with every set of that similarity."""
     place = np.argsort(last)
     shared = docs.sparkSession.sparkContext.broadcast((last[place], place))
@@ -250,22 +255,25 @@ def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) ->
                 rank = np.where(known[at] == hashes, ranks[at] + 1, 0)
             hashes, n = _distinct(hashes, counts, rank)
             ends = np.cumsum(n)
-            digest, bits, some = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), n > 0
+            digest, bits, some = np.zeros(len(n), np.uint64), np.zeros((len(PARITY), len(n)), np.uint64), n > 0
             if len(hashes):
                 digest = common.range_hashes(common.mixed(hashes), ends - n, ends)
-                bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), (ends - n)[some])
+                one, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) % np.uint64(len(PARITY))
+                for k in range(len(PARITY)):
+                    bits[k, some] = np.bitwise_xor.reduceat(np.where(word == k, one, np.uint64(0)), (ends - n)[some])
             take = np.where(some, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
             keys = hashes[common.ragged(n) < np.repeat(take, n)].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(digest.view(np.int64)), pa.array(bits.view(np.int64)), pa.array(n, pa.int64()), lists], names=["doc", "digest", "bits", "n", "keys"])
+            codes = [pa.array(x.view(np.int64)) for x in bits]
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(digest.view(np.int64)), *codes, pa.array(n, pa.int64()), lists], names=["doc", "digest", *PARITY, "n", "keys"])
 
-    return docs.mapInArrow(common.tidy(run), "doc long, digest long, bits long, n long, keys array<long>")
+    return docs.mapInArrow(common.tidy(run), f"doc long, digest long, {', '.join(f'{c} long' for c in PARITY)}, n long, keys array<long>")
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, doc, n, bits, place): the rows of each key that two documents show at least."""
+    """(key, doc, place): the rows of each key that two documents show at least."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select("doc", "n", "bits", F.posexplode("keys").alias("place", "key")).select("key", "doc", "n", "bits", "place")
+    rows = classes.select("doc", F.posexplode("keys").alias("place", "key")).select("key", "doc", "place")
     rows = rows.repartition(parts, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,22 +294,24 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
 
 
 def _may(a: str, b: str, similarity: float) -> str:
-    """Whether rows a and b of a key can be of sets that similar: by sizes, places of the key, and parity bits, each
-    bit in which they differ being a member of one set alone. Bounds only: no similar pair is refused."""
+    """Whether rows a and b of a key can be of sets that similar: by sizes, places of the key, and parity codes. Bounds
+    only: no similar pair is refused."""
+    differ = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in PARITY)
     need = f"({similarity / (1 + similarity)!r}D * ({a}.n + {b}.n) - 1e-6D)"
     return (
         f"least({a}.n, {b}.n) >= {similarity!r}D * greatest({a}.n, {b}.n) - 1e-6D"
         f" and least({a}.place, {b}.place) + least({a}.n - {a}.place, {b}.n - {b}.place) >= {need}"
-        f" and bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {need}"
+        f" and {differ} <= {a}.n + {b}.n - 2 * {need}"
     )
 
 
 _PAIR = ("least(x.doc, y.doc) as a", "greatest(x.doc, y.doc) as b")
+_ROW = ("doc", "n", *PARITY, "place", "root")
 
 
 def _star_pairs(blocks: DataFrame, turn: int, similarity: float) -> DataFrame:
     """(a, b): in each block of several components, its leader of this turn with the members of other components."""
-    row = F.struct("doc", "n", "bits", "place", "root")
+    row = F.struct(*_ROW)
     lead = blocks.groupBy("key").agg(F.min_by(row, F.xxhash64(F.lit(turn), "doc")).alias("x"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("key", "x")
     return blocks.select("key", row.alias("y")).join(lead, "key").filter(f"x.root <> y.root and {_may('x', 'y', similarity)}").selectExpr(*_PAIR).distinct()
 
@@ -312,7 +322,7 @@ def _open_pairs(blocks: DataFrame, similarity: float) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("_rows"), F.count("*").alias("_roots")).filter("_roots > 1")
     main = main.select("key", "main", F.ceil(F.col("_rows") / TILE_ROWS).alias("tiles"))
     rows = blocks.join(main, "key")
-    row = F.struct("doc", "n", "bits", "place", "root", (F.col("root") == F.col("main")).alias("in_main"))
+    row = F.struct(*_ROW, (F.col("root") == F.col("main")).alias("in_main"))
     left = rows.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), row.alias("x"))
     right = rows.select("key", F.pmod(F.xxhash64("doc"), F.col("tiles")).alias("tile"), row.alias("y"))
     return left.join(right, ["key", "tile"]).filter(f"x.root <> y.root and (y.in_main or x.doc < y.doc) and {_may('x', 'y', similarity)}").selectExpr(*_PAIR).distinct()
@@ -363,14 +373,15 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     Equal sets are one from the start. Texts without words are left out, as are null ids. Empty table: empty result."""
     ids = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     sketch = common.written(_sketch(ids, width, similarity, _common_shingles(ids, width)), "sketch")
-    classes = sketch.filter("n > 0").groupBy("digest", "bits", "n").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
+    same = ["digest", "b0", "n"]
+    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in (*PARITY[1:], "keys")))
     classes = common.written(classes, "classes")
-    shared = common.written(_shared_keys(classes), "shared")
+    shared = common.written(_shared_keys(classes).join(classes.select("doc", "n", *PARITY), "doc"), "shared")
     seen, edges, roots_ = None, None, None
     for turn in range(STAR_ROUNDS + 1):
         blocks = shared.withColumn("root", F.col("doc"))
         if roots_ is not None:
-            blocks = shared.join(roots_, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "bits", "place", F.coalesce("root", "doc").alias("root"))
+            blocks = shared.join(roots_, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", *PARITY, "place", F.coalesce("root", "doc").alias("root"))
         pairs = _star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity)
         pairs = common.written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
@@ -378,7 +389,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
         if found.take(1):
             edges = found if edges is None else edges.unionByName(found)
             roots_ = common.written(components(edges), "roots")
-    named = classes.select("digest", "bits", "n", F.col("doc").alias("component_id"))
+    named = classes.select(*same, F.col("doc").alias("component_id"))
     if roots_ is not None:
-        named = classes.join(roots_, F.col("doc") == F.col("node"), "left").select("digest", "bits", "n", F.coalesce("root", "doc").alias("component_id"))
-    return sketch.join(named, ["digest", "bits", "n"]).select(F.col("doc").alias("doc_id"), "component_id")
+        named = classes.join(roots_, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("root", "doc").alias("component_id"))
+    return sketch.select("doc", *same).join(named, same).select(F.col("doc").alias("doc_id"), "component_id")
