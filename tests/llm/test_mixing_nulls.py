@@ -1,21 +1,98 @@
-"""Rows without an id are mixed like any other."""
+"""Mixing by row: null and repeated ids, equal rows, sources against SQL; the mix as it is taken."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
-from terrasheaf.llm import mixing
+import duckdb
+import pytest
 
+from terrasheaf.llm import mixing, queries
 
-def test_null_ids_are_taken(spark):
-    rows = [(i if i % 2 else None, f"text number {i} " * (i % 5 + 1), f"s{i % 3}") for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+SCHEMA = "doc_id long, text string, source string, _copies int, KEY string"
+SF = "/root/testdata/sf0.001"
+
+
+def rows(kind):
+    ids = {"distinct": lambda i: i, "shared": lambda i: i // 10, "null": lambda i: None, "equal": lambda i: None}[kind]
+    text = (lambda i: "same words here") if kind == "equal" else (lambda i: f"t{i} " * (i % 17 + 1))
+    return [(ids(i), text(i), ("a", "b", None)[i % 3], i, "k") for i in range(900)]
+
+
+@pytest.mark.parametrize("kind", ["distinct", "shared", "null", "equal"])
+def test_targets_are_met_within_half_a_document(spark, kind, monkeypatch):
+    monkeypatch.setattr(mixing, "UNIT_ROWS", 7)
+    own = rows(kind)
+    docs = spark.createDataFrame(own, SCHEMA).repartition(5)
     mixed = mixing.mix(docs)
-    taken = Counter(r["text"] for r in mixing.take(docs, mixed).collect())
-    keys = {(r["doc_id"], r["key"]) for r in mixed.collect()}
-    assert len([k for k in keys if k[0] is None]) == 30
-    want = Counter()
-    for r in mixed.collect():
-        want[(r["source"], r["size"], r["doc_id"] is None)] += r["copies"]
-    got = Counter()
-    for i, text, source in rows:
-        got[(source, len(text.split()), i is None)] += taken[text]
-    assert +got == +want and any(k[2] for k in +got)
+    got = mixed.collect()
+    assert len(got) == 900 and all(0 <= r["copies"] <= 2 for r in got)
+    taken, sizes = defaultdict(int), defaultdict(list)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        sizes[r["source"]].append(r["size"])
+    for r in got:
+        assert abs(taken[r["source"]] - r["target"]) <= max(sizes[r["source"]]) / 2 + 1e-6
+        assert r["source_size"] == sum(sizes[r["source"]])
+    again = mixing.mix(docs.repartition(3))
+    assert Counter(map(str, got)) == Counter(map(str, again.collect()))
+    out = mixing.take(docs, mixed)
+    assert out.columns == docs.columns
+    want, have = Counter(), Counter()
+    for r in got:
+        want[(str(r["doc_id"]), r["source"], r["key"])] += r["copies"]
+    for r in mixing.mix(docs).select("doc_id", "source", "key").distinct().collect():
+        have[(str(r["doc_id"]), r["source"], r["key"])] = 0
+    keyed = out.withColumn("key", mixing._row_key("doc_id", "source", "text")).collect()
+    for r in keyed:
+        have[(str(r["doc_id"]), r["source"], r["key"])] += 1
+    assert have == want
+    # no row is taken more than once above its equals
+    each = Counter(r["_copies"] for r in keyed)
+    assert max(each.values()) <= 2
+
+
+def test_edges(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert mixing.mix(none).count() == 0 and mixing.take(none, mixing.mix(none)).count() == 0
+    blank = spark.createDataFrame([(1, None, "a", 0, "k"), (1, "", "a", 0, "k"), (None, " \n", None, 0, "k")], SCHEMA)
+    assert [(r["size"], r["taken"], r["target"]) for r in mixing.mix(blank).collect()] == [(0, 0, 0.0)] * 3
+    one = spark.createDataFrame([(1, "w " * 200_000, "a", 0, "k")], SCHEMA)
+    assert mixing.mix(one).first()["size"] == 200_000
+
+
+SQL = r"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) n FROM documents GROUP BY 1),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] w, 1.5 * sum(n) OVER () AS goal FROM s)
+SELECT source, n::bigint n, w::double w, goal::double goal FROM w"""
+
+
+def water_filling(sources):
+    """The rule as it is told: targets by weight, the excess over twice a source's size dealt again until none is above."""
+    goal = sources[0][3]
+    target, free = {}, list(sources)
+    while True:
+        left = goal - sum(target.values())
+        total = sum(w for *_, w, _ in free)
+        over = [x for x in free if left * x[2] / total > 2 * x[1]]
+        if not over:
+            return target | {s: left * w / total for s, _, w, _ in free}
+        for s, n, *_ in over:
+            target[s] = 2.0 * n
+        free = [x for x in free if x not in over]
+        if not free:
+            return target
+
+
+def test_query_sizes_and_targets(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = water_filling(con.execute(SQL).fetchall())
+    size = dict(con.execute(r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) from documents").fetchall())
+    source = dict(con.execute("select doc_id, source from documents").fetchall())
+    got = queries.op1_mixing(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(size)
+    taken = defaultdict(int)
+    for r in got:
+        assert r["size"] == size[r["doc_id"]] and abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6 and r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[source[r["doc_id"]]] += r["taken"]
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(n for d, n in size.items() if source[d] == s) / 2
