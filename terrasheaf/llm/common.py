@@ -173,28 +173,66 @@ def byte_range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return range_hashes(_BYTE[data], starts, ends)
 
 
+#: Lower bits of a number that hold its place while window minima are sought; the upper ones are compared.
+_PLACE_BITS = 24
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost minimum of values[i : i + width] for each full window."""
+    """Index of the leftmost minimum, by the upper 40 bits, of values[i : i + width] for each full window."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at = values[:n].copy(), np.zeros(n, np.int32)
-    if width <= 16:
-        for j in range(1, width):
-            less = values[j : j + n] < best
-            best[less] = values[j : j + n][less]
-            at[less] = j
-        return np.arange(n) + at
-    # wide windows: minima of power-of-two spans, two of which cover a window
-    span, low, where = 1, values, np.arange(len(values))
-    while span * 2 <= width:
-        m = len(low) - span
-        right = low[span:] < low[:m]
-        low, where = np.where(right, low[span:], low[:m]), np.where(right, where[span:], where[:m])
+    if len(values) > 1 << _PLACE_BITS:
+        step = (1 << _PLACE_BITS) - width
+        return np.concatenate([at + window_minima(values[at : at + step + width - 1], width) for at in range(0, n, step)])
+    mask = np.uint64((1 << _PLACE_BITS) - 1)
+    low = (values & ~mask) | np.arange(len(values), dtype=np.uint64)
+    span = 1
+    while span * 2 <= width:  # minima of spans of a power of two, two of which cover a window
+        low = np.minimum(low[:-span], low[span:])
         span *= 2
-    shift = width - span
-    right = low[shift : shift + n] < low[:n]
-    return np.where(right, where[shift : shift + n], where[:n])
+    return (np.minimum(low[:n], low[width - span : width - span + n]) & mask).astype(np.int64)
+
+
+def anchor_runs(values: np.ndarray, begin: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, anchor, tied): windows begin[head[k]] up to the next head have anchor[k], a value that each window holds.
+
+    begin are the windows' first places, consecutive within a document, doc their documents. A window's anchor is its
+    least value, so equal windows have equal anchors. Where that value stands several times in a window (periodic text),
+    a run keeps its place as long as it can; such runs are tied, as equal strings may stand in one run."""
+    least = window_minima(values, width)[begin]
+    head = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])][: len(least)])
+    place = least[head]
+    link = (doc[head[1:]] == doc[head[:-1]]) & (values[place[1:]] == values[place[:-1]])
+    tied = np.r_[False, link] | np.r_[link, False] if len(head) else np.zeros(0, bool)
+    if link.any():
+        stop = np.r_[head[1:], len(begin)]
+        first, last = np.flatnonzero(tied & np.r_[True, ~link]), np.flatnonzero(tied & np.r_[~link, True])
+        heads, places = [], []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            own, at, end = place[a : b + 1], int(head[a]), int(stop[b])
+            while at < end:
+                start = int(begin[at])
+                pick = int(own[np.searchsorted(own, start + width - 1, side="right") - 1])
+                heads.append(at)
+                places.append(pick)
+                at += pick - start + 1
+        head, place = np.concatenate([head[~tied], np.array(heads, np.int64)]), np.concatenate([place[~tied], np.array(places, np.int64)])
+        tied = np.arange(len(head)) >= len(head) - len(heads)
+        order = np.argsort(head)
+        head, place, tied = head[order], place[order], tied[order]
+    return head, values[place], tied
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of data, cut at ends (in bytes)."""
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = ends
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def record(names: str, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names.split())
 
 
 def ragged(counts: np.ndarray) -> np.ndarray:

@@ -1,10 +1,14 @@
 """Substring dedup over a De Bruijn graph of words.
 
-Edges are windows of k words, linked by their shared k - 1 words. Consecutive edges of a document under one anchor (the
-smallest 4-word hash in each window) form a chain; equal windows have their anchor at the same place, so chains meet in
-one join by anchor, without a row for each word. There an edge is repeated if a smaller document holds it. Repeated
-edges whose sources follow each other compact into one path per (document, source, shift), again by a shuffle, and each
-path is verified at its source coordinates: the words there must be the same.
+Edges are windows of k words; an edge leads from its first k - 1 words (a node) to its last k - 1 words. Edges of a
+document that follow each other under one anchor (the smallest 4-word hash in each of them) travel as one chain, without
+a row for each word; equal edges have equal anchors, so they meet in one join by anchor. There an edge is repeated if a
+smaller document holds it, and that holder is its source. Repeated edges that leave one node and enter the next in both
+the document and the source compact into nonbranching paths by joins of the nodes that edges leave with those that edges
+enter. Each path is verified at its source coordinates: the words there must be the same.
+
+An anchor in very many contexts does not meet in one task: where a task sees many edges of it, they go on edge by edge,
+and a marker tells the join to send on whatever else it gets of that anchor.
 """
 
 from __future__ import annotations
@@ -20,16 +24,20 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, ANCHOR = 13, 4
-#: Slices of text whose equal chains collapse before the shuffle.
-FLUSH_SLICES = 24
+#: Edges whose equal chains collapse before the shuffle (about 100 bytes each while they do).
+FLUSH_EDGES = 4_000_000
+#: Distinct edges of an anchor in one flush, or in one task of the join, above which they go on edge by edge.
+LOCAL_EDGES, JOIN_EDGES = 4_096, 65_536
 #: Id of rows without one: after all others, and never a smaller document.
 NO_ID = (1 << 63) - 1
-_CHAINS = "anchor long, doc long, tag int, at int, lead int, chain binary"
-_HITS = "doc long, tag int, at int, mask long, src_doc long, src_tag int, src_at int"
+#: Kinds of chain rows: an anchor's marker, a chain, a run of edges settled in its task, edges that pass through.
+_MARK, _CHAIN, _SETTLED, _LOOSE = range(4)
+_CHAINS = "anchor long, kind int, doc long, tag int, first int, chain binary"
+_HITS = "doc long, tag int, first int, edges int, src_doc long, src_tag int, src_first int"
 
 
 def _doc_chains(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """For each chain: document, anchor hash, anchor's word place, windows before the anchor, first window, windows; then all windows' 32-bit hashes."""
+    """For each chain: document, anchor, first window's word place in the document, windows; then all windows' hashes."""
     starts, ends, first = common.word_bounds(data, offsets)
     words = common.byte_range_hashes(data, starts, ends)
     n = np.diff(first)
@@ -37,164 +45,236 @@ def _doc_chains(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
     begin = np.repeat(first[:-1], size) + common.ragged(size)
     if not len(begin):
         none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none, none, none, none, none.astype(np.uint32)
+        return none, none.view(np.uint64), none, none, none.view(np.uint64)
     width = min(ANCHOR, window)
-    all_at = np.arange(max(len(words) - width + 1, 0))
-    grams = common.range_hashes(words, all_at, all_at + width)
-    least = common.window_minima(grams, window - width + 1)
-    anchor = least[begin]
-    full = common.range_hashes(words, begin, begin + window)
+    places = np.arange(max(len(words) - width + 1, 0))
+    grams = common.range_hashes(words, places, places + width)
     doc = np.repeat(np.arange(len(n)), size)
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
-    head = np.flatnonzero(new)
-    count = np.diff(np.r_[head, len(begin)])
+    head, anchor, _ = common.anchor_runs(grams, begin, doc, window - width + 1)
     d = doc[head]
-    return d, grams[anchor[head]], anchor[head] - first[d], anchor[head] - begin[head], head, count, (full >> np.uint64(32)).astype(np.uint32)
-
-
-def _rows(parts: list[np.ndarray], blob: pa.Array) -> pa.RecordBatch:
-    anchor, doc, tag, at, lead = parts
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(lead.astype(np.int32)), blob], names=["anchor", "doc", "tag", "at", "lead", "chain"])
+    return d, anchor, begin[head] - first[d], np.diff(np.r_[head, len(begin)]), common.range_hashes(words, begin, begin + window)
+
+
+def _holders(key: np.ndarray) -> np.ndarray:
+    """For each place, the first place that has an equal key."""
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order[1:]] != key[order[:-1]]][: len(order)]
+    out = np.empty(len(key), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
+
+
+def _runs(doc, tag, place, src_doc, src_tag, src_place) -> pa.RecordBatch:
+    """_HITS: repeated edges that follow each other in document and source as one row. Arrays in document order."""
+    new = np.ones(len(doc), bool)
+    step = lambda x: x[1:] - x[:-1]
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (step(place) != 1) | (src_doc[1:] != src_doc[:-1]) | (src_tag[1:] != src_tag[:-1]) | (step(src_place) != 1)
+    at = np.flatnonzero(new)
+    cols = (doc[at], tag[at], place[at], np.diff(np.r_[at, len(doc)]), src_doc[at], src_tag[at], src_place[at])
+    return common.record("doc tag first edges src_doc src_tag src_first", *(pa.array(c.astype(np.int64 if k in (0, 4) else np.int32)) for k, c in enumerate(cols)))
+
+
+def _chain_rows(anchor, kind: int, doc, tag, first, chain: pa.Array) -> pa.RecordBatch:
+    return common.record("anchor kind doc tag first chain", anchor.view(np.int64), np.full(len(doc), kind, np.int32), doc.astype(np.int64), tag.astype(np.int32), first.astype(np.int32), chain)
+
+
+def _settled_rows(doc, tag, first, count, src_doc, src_tag, src_first) -> pa.RecordBatch:
+    info = np.stack([src_doc, src_tag, src_first, count], axis=1).astype("<i8")
+    return _chain_rows(common.mixed(doc.astype(np.int64).view(np.uint64) + first.astype(np.uint64)), _SETTLED, doc, tag, first, common.binaries(info, 32 * np.arange(1, len(doc) + 1)))
+
+
+def _hash_lists(hashes: np.ndarray, count: np.ndarray) -> pa.Array:
+    return common.binaries(hashes.astype("<u8"), 8 * np.cumsum(count))
+
+
+def _flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Chain rows of all held chains. Of equal chains, those with a smaller holder here are settled; so are equal edges
+    of anchors with many edges, of which the rest is loose."""
+    doc, tag, anchor, first, count = (np.concatenate([h[k] for h in held]) for k in range(5))
+    hashes = np.concatenate([h[5] for h in held])
+    begin = np.cumsum(count) - count
+    order = np.lexsort((first, tag, doc))
+    mix = common.range_hashes(common.mixed(hashes), begin, begin + count) ^ common.mixed(anchor + count.astype(np.uint64))
+    source = np.empty(len(order), np.int64)
+    source[order] = order[_holders(mix[order])]
+    copy = doc[source] < doc
+    c, s = np.flatnonzero(copy), source[copy]
+    if len(c):
+        yield _settled_rows(doc[c], tag[c], first[c], count[c], doc[s], tag[s], first[s])
+    own = order[~copy[order]]
+    place, total = np.unique(anchor[own], return_inverse=True)
+    hot = (np.bincount(total, count[own]) > LOCAL_EDGES)[total]
+    rest = own[~hot]
+    each = np.repeat(begin[rest], count[rest]) + common.ragged(count[rest])
+    yield _chain_rows(anchor[rest], _CHAIN, doc[rest], tag[rest], first[rest], _hash_lists(hashes[each], count[rest]))
+    if hot.any():
+        marks = np.unique(anchor[own[hot]])
+        none = np.zeros(len(marks), np.int64)
+        yield _chain_rows(marks, _MARK, none, none, none, common.binaries(np.zeros(0, np.uint8), none))
+        h = own[hot]
+        step = common.ragged(count[h])
+        e_doc, e_tag, e_place, e_hash = np.repeat(doc[h], count[h]), np.repeat(tag[h], count[h]), np.repeat(first[h], count[h]) + step, hashes[np.repeat(begin[h], count[h]) + step]
+        source = _holders(e_hash)
+        again = e_doc[source] < e_doc
+        runs = _runs(e_doc[again], e_tag[again], e_place[again], e_doc[source[again]], e_tag[source[again]], e_place[source[again]])
+        yield _settled_rows(*(common.column(runs, x).to_numpy() for x in ("doc", "tag", "first", "edges", "src_doc", "src_tag", "src_first")))
+        k = ~again
+        yield _chain_rows(common.mixed(e_hash[k]), _LOOSE, e_doc[k], e_tag[k], e_place[k], _hash_lists(e_hash[k], np.ones(int(k.sum()), np.int64)))
 
 
 def chains(docs: DataFrame, window: int) -> DataFrame:
-    """_CHAINS for docs (doc, tag, text). lead < 0: an earlier document of the same task has this very chain, at
-    (anchor's) source coordinates packed in `chain`; such copies leave before the shuffle's grouping."""
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        doc, tag, anchor, at, lead, count = (np.concatenate([h[k] for h in held]) for k in range(6))
-        hashes = np.concatenate([h[6] for h in held])
-        begin = np.cumsum(count) - count
-        mix = common.range_hashes(hashes.astype(np.uint64) + np.uint64(1), begin, begin + count) ^ common.mixed(anchor + lead.astype(np.uint64) + (count.astype(np.uint64) << np.uint64(8)))
-        order = np.lexsort((at, tag, doc, mix))
-        head = np.r_[True, mix[order[1:]] != mix[order[:-1]]]
-        leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        copy = np.zeros(len(doc), bool)
-        source = np.zeros(len(doc), np.int64)
-        source[order] = leader
-        copy[order] = doc[leader] < doc[order]
-        blobs, ends = hashes.astype("<u4").tobytes(), 4 * (begin + count)
-        # copies: the source's coordinates and the number of windows stand in for the chain
-        info = np.zeros((int(copy.sum()), 4), "<i8")
-        info[:, 0], info[:, 1], info[:, 2], info[:, 3] = doc[source[copy]], tag[source[copy]], at[source[copy]], (np.left_shift(1, lead[copy] + 1) - np.left_shift(1, lead[copy] + 1 - count[copy]))
-        packed = iter(info.tobytes()[i : i + 32] for i in range(0, 32 * len(info), 32))
-        blob = pa.array([next(packed) if c else blobs[a:b] for c, a, b in zip(copy.tolist(), (4 * begin).tolist(), ends.tolist(), strict=True)], pa.binary())
-        key = np.where(copy, common.mixed(doc.view(np.uint64)), anchor)
-        return _rows([key, doc, tag, at, np.where(copy, -1, lead)], blob)
+    """_CHAINS for docs (doc, tag, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in common.slices(batches, "text"):
             ids, tags = common.column(batch, "doc").to_numpy(), common.column(batch, "tag").to_numpy()
-            d, anchor, at, lead, head, count, hashes = _doc_chains(*common.buffers(common.column(batch, "text")), window)
+            d, anchor, first, count, hashes = _doc_chains(*common.buffers(common.column(batch, "text")), window)
             if len(d):
-                held.append((ids[d], tags[d], anchor, at, lead, count, hashes))
-            if len(held) >= FLUSH_SLICES:
-                yield flush(held)
-                held = []
+                held.append((ids[d], tags[d], anchor, first, count, hashes))
+                size += len(hashes)
+            if size >= FLUSH_EDGES:
+                yield from _flush(held)
+                held, size = [], 0
         if held:
-            yield flush(held)
+            yield from _flush(held)
 
-    return docs.mapInArrow(run, _CHAINS)
+    return docs.mapInArrow(common.tidy(run), _CHAINS)
 
 
-def repeated_edges(rows: DataFrame) -> DataFrame:
-    """_HITS: for each chain and source, the edges (bit r of mask: the window that starts r words before the anchor)
-    that a smaller document holds, with the smallest one's coordinates.
+_JOINED = f"{_HITS}, chain binary"
+
+
+def _as_joined(hits: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*hits.columns, pa.nulls(hits.num_rows, pa.binary())], names=[*hits.schema.names, "chain"])
+
 
-    Rows of an anchor come in document order, so the first holder of an edge is its smallest; only distinct edges of
-    the anchor at hand are remembered, however many documents share it."""
+def _loose(doc, tag, first, chain: pa.Array) -> pa.RecordBatch:
+    none = pa.array(np.zeros(len(doc), np.int32))
+    return common.record("doc tag first edges src_doc src_tag src_first chain", doc.astype(np.int64), tag.astype(np.int32), first.astype(np.int32), none, doc.astype(np.int64), none, none, chain)
+
+
+def joined_chains(rows: DataFrame) -> DataFrame:
+    """_HITS of the edges of chains that a smaller document holds, with the smallest one's coordinates; and, with their
+    hashes in `chain`, the edges of anchors that are too large for one task.
+
+    Rows of an anchor come in document order, so the first holder of an edge is its smallest. Distinct edges of the
+    anchor at hand are remembered, JOIN_EDGES at most."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "tag", "at")
+    dealt = rows.repartition(n, "anchor").sortWithinPartitions("anchor", "kind", "doc", "tag", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: tuple | None = None  # anchor and arrays of its edges: key, doc, tag, at
+        state: list[np.ndarray] | None = None  # of the last anchor: its edges' anchor, hash, doc, tag, place
+        open_ = None  # the last anchor, if it is sent on
         for batch in batches:
-            lead = common.column(batch, "lead").to_numpy()
-            known = np.flatnonzero(lead < 0)
-            if len(known):
-                info = np.frombuffer(b"".join(common.column(batch, "chain").take(pa.array(known)).to_pylist()), "<i8").reshape(-1, 4)
-                own = [common.column(batch, c).to_numpy()[known] for c in ("doc", "tag", "at")]
-                yield _hits(*own, info[:, 3], info[:, 0], info[:, 1], info[:, 2])
-            batch = batch.take(pa.array(np.flatnonzero(lead >= 0)))
             if not batch.num_rows:
                 continue
-            anchor, doc, tag, at, lead = (common.column(batch, c).to_numpy() for c in ("anchor", "doc", "tag", "at", "lead"))
-            many = np.zeros(len(anchor), bool)
-            many[1:] = anchor[1:] == anchor[:-1]
-            many[:-1] |= many[1:]
-            many |= anchor == anchor[-1]
-            if state is not None:
-                many |= anchor == state[0]
-            pick = np.flatnonzero(many)
-            chain = common.column(batch, "chain").take(pa.array(pick))
-            data, offsets = common.buffers(chain)
-            count = np.diff(offsets) // 4
-            hashes = np.frombuffer(data.tobytes(), "<u4").astype(np.uint64)
-            row = np.repeat(pick, count)
-            rel = (np.repeat(lead[pick], count) - common.ragged(count)).astype(np.int64)
-            key = (hashes << np.uint64(8)) | rel.astype(np.uint64)
-            e_anchor, e_doc, e_tag, e_at = anchor[row], doc[row], tag[row], at[row]
-            if state is not None and state[0] == anchor[0]:
-                m = len(state[1])
-                key, e_doc, e_tag, e_at = (np.concatenate([s, x]) for s, x in zip(state[1:], (key, e_doc, e_tag, e_at), strict=True))
-                e_anchor, row, rel = np.concatenate([np.full(m, anchor[0]), e_anchor]), np.concatenate([np.full(m, -1), row]), np.concatenate([np.zeros(m, np.int64), rel])
-            order = np.lexsort((e_at, e_tag, e_doc, key, e_anchor))
-            new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (e_anchor[order[1:]] != e_anchor[order[:-1]])]
-            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            hit = (e_doc[first] < e_doc[order]) & (row[order] >= 0)
-            mine, source = order[hit], first[hit]
-            if len(mine):
-                by = np.lexsort((e_at[source], e_tag[source], e_doc[source], row[mine]))
-                mine, source = mine[by], source[by]
-                cut = np.flatnonzero(np.r_[True, (row[mine[1:]] != row[mine[:-1]]) | (e_doc[source[1:]] != e_doc[source[:-1]]) | (e_tag[source[1:]] != e_tag[source[:-1]]) | (e_at[source[1:]] != e_at[source[:-1]])])
-                mask = np.bitwise_or.reduceat(np.left_shift(np.int64(1), rel[mine]), cut)
-                m, s = mine[cut], source[cut]
-                yield _hits(e_doc[m], e_tag[m], e_at[m], mask, e_doc[s], e_tag[s], e_at[s])
-            last = order[new & (e_anchor[order] == anchor[-1])]
-            state = (anchor[-1], key[last], e_doc[last], e_tag[last], e_at[last])
-
-    return dealt.mapInArrow(run, _HITS)
-
-
-def _hits(doc, tag, at, mask, src_doc, src_tag, src_at) -> pa.RecordBatch:
-    kinds = (np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).astype(k)) for x, k in zip((doc, tag, at, mask, src_doc, src_tag, src_at), kinds, strict=True)], names=["doc", "tag", "at", "mask", "src_doc", "src_tag", "src_at"])
+            anchor, kind, doc, tag, first = (common.column(batch, c).to_numpy() for c in ("anchor", "kind", "doc", "tag", "first"))
+            chain = common.column(batch, "chain")
+            done = np.flatnonzero(kind == _SETTLED)
+            if len(done):
+                info = np.frombuffer(common.buffers(chain.take(pa.array(done)))[0].tobytes(), "<i8").reshape(-1, 4)
+                yield _as_joined(common.record("doc tag first edges src_doc src_tag src_first", doc[done], tag[done], first[done], info[:, 3].astype(np.int32), info[:, 0], info[:, 1].astype(np.int32), info[:, 2].astype(np.int32)))
+            marked = np.isin(anchor, anchor[kind == _MARK])
+            if open_ is not None:
+                marked |= anchor == open_
+            on = np.flatnonzero((kind == _LOOSE) | ((kind == _CHAIN) & marked))
+            if len(on):
+                yield _loose(doc[on], tag[on], first[on], chain.take(pa.array(on)))
+            real = np.flatnonzero(kind <= _CHAIN)
+            last = anchor[real[-1]] if len(real) else None
+            if last is not None and not (open_ is not None and last == open_):
+                open_ = last if marked[real[-1]] else None
+            pick = np.flatnonzero((kind == _CHAIN) & ~marked)
+            if not len(pick):
+                if last is not None and state is not None and state[0][0] != last:
+                    state = None
+                continue
+            data, offsets = common.buffers(chain.take(pa.array(pick)))
+            count = np.diff(offsets) // 8
+            step = common.ragged(count)
+            e = [np.repeat(anchor[pick], count), np.frombuffer(data.tobytes(), "<u8"), np.repeat(doc[pick], count), np.repeat(tag[pick], count), np.repeat(first[pick], count) + step]
+            known = 0
+            if state is not None and state[0][0] == anchor[pick[0]]:
+                known = len(state[0])
+                e = [np.concatenate([a, b]) for a, b in zip(state, e, strict=True)]
+            source = _holders(e[1] ^ common.mixed(e[0].view(np.uint64)))
+            again = e[2][source] < e[2]
+            again[:known] = False
+            if again.any():
+                s = source[again]
+                yield _as_joined(_runs(e[2][again], e[3][again], e[4][again], e[2][s], e[3][s], e[4][s]))
+            keep = (source == np.arange(len(source))) & (e[0] == e[0][-1])
+            state = [x[keep] for x in e]
+            if last != e[0][-1]:
+                state = None
+            elif len(state[0]) > JOIN_EDGES:
+                yield _loose(state[2], state[3], state[4], _hash_lists(state[1], np.ones(len(state[1]), np.int64)))
+                open_, state = last, None
+
+    return dealt.mapInArrow(common.tidy(run), _JOINED)
+
+
+def loose_edges(joined: DataFrame) -> DataFrame:
+    """_HITS of the edges that go edge by edge: dealt by their hash, each meets its smallest holder."""
+    n = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.buffers(common.column(batch, "chain"))
+            count = np.diff(offsets) // 8
+            row = np.repeat(np.arange(batch.num_rows), count)
+            doc, tag, first = (common.column(batch, c).to_numpy()[row] for c in ("doc", "tag", "first"))
+            yield common.record("edge doc tag place", np.frombuffer(data.tobytes(), "<i8"), doc, tag, (first + common.ragged(count)).astype(np.int32))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the first holder of the edge at hand
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e = [common.column(batch, c).to_numpy() for c in ("edge", "doc", "tag", "place")]
+            known = 0
+            if held is not None and held[0][0] == e[0][0]:
+                known, e = 1, [np.concatenate([a, b]) for a, b in zip(held, e, strict=True)]
+            new = np.r_[True, e[0][1:] != e[0][:-1]]
+            source = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            again = np.flatnonzero(e[1][source] < e[1])
+            again = again[again >= known]
+            again = again[np.lexsort((e[3][again], e[2][again], e[1][again]))]
+            s = source[again]
+            yield _runs(e[1][again], e[2][again], e[3][again], e[1][s], e[2][s], e[3][s])
+            held = [x[source[-1:]] for x in e]
+
+    edges = joined.filter("chain is not null").select("doc", "tag", "first", "chain").mapInArrow(common.tidy(cut), "edge long, doc long, tag int, place int")
+    return edges.repartition(n, "edge").sortWithinPartitions("edge", "doc", "tag", "place").mapInArrow(common.tidy(meet), _HITS)
 
 
-def paths(hits: DataFrame, window: int) -> DataFrame:
-    """(doc, tag, start, stop, src_doc, src_tag, src_start): nonbranching paths, that is, runs of repeated edges whose
-    sources are the consecutive edges of one document; in words covered, ends exclusive."""
-    keyed = hits.withColumn("shift", F.col("at") - F.col("src_at"))
-    return keyed.groupBy("doc", "tag", "src_doc", "src_tag", "shift").agg(F.collect_list(F.struct("at", "mask")).alias("edges")).mapInArrow(_compact(window), "doc long, tag int, start int, stop int, src_doc long, src_tag int, src_start int")
+def repeated_edges(rows: DataFrame) -> DataFrame:
+    """_HITS of all chain rows."""
+    joined = common.written(joined_chains(rows), "edges")
+    hits = joined.filter("chain is null").drop("chain")
+    return hits.unionByName(loose_edges(joined)) if joined.filter("chain is not null").take(1) else hits
 
 
-def _compact(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = common.column(batch, "edges")
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            at, mask = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
-            group = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            begin, owner = [], []
-            for r in range(int(mask.max()).bit_length()):
-                has = (mask >> r) & 1 == 1
-                begin.append(at[has] - r)
-                owner.append(group[has])
-            begin, owner = np.concatenate(begin), np.concatenate(owner)
-            # one axis for all groups, far enough apart that paths of different groups never touch
-            span = int(begin.max()) + 2 * window
-            axis = np.sort(owner * span + begin)
-            a, b = common.covered_runs(axis, axis + 1)
-            owner, start, stop = a // span, a % span, (b - 1) % span + window
-            shift = common.column(batch, "shift").to_numpy()[owner]
-            take = lambda c: common.column(batch, c).take(pa.array(owner))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([take("doc"), take("tag"), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), take("src_doc"), take("src_tag"), pa.array((start - shift).astype(np.int32))], names=["doc", "tag", "start", "stop", "src_doc", "src_tag", "src_start"])
+_SOURCE = ("doc", "tag", "src_doc", "src_tag", "shift")
 
-    return run
+
+def paths(hits: DataFrame, window: int) -> DataFrame:
+    """(doc, tag, start, stop, src_doc, src_tag, src_start): nonbranching paths of repeated edges, in words covered, ends
+    exclusive.
+
+    A node is the k - 1 words at a place of the document and at the place of the source that goes with it. An edge has
+    one source, so one edge at most leaves a node and one enters it. Nodes without an entering edge begin a path, nodes
+    without a leaving one end it: two anti-joins, whose n-th rows belong together."""
+    runs = hits.withColumn("shift", F.col("first") - F.col("src_first"))
+    leaves, enters = runs.select(*_SOURCE, F.col("first").alias("node")), runs.select(*_SOURCE, (F.col("first") + F.col("edges")).alias("node"))
+    on = [*_SOURCE, "node"]
+    begins = leaves.join(enters, on, "left_anti").groupBy(*_SOURCE).agg(F.sort_array(F.collect_set("node")).alias("begins"))
+    ends = enters.join(leaves, on, "left_anti").groupBy(*_SOURCE).agg(F.sort_array(F.collect_set("node")).alias("ends"))
+    path = begins.join(ends, list(_SOURCE)).select(*_SOURCE, F.explode(F.arrays_zip("begins", "ends")).alias("p"))
+    start = F.col("p.begins")
+    return path.select("doc", "tag", start.alias("start"), (F.col("p.ends") + (window - 1)).alias("stop"), "src_doc", "src_tag", (start - F.col("shift")).alias("src_start"))
 
 
 def _digest(words: list[bytes], start: int, stop: int) -> bytes:
@@ -206,7 +286,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
 
     A word goes if a window of `window` words over it also starts in a document of smaller doc_id. Null text: no
     words. Null doc_id: counts as larger than all others. Rows of equal doc_id do not remove each other's words.
-    Empty table: empty result. Texts are shuffled once, and that shuffle is read by both sides of the verification."""
+    Empty table: empty result. Other columns do not matter. Very long or periodic texts: chains are cut by edges, not by
+    texts, and periodic text has as few chains as any other. Texts are shuffled once, and that shuffle is read by both
+    sides of the verification. A source span that very many documents repeat is a skewed key of the join with its
+    digest, which adaptive execution splits."""
     if not 1 <= window <= 60:
         raise ValueError("window must be 1 to 60")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -215,10 +298,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
     found = common.written(paths(repeated_edges(chains(base.select("doc", "tag", "text"), window)), window), "paths")
     dealt = base.repartition(n, "doc", "tag")
     wanted = found.groupBy(F.col("src_doc").alias("doc"), F.col("src_tag").alias("tag")).agg(F.collect_set(F.struct("src_start", (F.col("src_start") + F.col("stop") - F.col("start")).alias("src_stop"))).alias("spans"))
-    seen = dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(_source_digests, "src_doc long, src_tag int, src_start int, src_stop int, digest binary").dropDuplicates(["src_doc", "src_tag", "src_start", "src_stop"])
+    seen = dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(common.tidy(_source_digests), "src_doc long, src_tag int, src_start int, src_stop int, digest binary").dropDuplicates(["src_doc", "src_tag", "src_start", "src_stop"])
     checked = found.withColumn("src_stop", F.col("src_start") + F.col("stop") - F.col("start")).join(seen, ["src_doc", "src_tag", "src_start", "src_stop"])
     own = checked.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop", "digest")).alias("spans"))
-    return dealt.join(own.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_without(), "doc_id long, n_words long, n_removed long, removed array<struct<start: int, stop: int>>, kept_text string")
+    return dealt.join(own.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(common.tidy(_without()), "doc_id long, n_words long, n_removed long, removed array<struct<start: int, stop: int>>, kept_text string")
 
 
 def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
