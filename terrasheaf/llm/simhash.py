@@ -213,8 +213,9 @@ SAMPLE, COMMON_COUNT, COMMON_ROWS = 16, 4, 1 << 18
 STAR_ROUNDS, TILE_ROWS = 2, 1024
 #: So many pairs are broadcast, so that texts need not be dealt out by id.
 BROADCAST_PAIRS = 400_000
-#: Longs of a set's parity code: bit b tells whether an odd number of its hashes end in b. Two codes differ in no more bits
-#: than members stand in one set alone, so a long code refuses most pairs before any text travels.
+#: Longs of a set's short parity code: bit b tells whether an odd number of its hashes end in b. Two codes differ in no
+#: more bits than members stand in one set alone. The short code is part of the join of candidates; a long one, of at
+#: least two bits a member, refuses most of the pairs of larger sets before any text travels.
 PARITY = ("b0", "b1", "b2", "b3")
 
 
@@ -240,8 +241,8 @@ def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """(doc, digest, b0 .. b3, n, keys): digest, parity code and size of each set of shingles, and the prefix of it, in the
-    common order, that it shares a member of with every set of that similarity."""
+    """(doc, digest, b0 .. b3, n, code, keys): digest, parity codes and size of each set of shingles, and the prefix of it, in
+    the common order, that it shares a member of with every set of that similarity."""
     place = np.argsort(last)
     shared = docs.sparkSession.sparkContext.broadcast((last[place], place))
 
@@ -265,9 +266,38 @@ def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) ->
             keys = hashes[common.ragged(n) < np.repeat(take, n)].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(keys))
             codes = [pa.array(x.view(np.int64)) for x in bits]
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(digest.view(np.int64)), *codes, pa.array(n, pa.int64()), lists], names=["doc", "digest", *PARITY, "n", "keys"])
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(digest.view(np.int64)), *codes, pa.array(n, pa.int64()), _long_codes(hashes, n), lists], names=["doc", "digest", *PARITY, "n", "code", "keys"])
 
-    return docs.mapInArrow(common.tidy(run), f"doc long, digest long, {', '.join(f'{c} long' for c in PARITY)}, n long, keys array<long>")
+    return docs.mapInArrow(common.tidy(run), f"doc long, digest long, {', '.join(f'{c} long' for c in PARITY)}, n long, code binary, keys array<long>")
+
+
+def _long_codes(hashes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity codes of 256 bits or the power of two from twice the members on."""
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    at = np.repeat(ends - bits, n) + (hashes & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1
+    return common.binaries(np.packbits(odd.astype(np.uint8), bitorder="little"), ends // 8)
+
+
+def _code_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parity codes differ; the longer one is folded to the length of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def _close_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the long codes of both do not refuse."""
+    x, y = (classes.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("code").alias(f"code_{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = common.column(batch, "n_a").to_numpy() + common.column(batch, "n_b").to_numpy()
+            most = (n - 2 * (similarity / (1 + similarity) * n - 1e-6)).tolist()
+            near = [_code_distance(p.as_py(), q.as_py()) <= m for p, q, m in zip(common.column(batch, "code_a"), common.column(batch, "code_b"), most, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "code_a", "code_b").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
@@ -374,7 +404,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     ids = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     sketch = common.written(_sketch(ids, width, similarity, _common_shingles(ids, width)), "sketch")
     same = ["digest", "b0", "n"]
-    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in (*PARITY[1:], "keys")))
+    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in (*PARITY[1:], "code", "keys")))
     classes = common.written(classes, "classes")
     shared = common.written(_shared_keys(classes).join(classes.select("doc", "n", *PARITY), "doc"), "shared")
     seen, edges, roots_ = None, None, None
@@ -385,7 +415,8 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
         pairs = _star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity)
         pairs = common.written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        found = common.written(_verified(pairs, ids, width, similarity), "edges")
+        close = common.written(_close_pairs(pairs, classes, similarity), "close")
+        found = common.written(_verified(close, ids, width, similarity), "edges")
         if found.take(1):
             edges = found if edges is None else edges.unionByName(found)
             roots_ = common.written(components(edges), "roots")
