@@ -5,6 +5,9 @@ A sampling step keeps suffix arrays to what can repeat: every string of `length`
 carries the bytes around its anchor to the shard that holds the anchor. A shard sorts its suffixes by Larsson-Sadakane
 refinement, takes common prefixes by Kasai's rule, and marks strings that two places share. An anchor with more bytes
 than a shard holds spans several, whose sorted suffixes are merged by binary search.
+
+An anchor in very many contexts (beyond MERGE_SHARDS shards, or beyond LOCAL_BYTES where its pieces are cut) would be too
+much for one task. Its strings are dealt by their 128-bit hashes instead, so that they meet wherever they come from.
 """
 
 from __future__ import annotations
@@ -21,7 +24,12 @@ from . import common
 LENGTH, ANCHOR = 200, 60
 #: Bytes of text of one suffix array.
 SHARD_BYTES = 1 << 21
-FLUSH_SLICES = 24
+#: Shards of one anchor that are merged in one task.
+MERGE_SHARDS = 4
+#: Places, and bytes of pieces, whose equals collapse before a shuffle; bytes of an anchor's pieces that are cut at once.
+FLUSH_PLACES, FLUSH_BYTES, LOCAL_BYTES = 1_000_000, 32 << 20, 1 << 18
+#: Kinds of piece rows: an anchor's marker, a piece, a range settled in its task, a piece that passes through.
+_MARK, _PIECE, _SETTLED, _LOOSE = range(4)
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -178,154 +186,177 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, length: int, shard
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each run of strings under one anchor: document, anchor hash, first string's place in the document, strings."""
+    """For each run of strings under one anchor: document, anchor, first string's place in the document, strings, and
+    whether the run is tied (its strings may be equal to each other)."""
     width = min(ANCHOR, length)
     size = np.maximum(np.diff(offsets) - length + 1, 0)
-    at = np.arange(max(len(data) - width + 1, 0))
     if not size.sum():
         none = np.zeros(0, np.int64)
-        return none, none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none, none, none.astype(bool)
+    at = np.arange(len(data) - width + 1)
     grams = common.byte_range_hashes(data, at, at + width)
-    least = common.window_minima(grams, length - width + 1)
     begin = np.repeat(offsets[:-1], size) + common.ragged(size)
     doc = np.repeat(np.arange(len(size)), size)
-    anchor = least[begin]
-    head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-    return doc[head], grams[anchor[head]], begin[head] - offsets[doc[head]], np.diff(np.r_[head, len(begin)])
-
-
-def _batch(names: str, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names.split())
+    head, anchor, tied = common.anchor_runs(grams, begin, doc, length - width + 1)
+    return doc[head], anchor, begin[head] - offsets[doc[head]], np.diff(np.r_[head, len(begin)]), tied
 
 
 def anchor_places(docs: DataFrame, length: int) -> DataFrame:
     """(anchor, doc, tag, first, twice): of anchors that a task meets more than once, the first is sent as `twice`; the
-    others are settled there and then and leave as (null anchor)."""
+    others are settled there and then and leave as (null anchor). A tied run has its anchor twice by itself."""
     schema = "anchor long, doc long, tag int, first int, twice boolean"
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        doc, tag, anchor, first = (np.concatenate([h[k] for h in held]) for k in range(4))
+        doc, tag, anchor, first, tied = (np.concatenate([h[k] for h in held]) for k in range(5))
         order = np.argsort(anchor, kind="stable")
         head = np.r_[True, anchor[order[1:]] != anchor[order[:-1]]]
         follow = np.zeros(len(doc), bool)
         follow[order] = ~head
-        twice = np.zeros(len(doc), bool)
-        twice[order] = head & np.r_[~head[1:], False]
-        return _batch("anchor doc tag first twice", pa.array(anchor.view(np.int64), mask=follow), doc, tag.astype(np.int32), first.astype(np.int32), twice)
+        twice = tied.copy()
+        twice[order] |= head & np.r_[~head[1:], False]
+        return common.record("anchor doc tag first twice", pa.array(anchor.view(np.int64), mask=follow), doc, tag.astype(np.int32), first.astype(np.int32), twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in common.slices(batches, "text"):
             ids, tags = common.column(batch, "doc").to_numpy(), common.column(batch, "tag").to_numpy()
-            d, anchor, first, _ = _anchors(*common.buffers(common.column(batch, "text")), length)
+            d, anchor, first, _, tied = _anchors(*common.buffers(common.column(batch, "text")), length)
             if len(d):
-                held.append((ids[d], tags[d], anchor, first))
-            if len(held) >= FLUSH_SLICES:
+                held.append((ids[d], tags[d], anchor, first, tied))
+                size += len(d)
+            if size >= FLUSH_PLACES:
                 yield flush(held)
-                held = []
+                held, size = [], 0
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
-def repeated_places(places: DataFrame) -> DataFrame:
-    """(doc, tag, first) of places whose anchor occurs more than once."""
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce("anchor", F.xxhash64("doc", "first"))
-    dealt = places.withColumn("settled", F.col("anchor").isNull()).withColumn("anchor", key).repartition(n, "anchor").sortWithinPartitions("settled", "anchor")
+def _equals(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """`columns` of rows that are `sure` or share `keys` with another row; those settled have keys of their own."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, while the next may share its anchor
+        held: pa.RecordBatch | None = None  # the last row, while the next may share its keys
         was = False
-
-        def rows(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
-            return batch.select(["doc", "tag", "first"]).take(pa.array(np.flatnonzero(keep)))
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, sure = common.column(batch, "anchor").to_numpy(), common.column(batch, "settled").to_numpy(zero_copy_only=False)
-            sure = sure | common.column(batch, "twice").to_numpy(zero_copy_only=False)
-            equal = (anchor[1:] == anchor[:-1])
-            many = sure.copy()
-            many[1:] |= equal
-            many[:-1] |= equal
-            if held is not None:
-                same = common.column(held, "anchor")[0].as_py() == anchor[0]
-                many[0] |= same
-                if was or same:
-                    yield rows(held, np.ones(1, bool))
-            held, was = batch.slice(batch.num_rows - 1), bool(many[-1])
-            yield rows(batch.slice(0, batch.num_rows - 1), many[:-1])
-        if held is not None and was:
-            yield rows(held, np.ones(1, bool))
-
-    return dealt.mapInArrow(run, "doc long, tag int, first int")
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            same = np.ones(table.num_rows - 1, bool)
+            for k in keys:
+                x = common.column(table, k).to_numpy()
+                same &= x[1:] == x[:-1]
+            keep = common.column(table, "sure").to_numpy(zero_copy_only=False) | np.r_[was, same] | np.r_[same, False]
+            held, was = table.slice(table.num_rows - 1), bool(same[-1]) if len(same) else was
+            yield table.slice(0, table.num_rows - 1).select(columns).filter(pa.array(keep[:-1]))
+        if held is not None and (was or common.column(held, "sure")[0].as_py()):
+            yield held.select(columns)
+
+    return dealt.mapInArrow(common.tidy(run), rows.select(*columns).schema)
+
+
+def repeated_places(places: DataFrame) -> DataFrame:
+    """(doc, tag, first) of places whose anchor occurs more than once."""
+    settled = F.col("anchor").isNull()
+    key = F.coalesce("anchor", F.xxhash64("doc", "first"))
+    return _equals(places.select(key.alias("anchor"), (settled | F.col("twice")).alias("sure"), "doc", "tag", "first"), ["anchor"], ["doc", "tag", "first"])
+
+
+_PIECES = "anchor long, kind int, doc long, tag int, first int, strings int, piece binary, copies int, tied boolean"
 
 
 def pieces_of(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, doc, tag, first, piece, copies): the bytes of all strings under each wanted anchor. Equal pieces of a task
-    are all repeated: one goes on with copies 2, the others leave settled, with copies 0 and an empty piece."""
-    schema = "anchor long, doc long, tag int, first int, strings int, piece binary, copies int"
+    """_PIECES: the bytes of all strings under each wanted anchor. Equal pieces of a task are all repeated: one goes on
+    with copies 2, the others leave settled, with an empty piece. Anchors with many bytes are marked and go on loose."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        doc, tag, anchor, first, count = (np.concatenate([h[k] for h in held]) for k in range(5))
-        pieces = [p for h in held for p in h[5]]
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, tag, anchor, first, count, tied = (np.concatenate([h[k] for h in held]) for k in range(6))
+        pieces = [p for h in held for p in h[6]]
         seen: dict[bytes, int] = {}
-        copies = np.ones(len(pieces), np.int32)
+        copies, kind = np.ones(len(pieces), np.int32), np.full(len(pieces), _PIECE, np.int32)
+        size = np.array([len(p) for p in pieces], np.int64)
         for i, p in enumerate(pieces):
             if (j := seen.setdefault(p, i)) != i:
-                copies[j], copies[i], pieces[i] = 2, 0, b""
-        key = np.where(copies == 0, common.mixed(doc.view(np.uint64) + first.astype(np.uint64)), anchor)
-        return _batch("anchor doc tag first strings piece copies", key.view(np.int64), doc, tag.astype(np.int32), first.astype(np.int32), count.astype(np.int32), pa.array(pieces, pa.binary()), copies)
+                copies[j], kind[i], pieces[i] = 2, _SETTLED, b""
+        own = np.flatnonzero(kind == _PIECE)
+        names, group = np.unique(anchor[own], return_inverse=True)
+        hot = np.bincount(group, size[own], minlength=len(names)) > LOCAL_BYTES
+        kind[own[hot[group]]] = _LOOSE
+        key = np.where(kind == _PIECE, anchor, common.mixed(doc.view(np.uint64) + first.astype(np.uint64)))
+        yield common.record("anchor kind doc tag first strings piece copies tied", key.view(np.int64), kind, doc, tag.astype(np.int32), first.astype(np.int32), count.astype(np.int32), pa.array(pieces, pa.binary()), copies, tied)
+        if hot.any():
+            marks = names[hot]
+            none = np.zeros(len(marks), np.int32)
+            yield common.record("anchor kind doc tag first strings piece copies tied", marks.view(np.int64), none + _MARK, none.astype(np.int64), none, none, none, pa.array([b""] * len(marks), pa.binary()), none, none.astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in common.slices(batches, "text"):
             data, offsets = common.buffers(common.column(batch, "text"))
-            d, anchor, first, count = _anchors(data, offsets, length)
+            d, anchor, first, count, tied = _anchors(data, offsets, length)
             wanted = common.column(batch, "firsts")
             flat, ends = wanted.flatten().to_numpy(), wanted.offsets.to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            mine = np.isin((d << 40) + first, (owner << 40) + flat.astype(np.int64))
-            d, anchor, first, count = d[mine], anchor[mine], first[mine], count[mine]
-            raw, at = data.tobytes(), (offsets[d] + first).tolist()
-            held.append((common.column(batch, "doc").to_numpy()[d], common.column(batch, "tag").to_numpy()[d], anchor, first, count, [raw[a : a + c + length - 1] for a, c in zip(at, count.tolist(), strict=True)]))
-            if len(held) >= FLUSH_SLICES:
-                yield flush(held)
-                held = []
+            mine = np.flatnonzero(np.isin((d << 40) + first, (owner << 40) + flat.astype(np.int64)))
+            raw = data.tobytes()
+            while len(mine):  # a very long text is cut in several turns
+                cut = max(1, int(np.searchsorted(np.cumsum(count[mine] + length), FLUSH_BYTES)))
+                m, mine = mine[:cut], mine[cut:]
+                at = (offsets[d[m]] + first[m]).tolist()
+                pieces = [raw[a : a + c + length - 1] for a, c in zip(at, count[m].tolist(), strict=True)]
+                held.append((common.column(batch, "doc").to_numpy()[d[m]], common.column(batch, "tag").to_numpy()[d[m]], anchor[m], first[m], count[m], tied[m], pieces))
+                size += int(count[m].sum()) + length * len(m)
+                if size >= FLUSH_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), _PIECES)
 
 
-def repeated_ranges(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc, tag, start, stop): byte ranges that repeated strings cover, from the shards' suffix arrays."""
+_RANGES = "doc long, tag int, start int, stop int, piece binary, sure boolean"
+
+
+def sharded_ranges(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """_RANGES: byte ranges that repeated strings cover, from the shards' suffix arrays (piece null); and the pieces of
+    anchors that are too large for one task."""
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(n, "anchor").sortWithinPartitions("anchor")
+    dealt = pieces.repartition(n, "anchor").sortWithinPartitions("anchor", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(length, shard_bytes)
+        open_ = None  # the anchor at hand, if it is sent on
         for batch in batches:
-            cols = [common.column(batch, c).to_pylist() for c in ("anchor", "doc", "tag", "first", "strings", "piece", "copies")]
-            for anchor, doc, tag, first, strings, piece, copies in zip(*cols, strict=True):
-                if copies == 0:
-                    shard.settled.append((doc, tag, first, first + strings + length - 1))
-                    continue
-                if anchor != shard.anchor:
-                    shard.next_anchor(anchor)
-                    if shard.size >= shard_bytes:
-                        yield from shard.solve()
-                shard.add(piece, copies, (doc, tag, first))
-            if len(shard.settled) > 50_000:
-                yield from shard.out()
+            cols = [common.column(batch, c).to_pylist() for c in ("anchor", "kind", "doc", "tag", "first", "strings", "piece", "copies", "tied")]
+            for anchor, kind, doc, tag, first, strings, piece, copies, tied in zip(*cols, strict=True):
+                if kind == _SETTLED:
+                    shard.settled.append((doc, tag, first, first + strings + length - 1, None, True))
+                elif kind == _LOOSE or (kind == _PIECE and anchor == open_):
+                    shard.send_on(piece, copies, (doc, tag, first))
+                elif kind == _MARK:
+                    open_ = anchor
+                else:
+                    if anchor != shard.anchor:
+                        shard.next_anchor(anchor)
+                        if shard.size >= shard_bytes:
+                            shard.solve()
+                    shard.add(piece, copies, tied, (doc, tag, first))
+                    if shard.own_size > MERGE_SHARDS * shard_bytes:
+                        shard.give_up()
+                        open_ = anchor
+                if shard.waiting > 1 << 22:
+                    yield shard.out()
         shard.next_anchor(None)
-        yield from shard.solve()
-        yield from shard.out()
+        shard.solve()
+        yield shard.out()
 
-    return dealt.mapInArrow(run, "doc long, tag int, start int, stop int")
+    return dealt.mapInArrow(common.tidy(run), _RANGES)
 
 
 class _Shard:
@@ -333,13 +364,25 @@ class _Shard:
 
     def __init__(self, length: int, limit: int):
         self.length, self.limit, self.anchor = length, limit, None
+        self.settled: list[tuple] = []
+        self.loose = 0
+        self.clear()
+
+    def clear(self) -> None:
         self.pieces: list[bytes] = []
         self.places: list[list[tuple]] = []
         self.copies: list[int] = []
         self.own: dict[bytes, int] = {}
-        self.start, self.size, self.settled = 0, 0, []
+        self.start = self.size = self.own_size = 0
+        self.tied = False
+
+    @property
+    def waiting(self) -> int:
+        """Bytes, about, of what is to go out."""
+        return 60 * len(self.settled) + self.loose
 
-    def add(self, piece: bytes, copies: int, place: tuple) -> None:
+    def add(self, piece: bytes, copies: int, tied: bool, place: tuple) -> None:
+        self.tied |= tied
         k = self.own.get(piece)
         if k is None:
             self.own[piece] = k = len(self.pieces)
@@ -347,37 +390,90 @@ class _Shard:
             self.places.append([])
             self.copies.append(0)
             self.size += len(piece)
+            self.own_size += len(piece)
         elif self.copies[k] > 1:  # known to be repeated whole: the place need not wait
-            self.settled.append((*place, place[2] + len(piece)))
+            self.settled.append((*place, place[2] + len(piece), None, True))
             return
         self.copies[k] += copies
         self.places[k].append(place)
 
     def next_anchor(self, anchor) -> None:
-        """A lone distinct piece needs no sorting: it is repeated whole or not at all."""
-        if len(self.pieces) - self.start == 1:
+        """A lone distinct piece whose strings differ needs no sorting: it is repeated whole or not at all."""
+        if len(self.pieces) - self.start == 1 and not self.tied:
             piece = self.pieces.pop()
             copies, places = self.copies.pop(), self.places.pop()
             self.size -= len(piece)
             if copies > 1:
-                self.settled += [(*p, p[2] + len(piece)) for p in places]
-        self.anchor, self.own, self.start = anchor, {}, len(self.pieces)
-
-    def solve(self) -> Iterator[pa.RecordBatch]:
+                self.settled += [(*p, p[2] + len(piece), None, True) for p in places]
+        self.anchor, self.own, self.start, self.own_size, self.tied = anchor, {}, len(self.pieces), 0, False
+
+    def send_on(self, piece: bytes, copies: int, place: tuple) -> None:
+        self.settled.append((*place, place[2] + len(piece), piece, copies > 1))
+        self.loose += len(piece)
+
+    def give_up(self) -> None:
+        """Sends on the pieces of the anchor at hand."""
+        for piece, copies, places in zip(self.pieces[self.start :], self.copies[self.start :], self.places[self.start :], strict=True):
+            self.send_on(piece, copies, places[0])
+            self.settled += [(*p, p[2] + len(piece), None, True) for p in places[1:]]
+        self.pieces, self.copies, self.places = self.pieces[: self.start], self.copies[: self.start], self.places[: self.start]
+        self.size -= self.own_size
+        self.own, self.own_size, self.tied = {}, 0, False
+
+    def solve(self) -> None:
         if self.pieces:
             for piece, mask, places in zip(self.pieces, repeated_windows(self.pieces, np.array(self.copies), self.length, self.limit), self.places, strict=True):
                 at = np.flatnonzero(mask)
                 if len(at):
                     a, b = common.covered_runs(at, at + self.length)
-                    self.settled += [(d, t, f + x, f + y) for d, t, f in places for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        self.pieces, self.places, self.copies, self.own, self.start, self.size = [], [], [], {}, 0, 0
-        yield from self.out()
+                    self.settled += [(d, t, f + x, f + y, None, True) for d, t, f in places for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        self.clear()
+
+    def out(self) -> pa.RecordBatch:
+        cols = list(zip(*self.settled, strict=True)) or [()] * 6
+        self.settled, self.loose = [], 0
+        return common.record("doc tag start stop piece sure", *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)))
+
+
+_SECOND = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if self.settled:
-            d, t, a, b = zip(*self.settled, strict=True)
-            self.settled = []
-            yield _batch("doc tag start stop", pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()))
+
+def loose_ranges(ranges: DataFrame, length: int) -> DataFrame:
+    """(doc, tag, start, stop) of strings of the pieces that were sent on, which another place starts too, by two 64-bit
+    hashes of each string. Equal strings of a batch collapse before they are dealt."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = common.lengths(common.column(batch, "piece"))
+            ends = np.cumsum(size)
+            for a, b in _portions(ends, SHARD_BYTES):
+                part = batch.slice(a, b - a)
+                data, offsets = common.buffers(common.column(part, "piece"))
+                count = np.diff(offsets) - length + 1
+                row, step = np.repeat(np.arange(part.num_rows), count), common.ragged(count)
+                at = offsets[row] + step
+                h1, h2 = common.byte_range_hashes(data, at, at + length), common.range_hashes(_SECOND[data], at, at + length)
+                doc, tag, start = (common.column(part, c).to_numpy()[row] for c in ("doc", "tag", "start"))
+                start = (start + step).astype(np.int32)
+                sure = common.column(part, "sure").to_numpy(zero_copy_only=False)[row]
+                order = np.lexsort((h2, h1))
+                head = np.r_[True, (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])]
+                follow, twice = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
+                follow[order], twice[order] = ~head, head & np.r_[~head[1:], False]
+                key = np.where(follow, common.mixed(doc.view(np.uint64) + start.astype(np.uint64)), h1)
+                # what follows has keys of its own and is sure; its string goes on through the first
+                yield common.record("h1 h2 doc tag start sure", key.view(np.int64), np.where(follow, doc.view(np.uint64), h2).view(np.int64), doc, tag, start, sure | follow | twice)
+
+    strings = ranges.filter("piece is not null").mapInArrow(common.tidy(cut), "h1 long, h2 long, doc long, tag int, start int, sure boolean")
+    return _equals(strings, ["h1", "h2"], ["doc", "tag", "start"]).withColumn("stop", F.col("start") + length)
+
+
+def _portions(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, to
+        at = to
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -385,7 +481,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_col: str = "doc_id
 
     A byte goes if a string of `length` bytes over it starts anywhere else too, in any row or its own. Null text: empty.
     Null doc_id: as any other. Rows that repeat both id and text are each counted, so both lose their strings. Cuts may
-    split a character, hence kept is binary. Empty table: empty result. Texts are shuffled once and read twice."""
+    split a character, hence kept is binary. Empty table: empty result. Other columns do not matter. Very long or periodic
+    texts: pieces are cut by bytes, and periodic text has as few of them as any other. Texts are shuffled once and read
+    twice."""
     if length < 8:
         raise ValueError("length must be 8 or more")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -394,8 +492,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_col: str = "doc_id
     dealt = base.repartition(n, "doc", "tag")
     wanted = repeated_places(anchor_places(base.select("doc", "tag", "text"), length)).groupBy("doc", "tag").agg(F.collect_set("first").alias("firsts"))
     pieces = pieces_of(dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]), length)
-    ranges = common.written(repeated_ranges(pieces, length, shard_bytes).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "ranges")
-    return dealt.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: int, stop: int>>, kept binary")
+    found = common.written(sharded_ranges(pieces, length, shard_bytes), "ranges")
+    ranges = found.filter("piece is null").select("doc", "tag", "start", "stop")
+    if found.filter("piece is not null").take(1):
+        ranges = ranges.unionByName(loose_ranges(found, length))
+    ranges = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return dealt.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(common.tidy(_without), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: int, stop: int>>, kept binary")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,4 +517,4 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_bytes.append(len(raw))
             n_removed.append(len(raw) - len(kept[-1]))
             removed.append([{"start": s, "stop": e} for s, e in zip(a.tolist(), b.tolist(), strict=True)])
-        yield _batch("doc_id n_bytes n_removed n_spans removed kept", common.column(batch, "doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(r) for r in removed], pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary()))
+        yield common.record("doc_id n_bytes n_removed n_spans removed kept", common.column(batch, "doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(r) for r in removed], pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary()))

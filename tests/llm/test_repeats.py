@@ -119,3 +119,21 @@ def test_anchor_runs():
             own = [v[b : b + w].tobytes() for b in begin[run == r].tolist()]
             assert tied[r] or len(set(own)) == len(own)
     assert len(common.anchor_runs(np.full(200_000, 5 << 30, np.uint64), np.arange(199_860), np.zeros(199_860, np.int64), 141)[0]) < 1500
+
+
+@pytest.mark.parametrize("limits", [(1 << 18, 4, 1 << 21), (500, 4, 1 << 21), (1 << 30, 1, 700), (500, 1, 700)])
+def test_bytes_of_hot_anchors(spark, limits, monkeypatch, small_batches):
+    monkeypatch.setattr(suffixes, "LOCAL_BYTES", limits[0])
+    monkeypatch.setattr(suffixes, "MERGE_SHARDS", limits[1])
+    monkeypatch.setattr(suffixes, "FLUSH_BYTES", 20_000)
+    rows = hot_texts()
+    assert bytes_of(suffixes.remove_repeats(frame(spark, rows), shard_bytes=limits[2])) == brute_bytes(rows)
+
+
+def test_long_and_periodic_bytes(spark):
+    rng = random.Random(2)
+    rows = [(1, "a" * 20_000_000), (2, "ab" * 150), (3, "".join(rng.choices("0123456789abcdef", k=2_000_000))), (4, "xyz" * 100_000 + "q")]
+    began = time.time()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: (20_000_000, 20_000_000, 1), 2: (300, 300, 1), 3: (2_000_000, 0, 0), 4: (300_001, 300_000, 1)}
+    assert time.time() - began < 120
