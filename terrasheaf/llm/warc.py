@@ -1,23 +1,31 @@
 """WARC archives of web pages, and their capture index by an external merge.
 
-Writing: Spark's text sink, each record a line that ends in the WARC record separator, so archives land on any file
-system Spark can write. Reading: each archive yields a run of captures sorted by URL key and time; runs are dealt by
-key range, and each range merges its parts of the runs through a loser tree into globally ordered histories.
+Writing: each record is a gzip member of its own, so that one can be fetched by (file, offset, length); Spark's text sink
+puts the members one after the other, on any file system Spark can write. Reading: each archive yields a run of captures
+sorted by URL key and time; runs are dealt by key ranges of bounded size, and each range merges its parts of the runs
+through a loser tree into globally ordered histories.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 REVISIT_BYTES = 1000
-#: Records of one archive; bounds what a reading task holds.
-FILE_RECORDS = 2000
+#: Records of an archive, fewer where pages have LARGE_BYTES or more: both bound what a reading task holds.
+FILE_RECORDS, LARGE_RECORDS, LARGE_BYTES = 2000, 16, 1 << 20
+#: Captures of one range of the index, and of a run's block that is taken into the merge at once.
+RANGE_ROWS, BLOCK_ROWS = 200_000, 1024
+#: A gzip member ends in the upper byte of its length, which is zero below this. Longer records take several members.
+MEMBER_BYTES = (1 << 24) - 1
 _END = "\r\n\r\n"
 
 
@@ -42,7 +50,7 @@ def decide_records(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFram
 
 
 def record_text(decided: DataFrame) -> DataFrame:
-    """One WARC/1.1 record as text a row (its closing separator is the sink's line separator)."""
+    """(value): one WARC/1.1 record a row, with its closing separator."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
     revisit = F.col("refers_to").isNotNull()
@@ -61,17 +69,42 @@ def record_text(decided: DataFrame) -> DataFrame:
         line("Content-Length", F.octet_length("_block").cast("string")),
         F.lit("\r\n"),
     )
-    return decided.withColumn("_block", block).select(F.concat(header, "_block").alias("value"))
+    return decided.withColumn("_block", block).select(F.concat(header, "_block", F.lit(_END)).alias("value"))
+
+
+def gzip_members(record: bytes) -> bytes:
+    """record as gzip: one member, or several where it is very long."""
+    out = b""
+    for at in range(0, len(record), MEMBER_BYTES):
+        coder = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += coder.compress(record[at : at + MEMBER_BYTES]) + coder.flush()
+    return out
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members without their last byte, a zero: the sink's line separator supplies it."""
+    for batch in common.slices(batches, "value"):
+        members = [gzip_members(x.as_buffer().to_pybytes())[:-1] for x in common.column(batch, "value")]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
 
 
 def write_warc(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, min_bytes: int = REVISIT_BYTES) -> str:
     """Writes gzip-compressed archives under path; returns path. Without date_col, page ids count seconds from 2020."""
     when = F.col(date_col).cast("timestamp") if date_col else F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.col(page_col), F.lit(0)))
     rows = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), when.alias("captured"))
-    record_text(decide_records(rows, min_bytes)).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    decided = decide_records(rows, min_bytes)
+    large = F.col("payload_bytes") >= LARGE_BYTES
+    _append(decided.filter(~large), path, FILE_RECORDS)
+    if rows.filter(F.octet_length("html") >= LARGE_BYTES).take(1):
+        _append(decided.filter(large), path, LARGE_RECORDS)
     return path
 
 
+def _append(decided: DataFrame, path: str, records_per_file: int) -> None:
+    members = record_text(decided).mapInArrow(common.tidy(_compressed), "value binary").select(F.col("value").cast("string").alias("value"))
+    members.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+
+
 def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an uncompressed archive."""
     at = 0
@@ -99,37 +132,63 @@ def _capture(headers: dict[str, str], block: bytes) -> tuple:
     return _number(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Date"], size, digest, headers["WARC-Type"], _number(headers.get("WARC-Refers-To"))
 
 
+def members(raw: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of an archive's records: members are unpacked one by one, until a record is whole."""
+    at = 0
+    while at < len(raw):
+        start, record, whole = at, bytearray(), False
+        while not whole:
+            coder = zlib.decompressobj(31)
+            while not coder.eof:
+                piece = raw[at : at + (1 << 16)]
+                if not piece:
+                    raise ValueError(f"the record at byte {start} is cut off")
+                record += coder.decompress(piece)
+                at += len(piece) - len(coder.unused_data)
+            end = record.find(b"\r\n\r\n")
+            whole = end >= 0 and len(record) >= end + 8 + int(record[:end].rpartition(b"Content-Length: ")[2])
+        yield start, at - start, bytes(record)
+
+
+def fetch(raw: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of the record at a place that the index names, of an archive's bytes."""
+    return next(records(next(members(memoryview(raw)[offset : offset + length]))[2]))
+
+
+_CAPTURES = "run string, offset long, length long, page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """(run, page_id, url, payload_bytes, payload_digest, record_type, refers_to, url_key, captured) of the archives under
-    path; run is the archive. Payloads are checked against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    """(run, offset, length, page_id, url, payload_bytes, payload_digest, record_type, refers_to, url_key, captured) of the
+    archives under path; run is the archive, and the record stands at offset in it. Payloads are checked against their
+    digests, one record at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    names = [c.split()[0] for c in _CAPTURES.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = [_capture(*r) for r in records(gzip.decompress(content.as_py()))]
-                cols = list(zip(*found, strict=True)) or [()] * 7
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["run", "page_id", "url", "date", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                found = [(name.as_py(), offset, length, *_capture(*next(records(record)))) for offset, length, record in members(memoryview(content.as_buffer()))]
+                cols = list(zip(*found, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    parsed = files.mapInArrow(parse, "run string, page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    parsed = files.mapInArrow(common.tidy(parse), _CAPTURES)
     return parsed.withColumn("url_key", url_key(F.col("url"))).withColumn("captured", F.to_timestamp("date")).drop("date")
 
 
 class LoserTree:
-    """Merges sorted runs: each inner node keeps the loser of its match, so a pop replays one path from leaf to root."""
+    """Merges sorted iterators: each inner node keeps the loser of its match, so a pop replays one path from leaf to root."""
 
-    def __init__(self, runs: list[list]):
-        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
+    def __init__(self, runs: list):
+        self.runs, self.k = [iter(r) for r in runs], len(runs)
+        self.heads = [next(r, None) for r in self.runs]
         self.losers = [-1] * max(1, self.k)
         for i in range(self.k):
             self._enter(i)
 
-    def _head(self, i: int):
-        return self.runs[i][self.at[i]] if self.at[i] < len(self.runs[i]) else None
-
     def _less(self, i: int, j: int) -> bool:
-        a, b = self._head(i), self._head(j)
+        a, b = self.heads[i], self.heads[j]
         return a is not None and (b is None or (a, i) < (b, j))
 
     def _enter(self, i: int) -> None:
@@ -145,9 +204,9 @@ class LoserTree:
         self.losers[0] = i
 
     def __iter__(self):
-        while self.k and (head := self._head(i := self.losers[0])) is not None:
+        while self.k and (head := self.heads[i := self.losers[0]]) is not None:
             yield head
-            self.at[i] += 1
+            self.heads[i] = next(self.runs[i], None)
             node = (i + self.k) // 2
             while node:
                 if self._less(self.losers[node], i):
@@ -159,23 +218,31 @@ class LoserTree:
 def capture_index(captures: DataFrame) -> DataFrame:
     """Captures in global order of (url_key, captured, page_id), partitions being ranges of it. Ties keep both rows.
 
-    Ranges split by time and page too, so one much captured URL spreads over several. Null page ids come first."""
-    spark = captures.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Captures (no payloads) are written once, then cut into ranges of about RANGE_ROWS, by time and page too, so that one
+    much captured URL spreads over several and a merging task's rows are bounded; their keys are unpacked a block of
+    each run at a time. Null page ids come first. No captures: empty result."""
+    captures = common.written(captures, "captures")
+    n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
     cols = captures.columns
     dealt = captures.repartitionByRange(n, F.col("url_key"), F.col("captured"), F.col("page_id")).sortWithinPartitions("run", "url_key", "captured", "page_id")
     run, key, time, page = (cols.index(c) for c in ("run", "url_key", "captured", "page_id"))
 
+    def keys(table: pa.Table, begin: int, end: int) -> Iterator[tuple]:
+        for at in range(begin, end, BLOCK_ROWS):
+            block = table.slice(at, min(BLOCK_ROWS, end - at))
+            for i, (k, t, p) in enumerate(zip(block.column(key).to_pylist(), block.column(time).cast(pa.int64()).to_pylist(), block.column(page).to_pylist(), strict=True), at):
+                yield k, t, p is not None, p or 0, i
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        runs: dict[str, list] = {}
-        pages = table.column(page).to_pylist()
-        for i, (r, k, t, p) in enumerate(zip(table.column(run).to_pylist(), table.column(key).to_pylist(), table.column(time).cast(pa.int64()).to_pylist(), pages, strict=True)):
-            runs.setdefault(r, []).append((k, t, p is not None, p or 0, i))
-        order = [x[-1] for x in LoserTree(list(runs.values()))]
-        yield from table.take(pa.array(order)).combine_chunks().to_batches()
-
-    return dealt.mapInArrow(merge, captures.schema)
+        names = table.column(run).combine_chunks().dictionary_encode()
+        names = (names.chunk(0) if isinstance(names, pa.ChunkedArray) else names).indices.to_numpy()
+        begin = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]).tolist()
+        order = [x[-1] for x in LoserTree([keys(table, a, b) for a, b in zip(begin, [*begin[1:], len(names)], strict=True)])]
+        for at in range(0, len(order), 10_000):
+            yield from table.take(pa.array(order[at : at + 10_000])).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(common.tidy(merge), captures.schema)

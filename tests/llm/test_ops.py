@@ -139,8 +139,30 @@ def test_warc(spark, tmp_path):
     keys = [(r["url_key"], r["captured"]) for r in index]
     assert keys == sorted(keys)
     assert warc.capture_index(warc.read_captures(spark, warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")))).count() == 0
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
-    assert len(list(warc.records(raw))) == 7
+    files = {f"file:{p}": p.read_bytes() for p in (tmp_path / "w").glob("part-*")}
+    assert len(list(warc.records(b"".join(map(gzip.decompress, files.values()))))) == 7
+    for r in index:
+        headers, block = warc.fetch(files[r["run"].replace("file://", "file:")], r["offset"], r["length"])
+        assert headers["WARC-Payload-Digest"] == "sha1:" + r["payload_digest"] and (r["record_type"] == "revisit" or len(block.partition(b"\r\n\r\n")[2]) == r["payload_bytes"])
+
+
+def test_warc_large_records(spark, tmp_path, monkeypatch):
+    """Records of several members, small ranges and blocks, one much captured URL, repeated rows."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    rng = random.Random(4)
+    huge = "".join(rng.choices("abcdefgh", k=17_000_000))
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i % 7}.org/{i}", f"page {i % 40} " * 120, 9) for i in range(300)] + [(900, "http://big.org", huge, 9), (901, "http://big.org", huge, 9), (5, "http://hot.org/", "page 5 " * 120, 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, URL_key int").repartition(4)
+    index = warc.capture_index(warc.read_captures(spark, warc.write_warc(df, str(tmp_path / "w")))).collect()
+    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in index]
+    assert keys == sorted(keys) and len(keys) == 303
+    big = {r["page_id"]: r for r in index if r["page_id"] in (900, 901)}
+    assert big[900]["refers_to"] == 901 and big[901]["payload_digest"] == hashlib.sha1(huge.encode()).hexdigest() and big[901]["payload_bytes"] == 17_000_000
+    last = {}
+    for i, _, html, _ in rows:
+        last[html] = max(last.get(html, 0), i)
+    want = Counter((i, None if last[html] == i or len(html) < 1000 else last[html]) for i, _, html, _ in rows)
+    assert Counter((r["page_id"], r["refers_to"]) for r in index) == want
 
 
 def test_loser_tree():
