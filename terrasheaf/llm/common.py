@@ -27,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set here only where unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); set here only where unset on a local master, as in tests.
+    A cluster without one is an error: a temporary folder of the driver is no place that executors see."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

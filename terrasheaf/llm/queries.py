@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import common, decontaminate, mixing, pii, quality, secrets, simhash, substrings, suffixes, tokens, warc
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
-#: Stands in for a secret that a deployment would hold outside the code.
-PII_KEY = "public demonstration key"
+#: Where a deployment sets its secret, and what stands in for it in the registered query.
+PII_KEY_CONF, PII_KEY = "spark.terrasheaf.piiKey", "public demonstration key"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    out = pii.pseudonymize(common.table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY_CONF, PII_KEY))
     return out.select("doc_id", "text", "pii.*")
 
 

@@ -104,7 +104,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             arrays = [*(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(digests, pa.string()), pa.array(found, pa.list_(item))]
             yield pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in keep), *arrays], names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
-    return docs.select(*keep, text_col).mapInArrow(run, kind)
+    return docs.select(*keep, text_col).mapInArrow(common.tidy(run), kind)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -118,7 +118,9 @@ def find_secrets(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
 
     spans: base spans, and further candidates whose owners are fewer than example_owners. found tells, for each
     candidate, its repositories and owners and whether it looks live. Null text: empty. Null owner or repository
-    columns count as one owner. Repeated or null doc_id: rows stay apart. Empty table: empty result."""
+    columns count as one owner. Repeated or null doc_id: rows stay apart. Empty table: empty result. A value that very many
+    documents hold is a skewed key of the join with its spread, which adaptive execution splits. Other columns do not
+    matter."""
     rows = docs.select(F.col(doc_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols)).alias("repo"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     scanned = common.written(scan(rows), "secrets")
     spread = ownership(scanned)

@@ -1,7 +1,8 @@
 """Token ids as ORC: integer run-length encoding, row indexes and Bloom filters on document ids.
 
 Documents are dealt by ranges of doc_id, so each file holds one range in order, and files read stripe by stripe in
-parallel. A row carries its place within the file; the place in the whole corpus follows from the files' totals.
+parallel. A row carries its place within the file; the place in the whole corpus follows from the files' totals, which
+stand in a table beside them, so that a read of a few documents skips all other stripes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: The side table of the files' totals; Spark's readers of the folder above pass it by.
+TOTALS = "_totals"
 END_ID = 1
 #: Distinct words whose ids a Python worker remembers; above it, it starts anew. Bytes of text looked up together.
 CACHE_WORDS, LOOKUP_BYTES = 1_000_000, 8 << 20
@@ -110,11 +113,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
     """docs (doc_id, text) as (shard, doc_id, shard_start, n_tokens, ids), in ascending doc_id order over partitions.
 
     Without a number of partitions, adaptive execution joins small ones; they stay in order. Null text: no ids but the
-    end id. Null doc_id: first. Equal doc_ids: by text."""
+    end id. Null doc_id: first. Equal doc_ids: by the text's length, then by text."""
     path = vocabulary or default_vocabulary()
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     by = ("doc_id", F.length("text"))
-    dealt = (base.repartitionByRange(partitions, *by) if partitions else base.repartitionByRange(*by)).sortWithinPartitions("doc_id", "text")
+    dealt = (base.repartitionByRange(partitions, *by) if partitions else base.repartitionByRange(*by)).sortWithinPartitions(*by, "text")
     dealt = dealt.withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,18 +137,25 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
 
 
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, doc_col: str = "doc_id", text_col: str = "text") -> str:
-    """Writes ORC files of token ids under path, one range of doc_id a file; returns path."""
+    """Writes ORC files of token ids under path, one range of doc_id a file, and their totals; returns path.
+
+    Empty table: no rows. Very long texts: one row each, whatever their length. Other columns of docs are left out."""
     encode(docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), vocabulary, end_id).write.options(**ORC_OPTIONS).orc(path)
+    rows = docs.sparkSession.read.schema(_ROW).orc(path)
+    rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).coalesce(1).write.parquet(f"{path}/{TOTALS}")
     return path
 
 
+_ROW = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
+
+
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of written files. start: ids of all documents before it.
 
     Files' totals are one row a file; they meet in one running sum, the ids do not."""
-    rows = spark.read.schema("shard int, doc_id long, shard_start long, n_tokens long, ids array<int>").orc(path)
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    before = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = spark.read.schema(_ROW).orc(path)
+    totals = spark.read.schema("shard int, n long").parquet(f"{path}/{TOTALS}")
+    before = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return rows.join(F.broadcast(before), F.col("shard") == F.col("_shard")).select("doc_id", (F.col("_before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
@@ -164,5 +174,6 @@ def with_crc32(rows: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The ids of given documents; ORC statistics and Bloom filters skip files, stripes and row groups."""
+    """(doc_id, start, n_tokens, ids) of given documents; ORC statistics and Bloom filters skip files, stripes and row
+    groups, and nothing else of the corpus is read but the files' totals."""
     return read_token_ids(spark, path).filter(F.col("doc_id").isin(doc_ids))
