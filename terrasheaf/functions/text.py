@@ -73,9 +73,14 @@ def crs_text(meta: Column) -> Column:
 
 def first_text(properties: Column, keys: Sequence[str]) -> Column:
     """The first of the keys whose JSON value is a string; else `unknown`. Numbers, null and objects are passed over."""
-    fields = F.from_json(properties, "map<string,string>")
-    quoted = lambda k: F.regexp_extract(properties, r'"' + k.replace(":", ":") + r'"\s*:\s*(.)', 1) == '"'
-    return F.coalesce(*(F.when(quoted(k), F.element_at(fields, F.lit(k))) for k in keys), F.lit("unknown"))
+    document = F.try_parse_json(properties)
+
+    def string(key: str) -> Column:
+        path = f"$['{key}']"
+        kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+        return F.when(kind == "STRING", F.try_variant_get(document, path, "string"))
+
+    return F.coalesce(*map(string, keys), F.lit("unknown"))
 
 
 def has_all_tags(tags: Column, required: Column) -> Column:

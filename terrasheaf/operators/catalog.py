@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,22 @@ def register(catalog: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return catalog.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def read_overlay(catalog: DataFrame, path: str) -> DataFrame:
+    """The overlay written at path, with the catalog's columns; absent: no rows; lines that do not parse are left out."""
+    spark = catalog.sparkSession
+    try:
+        return spark.read.schema(catalog.schema).option("mode", "DROPMALFORMED").json(path).filter(F.col("id").isNotNull())
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return spark.createDataFrame([], catalog.schema)
+
+
+def write_overlay(overlay: DataFrame, path: str) -> None:
+    """Persists imported records, in place of those of the path."""
+    overlay.write.mode("overwrite").json(path)
+
+
 def upsert_overlay(catalog: DataFrame, overlay: DataFrame | None) -> DataFrame:
     return catalog if overlay is None else register(catalog, overlay)
 
@@ -49,12 +66,19 @@ def bind_datasets(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def match_dataset(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """(request_id, status, id, n_ids): one match is `matched`, none `no_match`, several `ambiguous`; n_ids counts them
-    and id is the smallest, so no list grows with the catalog."""
+    and id is the smallest, so no list grows with the catalog. ambiguous_ids() has all of them, as rows."""
     found = bind_datasets(requests, catalog).groupBy("request_id").agg(F.count("*").alias("n_ids"), F.min("id").alias("id"))
     joined = requests.select("request_id").join(found, "request_id", "left").withColumn("n_ids", F.coalesce("n_ids", F.lit(0)))
     return joined.select("request_id", F.when(F.col("n_ids") == 0, "no_match").when(F.col("n_ids") == 1, "matched").otherwise("ambiguous").alias("status"), "id", "n_ids")
 
 
+def ambiguous_ids(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(request_id, id): every id of the requests that several records match, in order."""
+    found = bind_datasets(requests, catalog)
+    several = found.groupBy("request_id").count().filter(F.col("count") > 1).select("request_id")
+    return found.join(several, "request_id", "left_semi").orderBy("request_id", "id")
+
+
 def collection_summary(catalog: DataFrame) -> DataFrame:
     """One row: union of the boxes, item count and the number of items by format (as JSON, formats in order)."""
     box = catalog.agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.count("*").alias("item_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))

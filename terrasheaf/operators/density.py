@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasheaf.functions import geometry as G
@@ -60,12 +60,17 @@ def population_density(features: DataFrame, classes: int = 5) -> DataFrame:
     return classified(with_density(features), "density_per_km2", classes)
 
 
-def density_checks(df: DataFrame, crs: str, expected: int, boundary_source: str = "unknown") -> DataFrame:
-    """Six rows (name, passed, detail) from one aggregate over df (population, area_km2)."""
-    one = df.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.coalesce(F.col("population") > 0, F.lit(False))), F.lit(True)).alias("positive"), F.count_if(F.col("area_km2") <= 0).alias("flat"))
+def _facts(df: DataFrame) -> list[Column]:
+    """Aggregates over df (population, area_km2) that the checks read: n, positive, flat."""
+    positive = F.coalesce(F.bool_and(F.coalesce(F.col("population") > 0, F.lit(False))), F.lit(True))
+    return [F.count("*").alias("n"), positive.alias("positive"), F.count_if(F.col("area_km2") <= 0).alias("flat")]
+
+
+def _checks(crs: str, expected: int, boundary_source: str) -> Column:
+    """The six checks (name, passed, detail) of a row of _facts."""
     check = lambda name, passed, detail: F.struct(F.lit(name).alias("name"), passed.alias("passed"), detail.alias("detail"))
     yes = F.lit(True)
-    rows = F.array(
+    return F.array(
         check("crs_declared", F.lit(crs.startswith("EPSG:")), F.lit(f"CRS = {crs}")),
         check("area_method_recorded", yes, F.concat(F.lit("planar WGS84 scaling; features without area: "), F.col("flat").cast("string"))),
         check("population_positive", F.col("positive"), F.concat(F.col("n").cast("string"), F.lit(" features"))),
@@ -73,7 +78,11 @@ def density_checks(df: DataFrame, crs: str, expected: int, boundary_source: str
         check("feature_count", F.col("n") == expected, F.concat(F.lit(f"{expected} expected, found "), F.col("n").cast("string"))),
         check("boundary_source", yes, F.lit(boundary_source)),
     )
-    return one.select(F.explode(rows).alias("c")).select("c.*")
+
+
+def density_checks(df: DataFrame, crs: str, expected: int, boundary_source: str = "unknown") -> DataFrame:
+    """Six rows (name, passed, detail) from one aggregate over df (population, area_km2)."""
+    return df.agg(*_facts(df)).select(F.explode(_checks(crs, expected, boundary_source)).alias("c")).select("c.*")
 
 
 def verify_density(df: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -119,12 +128,13 @@ def verify_features(df: DataFrame, crs: str, expected: int) -> DataFrame:
     return df.agg(F.count("*").alias("feature_count")).withColumn("passed", (F.col("feature_count") == expected) & F.lit(crs.startswith("EPSG:")))
 
 
-def analysis_summary(df: DataFrame, checks: DataFrame, goal: str, dataset: str, crs: str) -> DataFrame:
-    """One row: goal, dataset, feature count, unit, crs, whether all checks passed, densest feature."""
-    top = top_density(df).select(F.col("ward_name").alias("top_name"), F.col("density_per_km2").alias("top_density"))
-    count, status = df.agg(F.count("*").alias("feature_count")), checks.agg(F.bool_and("passed").alias("all_passed"))
-    one = count.join(F.broadcast(status)).join(F.broadcast(top), how="left")
-    return one.select(F.lit(goal).alias("goal"), F.lit(dataset).alias("dataset"), "feature_count", F.lit(UNIT).alias("unit"), F.lit(crs).alias("crs"), "all_passed", "top_name", "top_density")
+def analysis_summary(df: DataFrame, goal: str, dataset: str, crs: str, expected: int, boundary_source: str = "unknown") -> DataFrame:
+    """One row from one aggregate: goal, dataset, feature count, unit, crs, whether all of density_checks pass, densest
+    feature (of equal ones that of the largest ward_code; NaN left out)."""
+    x = G.no_nan(F.col("density_per_km2"))
+    top = F.max_by(F.struct("ward_name", "density_per_km2"), F.when(x.isNotNull(), F.struct("density_per_km2", "ward_code"))).alias("top")
+    passed = F.forall(_checks(crs, expected, boundary_source), lambda c: c["passed"])
+    return df.agg(*_facts(df), top).select(F.lit(goal).alias("goal"), F.lit(dataset).alias("dataset"), F.col("n").alias("feature_count"), F.lit(UNIT).alias("unit"), F.lit(crs).alias("crs"), passed.alias("all_passed"), F.col("top.ward_name").alias("top_name"), F.col("top.density_per_km2").alias("top_density"))
 
 
 def attach_sources(df: DataFrame, citations: list[str]) -> DataFrame:
@@ -143,9 +153,11 @@ def join_population(boundaries: DataFrame, population: DataFrame) -> DataFrame:
 def timing_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """By group: least, largest, whole mean and upper median (element n div 2) of whole values.
 
-    The median is the row of that rank in a window, so no group is gathered into an array."""
-    from pyspark.sql import Window
-
-    ranked = df.select(group, F.col(value).alias("v"), F.row_number().over(Window.partitionBy(group).orderBy(value)).alias("r"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    out = ranked.groupBy(group).agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.expr("sum(v) div count(*)").alias("mean_value"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("v"))).alias("median_value"))
-    return out
+    Values are counted first, with a partial step, so a group is as large as its distinct values: the median is the first
+    whose running count passes half of the group."""
+    order = Window.partitionBy(group).orderBy("v")
+    counts = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = counts.select(group, "v", "c", (upto > F.floor(n / 2)).alias("past"))
+    return ranked.groupBy(group).agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.expr("sum(v * c) div sum(c)").alias("mean_value"), F.min(F.when(F.col("past"), F.col("v"))).alias("median_value"))

@@ -31,14 +31,15 @@ METRICS = (
     ("population_density", ("density",), False, 0.35),
 )
 PLACE_WEIGHT, MAP_WEIGHT = 0.45, 0.20
-#: Workflows by precedence: metric, whether the place is needed, dataset tags.
+#: The place, and the workflows by precedence: metric, whether the place is needed, id, dataset tags.
+PLACE, PLACE_TOKEN = "名古屋市", "place:nagoya"
 WORKFLOWS = (
-    ("external_stac", False, ("stac", "external")),
-    ("geoparquet_density", True, ("nagoya", "geoparquet")),
-    ("geoparquet", True, ("nagoya", "geoparquet")),
-    ("population_density", True, ("nagoya", "population")),
-    ("remote_cog", False, ("cog", "remote")),
-    ("local_cog", False, ("cog", "local")),
+    ("external_stac", False, "external-stac-demo", ("stac", "external", "demo")),
+    ("geoparquet_density", True, "nagoya-geoparquet-density", ("nagoya", "geoparquet", "density")),
+    ("geoparquet", True, "nagoya-geoparquet", ("nagoya", "geoparquet", "demo")),
+    ("population_density", True, "nagoya-density", ("nagoya", "density", "population")),
+    ("remote_cog", False, "remote-cog-demo", ("cog", "remote", "demo")),
+    ("local_cog", False, "local-cog-demo", ("cog", "local", "demo")),
 )
 
 
@@ -63,18 +64,18 @@ def tag_intent(prompts: DataFrame, text_col: str = "text") -> DataFrame:
         if needs_url:
             test = test & F.col("_url").isNotNull()
         metric, weight = metric.when(test, name), weight.when(test, value)
-    df = df.withColumn("place", F.when(has("place"), "nagoya")).withColumn("metric", metric).withColumn("_weight", weight.otherwise(0.0)).withColumn("visualization", F.when(has("map"), "choropleth"))
+    df = df.withColumn("place", F.when(has("place"), PLACE)).withColumn("metric", metric).withColumn("_weight", weight.otherwise(0.0)).withColumn("visualization", F.when(has("map"), "choropleth"))
     total = F.when(F.col("place").isNotNull(), PLACE_WEIGHT).otherwise(0.0) + F.col("_weight") + F.when(F.col("visualization").isNotNull(), MAP_WEIGHT).otherwise(0.0)
-    matched = F.array_compact(F.array(*(F.concat(F.lit(f"{label}:"), F.col(c)) for label, c in (("place", "place"), ("metric", "metric"), ("viz", "visualization")))))
+    matched = F.array_compact(F.array(F.when(F.col("place").isNotNull(), PLACE_TOKEN), F.concat(F.lit("metric:"), F.col("metric")), F.concat(F.lit("viz:"), F.col("visualization"))))
     return df.withColumn("confidence", F.least(F.round(total, 6), F.lit(1.0))).withColumn("matched", matched).withColumn("catalog_url", F.col("_url")).drop("_low", "_url", "_weight")
 
 
 def route(tagged: DataFrame, text_col: str = "text") -> DataFrame:
     """tagged with workflow and status: routed, ambiguous (place, metric or URL alone), unresolved, or empty (blank)."""
     workflow = F
-    for metric, needs_place, _ in WORKFLOWS:
+    for metric, needs_place, name, _ in WORKFLOWS:
         test = F.col("metric") == metric
-        workflow = workflow.when(test & F.col("place").isNotNull() if needs_place else test, metric)
+        workflow = workflow.when(test & F.col("place").isNotNull() if needs_place else test, name)
     df = tagged.withColumn("workflow", F.when(F.btrim(F.coalesce(text_col, F.lit(""))) == "", F.lit(None)).otherwise(workflow))
     density_only = (F.col("metric") == "population_density") & F.col("place").isNull()
     place_only = F.col("place").isNotNull() & F.col("metric").isNull()
@@ -83,8 +84,10 @@ def route(tagged: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def route_prompts(prompts: DataFrame, catalog: DataFrame, text_col: str = "text") -> DataFrame:
-    """Prompts routed and bound: the dataset comes from each workflow's tags, joined as one row per workflow."""
+    """Prompts routed and bound: the dataset comes from each workflow's tags, joined as one row per workflow (six rows).
+
+    dataset_status tells `matched`, `no_match` or `ambiguous`; only the first has a dataset_id."""
     spark = prompts.sparkSession
-    flows = spark.createDataFrame([(m, list(t)) for m, _, t in WORKFLOWS], "request_id string, required array<string>")
+    flows = spark.createDataFrame([(name, list(tags)) for *_, name, tags in WORKFLOWS], "request_id string, required array<string>")
     bound = match_dataset(flows, catalog).select(F.col("request_id").alias("workflow"), F.col("status").alias("dataset_status"), F.when(F.col("status") == "matched", F.col("id")).alias("dataset_id"))
     return route(tag_intent(prompts, text_col), text_col).join(F.broadcast(bound), "workflow", "left")

@@ -89,7 +89,9 @@ def execution_receipt(summary: DataFrame, source_uri: str, source_id: str, crs:
 
 
 def audit_bundle(catalog: DataFrame, overlay: DataFrame, comments: DataFrame, provenance: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row of JSON: counts and extents of the base, overlay and merged catalogs and of the logs, and the latest run."""
+    """One row of JSON: counts and extents of the base, overlay and merged catalogs and of the logs, and the latest run.
+
+    What grows with the catalog or the logs does not fit a row: audit_tables() has it."""
     from .catalog import collection_summary, upsert_overlay
 
     snaps = [collection_summary(df).select(F.struct("*").alias(name)) for name, df in (("base", catalog), ("overlay", overlay), ("merged", upsert_overlay(catalog, overlay)))]
@@ -98,3 +100,16 @@ def audit_bundle(catalog: DataFrame, overlay: DataFrame, comments: DataFrame, pr
     for more in (*snaps[1:], *logs, latest_run(runs).select(F.col("id").alias("latest_run_id"))):
         one = one.join(F.broadcast(more))
     return one.select(F.to_json(F.struct("*")).alias("bundle"))
+
+
+def audit_tables(catalog: DataFrame, overlay: DataFrame, comments: DataFrame, provenance: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
+    """The rows behind audit_bundle(): items of the three snapshots, comments and provenance in order, run summaries,
+    latest first."""
+    from .catalog import upsert_overlay
+
+    items = None
+    for name, df in (("base", catalog), ("overlay", overlay), ("merged", upsert_overlay(catalog, overlay))):
+        one = df.select(F.lit(name).alias("snapshot"), "*")
+        items = one if items is None else items.unionByName(one, allowMissingColumns=True)
+    summaries = run_history(classify_runs(runs)).select("id", "started_at", "workflow_id", "action")
+    return {"items": items, "comments": comments.orderBy("id"), "provenance": provenance.orderBy("at", "entry_id"), "runs": summaries}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasheaf.functions import geometry as G
@@ -16,6 +16,9 @@ from terrasheaf.operators import intent as I
 from terrasheaf.operators import logs as L
 from terrasheaf.operators import tiles as T
 from terrasheaf.oracle_views import oracle
+from terrasheaf.plans import steps
+from terrasheaf.sources import geoparquet as GP
+from terrasheaf.sources.files import scratch
 from terrasheaf.views import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,10 +110,26 @@ def _(s, d):
     return D.population_density(good).select("ward_code", "ward_name", "population", r("area_km2").alias("area_km2"), r("density_per_km2", 3).alias("density_per_km2"), "color")
 
 
-@query("c02_density_checks", """SELECT unnest(['crs_declared','area_method_recorded','population_positive','density_unit','feature_count','boundary_source']) AS name,
-  unnest([true, true, bool_and(population>0), true, count(*)=2000, true]) AS passed FROM v_density""")
+def _some_empty(w: DataFrame) -> DataFrame:
+    """Wards of which every 500th has no people."""
+    return w.withColumn("population", F.when(F.col("ward_code").cast("long") % 500 == 0, 0).otherwise(F.col("population")))
+
+
+def _n_parts(s, d) -> int:
+    return s.read.parquet(f"{d}/part.parquet").count()
+
+
+@query("c02_density_checks", """SELECT kind, unnest(['crs_declared','area_method_recorded','population_positive','density_unit','feature_count','boundary_source']) AS name,
+  unnest([kind<>'local', true, bool_and(population>0 AND (kind<>'empty' OR cast(ward_code AS bigint)%500<>0)), true, kind<>'local', true]) AS passed,
+  count(*) FILTER (WHERE area_km2<=0) n_flat FROM v_density, (SELECT unnest(['all','empty','local']) kind) GROUP BY kind""")
 def _(s, d):
-    return D.density_checks(D.with_density(wards(s, d)), "EPSG:4326", 2000).select("name", "passed")
+    w, n = D.with_density(wards(s, d)), _n_parts(s, d)
+    cases = {"all": (w, "EPSG:4326", n), "empty": (_some_empty(w), "EPSG:4326", n), "local": (w, "local", n + 1)}
+    out = None
+    for kind, (df, crs, expected) in cases.items():
+        checks = D.density_checks(df, crs, expected).join(F.broadcast(df.agg(F.count_if(F.col("area_km2") <= 0).alias("n_flat")))).select(F.lit(kind).alias("kind"), "name", "passed", "n_flat")
+        out = checks if out is None else out.unionByName(checks)
+    return out
 
 
 @query("a07_verify_density", "SELECT count(*) n, count(*) FILTER (WHERE area_km2>0 AND abs(density_per_km2-population/area_km2)<0.01) n_right FROM v_density")
@@ -123,27 +142,29 @@ def _(s, d):
     return D.top_density(D.with_density(wards(s, d))).select("ward_code", r("density_per_km2", 3).alias("density_per_km2"))
 
 
-@query("a10_review_status", "SELECT CASE WHEN bool_and(population>0) AND count(*)=2000 THEN 'executed' ELSE 'pending_review' END AS status FROM v_density")
+@query("a10_review_status", "SELECT kind, CASE WHEN bool_and(population>0 AND (kind='all' OR cast(ward_code AS bigint)%500<>0)) THEN 'executed' ELSE 'pending_review' END AS status FROM v_density, (SELECT unnest(['all','empty']) kind) GROUP BY kind")
 def _(s, d):
-    return D.review_status(D.density_checks(D.with_density(wards(s, d)), "EPSG:4326", 2000))
+    w, n = D.with_density(wards(s, d)), _n_parts(s, d)
+    status = lambda kind, df: D.review_status(D.density_checks(df, "EPSG:4326", n)).select(F.lit(kind).alias("kind"), "status")
+    return status("all", w).unionByName(status("empty", _some_empty(w)))
 
 
-@query("c03_verify_features", "SELECT count(*) feature_count, count(*)=2000 AS passed FROM v_wards")
+@query("c03_verify_features", "SELECT p_size%2=0 AS halved, (SELECT count(*) FROM part) - (CASE WHEN p_size%2=0 THEN count(*) ELSE 0 END) feature_count, p_size%2<>0 AS passed FROM part GROUP BY p_size%2")
 def _(s, d):
-    return D.verify_features(wards(s, d), "EPSG:4326", 2000)
+    n, w = _n_parts(s, d), wards(s, d)
+    whole, odd = D.verify_features(w, "EPSG:4326", n), D.verify_features(w.filter("population div 1000 % 2 <> 0"), "EPSG:4326", n)
+    return whole.select(F.lit(False).alias("halved"), "*").unionByName(odd.select(F.lit(True).alias("halved"), "*"))
 
 
-@query("c07_analysis_summary", "SELECT 'map density' AS goal, 'wards' AS dataset, count(*) feature_count, bool_and(population>0) AND count(*)=2000 AS all_passed, round(max(density_per_km2),3) top_density FROM v_density")
+@query("c07_analysis_summary", "SELECT 'map density' AS goal, 'wards' AS dataset, count(*) feature_count, bool_and(population>0) AS all_passed, round(max(density_per_km2),3) top_density, max_by(ward_name, {'d': density_per_km2, 'c': ward_code}) AS top_name FROM v_density")
 def _(s, d):
-    w = D.with_density(wards(s, d))
-    out = D.analysis_summary(w, D.density_checks(w, "EPSG:4326", 2000), "map density", "wards", "EPSG:4326")
-    return out.select("goal", "dataset", "feature_count", "all_passed", r("top_density", 3).alias("top_density"))
+    out = D.analysis_summary(D.with_density(wards(s, d)), "map density", "wards", "EPSG:4326", _n_parts(s, d))
+    return out.select("goal", "dataset", "feature_count", "all_passed", r("top_density", 3).alias("top_density"), "top_name")
 
 
-@query("c08_execution_receipt", "SELECT 'data/wards.parquet' AS source_uri, 'EPSG:4326' AS crs, bool_and(population>0) AND count(*)=2000 AS passed FROM v_density")
+@query("c08_execution_receipt", "SELECT 'data/wards.parquet' AS source_uri, 'EPSG:4326' AS crs, bool_and(population>0 AND cast(ward_code AS bigint)%500<>0) AS passed FROM v_density")
 def _(s, d):
-    w = D.with_density(wards(s, d))
-    summary = D.analysis_summary(w, D.density_checks(w, "EPSG:4326", 2000), "map density", "wards", "EPSG:4326")
+    summary = D.analysis_summary(D.with_density(_some_empty(wards(s, d))), "map density", "wards", "EPSG:4326", _n_parts(s, d))
     return L.execution_receipt(summary, "data/wards.parquet", "wards", "EPSG:4326", D.UNIT, "unknown", "density").select("source_uri", "crs", "passed")
 
 
@@ -192,11 +213,16 @@ def _(s, d):
     return T.tile_features(wards(s, d), 7, 5, 3).select("ward_code", "lod", "tx", "ty")
 
 
-@query("f09_simplify", "SELECT ward_code, ring_no, len(ring) AS n FROM v_rings")
+_THINNED = "list_transform(list_filter(range(0,32), lambda i: i % (1 << least(lod,6)) = 0), lambda i: e[2*i+1]::double)"
+
+
+@query("f09_simplify", f"""SELECT vec_id, lod, CASE WHEN lod=0 OR k<3 THEN 32 ELSE k+1 END AS n, round(CASE WHEN lod=0 OR k<3 THEN list_sum(list_transform(range(0,32), lambda i: e[2*i+1]::double)) ELSE list_sum(xs)+xs[1] END, 6) AS sum_x
+  FROM (SELECT vec_id, lod, e, {_THINNED} xs, len({_THINNED}) k FROM (SELECT vec_id, embedding e, unnest(range(0,8)) lod FROM embeddings))""")
 def _(s, d):
-    # boxes of 5 vertices thin to 3 or fewer and so stay; the unit tests thin longer rings
-    rings = wards(s, d).select("ward_code", F.posexplode("rings").alias("ring_no", "ring"))
-    return rings.select("ward_code", F.col("ring_no").cast("long").alias("ring_no"), F.size(G.simplify_ring(F.col("ring"), F.lit(2))).cast("long").alias("n"))
+    # every embedding as a ring of 32 vertices, thinned at eight levels; closing adds the first vertex again
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.get("embedding", 2 * i).cast("double").alias("x"), F.get("embedding", 2 * i + 1).cast("double").alias("y"))).alias("ring"))
+    thin = e.withColumn("lod", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("t", G.simplify_ring(F.col("ring"), F.col("lod")))
+    return thin.select("vec_id", F.col("lod").cast("long").alias("lod"), F.size("t").cast("long").alias("n"), r(F.aggregate(F.transform("t", lambda p: p["x"]), F.lit(0.0), lambda a, x: a + x)).alias("sum_x"))
 
 
 @query("f10_lod_for_zoom", "SELECT event_id, CASE WHEN value/100>=1 THEN 0 WHEN value/100>=0.5 THEN 1 ELSE 3 END AS lod FROM events")
@@ -308,6 +334,16 @@ def _(s, d):
     return C.match_dataset(_requests(s), view(s, d, "v_catalog"))
 
 
+@query("t02_ambiguous_ids", f"SELECT request_id, id FROM {_REQ}, v_catalog WHERE list_has_all(tags, req) AND request_id IN (SELECT request_id FROM {_REQ}, v_catalog WHERE list_has_all(tags, req) GROUP BY 1 HAVING count(*)>1)")
+def _(s, d):
+    return C.ambiguous_ids(_requests(s), view(s, d, "v_catalog"))
+
+
+@query("a06_collection_items", "SELECT id, format FROM v_catalog ORDER BY id")
+def _(s, d):
+    return C.collection_items(view(s, d, "v_catalog"))
+
+
 @query("a06_collection_summary", "SELECT round(min(min_x),6) min_x, round(max(max_y),6) max_y, count(*) item_count, min(id) first_id, (SELECT string_agg(format||'='||n, ',' ORDER BY format) FROM (SELECT format, count(*) n FROM v_catalog GROUP BY 1)) formats FROM v_catalog")
 def _(s, d):
     return C.collection_summary(view(s, d, "v_catalog")).select(r("min_x").alias("min_x"), r("max_y").alias("max_y"), "item_count", "first_id", "formats")
@@ -393,15 +429,25 @@ def _(s, d):
     return E.item_metadata(_items(s, d)).select(F.col("key").alias("item_key"), "crs", "units", "license")
 
 
+@query("f17_nested_metadata", "SELECT id, CASE WHEN cast(id AS bigint)%3=0 THEN 'EPSG:6668' WHEN cast(id AS bigint)%3=1 THEN 'unknown' ELSE 'local' END AS crs, CASE WHEN cast(id AS bigint)%2=0 THEN title ELSE 'unknown' END AS license FROM v_catalog")
+def _(s, d):
+    c = view(s, d, "v_catalog")
+    n = F.col("id").cast("long")
+    code = F.when(n % 3 == 0, '"EPSG:6668"').when(n % 3 == 1, "6668").otherwise('null, "alt:crs": "local"')
+    text = F.concat(F.lit('{"inner": {"license": 1, "proj:code": "x"}, "proj:code": '), code, F.lit(', "license": '), F.when(n % 2 == 0, F.to_json(F.array("title"))).otherwise("[1]"), F.lit("}"))
+    made = c.withColumn("properties", F.when(n % 2 == 0, F.regexp_replace(text, r"\[(.*)\]\}$", "$1}")).otherwise(text))
+    return E.item_metadata(made, ("proj:code", "alt:crs")).select("id", "crs", "license")
+
+
 @query("f16_score_assets", "SELECT item_key, asset_key, compatible, cast(score AS int) score FROM v_scored")
 def _(s, d):
     return _scored(s, d).select(F.col("key").alias("item_key"), "asset_key", "compatible", "score")
 
 
-@query("a15_check_counts", "SELECT item_key, asset_key, cast((asset_type<>'image/png')::int + data_role::int + 2 + (crs<>'unknown')::int + (license<>'unknown')::int AS bigint) n_passed, 6 AS n_checks FROM v_cands")
+@query("a15_check_counts", "SELECT item_key, asset_key, cast((asset_type<>'image/png')::int + data_role::int + 2 + (crs<>'unknown')::int + (license<>'unknown')::int AS bigint) n_passed, cast(6 AS bigint) AS n_checks FROM v_cands")
 def _(s, d):
-    v = _scored(s, d)
-    return v.select(F.col("key").alias("item_key"), "asset_key", F.size(F.filter("verifications", lambda c: c["passed"])).cast("long").alias("n_passed"), F.size("verifications").alias("n_checks"))
+    v = _scored(s, d).select(F.col("key").alias("item_key"), "asset_key", F.explode("verifications").alias("c")).select("item_key", "asset_key", "c.passed")
+    return D.check_counts(v, ["item_key", "asset_key"])
 
 
 @query("t01_rank_candidates", "SELECT item_key, asset_key, cast(row_number() OVER (PARTITION BY item_key ORDER BY score DESC, asset_key) AS int) AS place FROM v_scored")
@@ -422,9 +468,61 @@ def _(s, d):
     return E.url_report(pages(s, d), "url", HOSTS).select("page_id", F.col("admission.allowed").alias("allowed"))
 
 
-@query("p07_size_guard", "SELECT page_id, length(html)<=3000 AS admitted FROM pages")
+@query("p07_size_guard", "SELECT page_id, coalesce(strlen(html)<=3000, false) AS admitted FROM pages")
+def _(s, d):
+    return E.size_guard(pages(s, d).withColumn("n", F.octet_length("html")), "n", 3000).select("page_id", "admitted")
+
+
+@query("f14_crs_text", """SELECT n_nationkey, CASE n_nationkey%5 WHEN 0 THEN 'EPSG:'||n_nationkey WHEN 1 THEN 'OGC:'||n_name WHEN 2 THEN 'IAU:'||n_nationkey WHEN 3 THEN n_name ELSE 'EPSG:4326' END AS crs FROM nation""")
+def _(s, d):
+    n, key, name = s.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey").cast("string"), F.col("n_name")
+    shapes = [('{"crs": {"authority": "EPSG", "code": ', key, "}}"), ('{"crs": {"auth_name": "OGC", "code": "', name, '"}}'), ('{"crs": {"type": "GeographicCRS", "id": {"authority": "IAU", "code": ', key, "}}}"), ('{"crs": "', name, '"}'), ('{"encoding": "', name, '"}')]
+    meta = F
+    for k, (before, value, after) in enumerate(shapes):
+        meta = meta.when(F.col("n_nationkey") % 5 == k, F.concat(F.lit(before), value, F.lit(after)))
+    return n.select("n_nationkey", X.crs_text(meta).alias("crs"))
+
+
+def _stored(s, d) -> str:
+    """v_wards as GeoParquet in the shared folder."""
+    path = scratch(s, "wards")
+    GP.write_geoparquet(wards(s, d), path, row_group_rows=100, crs="EPSG:6668")
+    return path
+
+
+@query("s03_geoparquet", "SELECT row_number() OVER ()-1 AS id, count(*) OVER () AS n FROM v_wards")
 def _(s, d):
-    return E.size_guard(pages(s, d).withColumn("n", F.length("html")), "n", 3000).select("page_id", "admitted")
+    return GP.read_geoparquet(s, _stored(s, d), ids=True).select("id", F.count("*").over(Window.partitionBy()).alias("n"))
+
+
+@query("s07_geoparquet_rings", "SELECT ward_code, ward_name, population, len(rings) n_rings, cast(list_sum(list_transform(rings, lambda g: len(g))) AS bigint) n_vertices, round(list_sum(list_transform(rings, lambda g: list_sum(list_transform(g, lambda p: p.x)))),6) sum_x, round(list_min(list_transform(rings, lambda g: list_min(list_transform(g, lambda p: p.y)))),6) min_y FROM v_wards WHERE cast(ward_code AS bigint)%97<>0")
+def _(s, d):
+    path = scratch(s, "wards")
+    GP.write_geoparquet(wards(s, d).filter("cast(ward_code as long) % 97 <> 0"), path, row_group_rows=100)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    return GP.read_geoparquet(s, path).select(
+        "ward_code", "ward_name", "population", F.size("rings").cast("long").alias("n_rings"), F.size(F.flatten("rings")).cast("long").alias("n_vertices"),
+        r(total(F.transform(F.flatten("rings"), lambda p: p["x"]))).alias("sum_x"), r("min_y").alias("min_y"),
+    )
+
+
+@query("s04_geoparquet_footer", "SELECT 'geometry' AS geometry_column, 'EPSG:6668' AS crs, cast(8 AS bigint) AS n_fields, count(*) AS n_rows FROM v_wards")
+def _(s, d):
+    path = _stored(s, d)
+    foot = GP.geoparquet_footer(s, path)
+    groups = foot.agg(F.max("row_group_count")).first()[0]
+    rows = sum(GP.read_geoparquet(s, path, [g]).count() for g in range(groups)) if foot.count() == 1 else GP.read_geoparquet(s, path).count()
+    return foot.agg(F.min("geometry_column").alias("geometry_column"), F.max("crs").alias("crs"), F.max(F.size("schema_fields")).cast("long").alias("n_fields")).withColumn("n_rows", F.lit(rows).cast("long"))
+
+
+@query("c06_federated_execute", """SELECT item_key, unnest(['schema_fields','crs_matches_binding','source_matches_binding']) AS name, unnest([true, false, true]) AS passed
+  FROM (SELECT item_key FROM v_scored WHERE compatible AND asset_type='application/vnd.apache.parquet' ORDER BY v_scored.score DESC, item_key LIMIT 1)""")
+def _(s, d):
+    # the binding says EPSG:4326, the stored file EPSG:6668
+    path = _stored(s, d)
+    hits = view(s, d, "v_hits").join(_items(s, d).select("id", "properties", "assets").dropDuplicates(["id"]), "id")
+    bound, _, checks = steps.federated_execute(hits, _endpoints(s, d), MEDIA[:1], locate=lambda href: path)
+    return checks.join(F.broadcast(bound.select(F.col("key").alias("item_key")))).select("item_key", "name", "passed")
 
 
 @query("p10_is_remote", "SELECT page_id, starts_with(url,'http://') OR starts_with(url,'https://') AS remote FROM pages")
@@ -474,27 +572,51 @@ def _(s, d):
     return p.select("page_id", X.extract_catalog_url(F.col("t")).alias("found"))
 
 
-_PROMPT = "CASE doc_id%6 WHEN 0 THEN 'Nagoya population density map' WHEN 1 THEN 'show GeoParquet density of nagoya' WHEN 2 THEN 'remote COG' WHEN 3 THEN 'bundled raster, density' WHEN 4 THEN 'density' ELSE 'nagoya' END"
+_PROMPT = "CASE doc_id%9 WHEN 0 THEN 'Nagoya population density map' WHEN 1 THEN 'show GeoParquet density of nagoya' WHEN 2 THEN 'remote COG' WHEN 3 THEN 'bundled raster, density' WHEN 4 THEN 'density' WHEN 5 THEN 'nagoya' WHEN 6 THEN 'import STAC from (https://example.org/c.json)' WHEN 7 THEN 'geo parquet 名古屋' ELSE '' END"
 
 
 def _prompts(s, d) -> DataFrame:
-    return documents(s, d).select("doc_id", F.expr(f"concat({_PROMPT}, '. ', substring(regexp_replace(lower(text), '(map|cog|stac|local|http|import|parquet)', ''), 1, 40))").alias("text"))
+    """A literal prompt before each whole text."""
+    return documents(s, d).select("doc_id", F.expr(f"concat({_PROMPT}, ' ', coalesce(text, ''))").alias("text"))
+
+
+def _any_word(group: str) -> str:
+    return "(" + " OR ".join(f"contains(low, '{w}')" for w in I.WORDS[group]) + ")"
+
+
+def _metric(values: dict[str, str], other: str) -> str:
+    """The first metric rule that holds, as SQL over low and url."""
+    tests = {name: " AND ".join([*map(_any_word, groups), *(["url"] if needs_url else [])]) for name, groups, needs_url, _ in I.METRICS}
+    return "CASE " + " ".join(f"WHEN {tests[n]} THEN {v}" for n, v in values.items()) + f" ELSE {other} END"
 
 
-_DUCK_TAGS = """SELECT doc_id, CASE WHEN doc_id%6 IN (0,1,5) THEN 'nagoya' END AS place, CASE doc_id%6 WHEN 0 THEN 'population_density' WHEN 1 THEN 'geoparquet_density' WHEN 2 THEN 'remote_cog' WHEN 3 THEN 'local_cog' WHEN 4 THEN 'population_density' END AS metric"""
+_TAGGED = f"""(SELECT doc_id, low, url, CASE WHEN {_any_word('place')} THEN '{I.PLACE}' END AS place, {_metric({n: f"'{n}'" for n, *_ in I.METRICS}, 'NULL')} AS metric,
+  {_metric({n: str(w) for n, *_, w in I.METRICS}, '0')}::double AS weight, {_any_word('map')} AS map
+  FROM (SELECT doc_id, regexp_replace(lower(t), '[\\s　]+', ' ', 'g') low, len(list_filter(string_split_regex(t, '[\\s　]+'), lambda x: regexp_matches(trim(x, '"''「」,.;:)(]['), '^(http://|https://|file://|examples/)')))>0 AS url
+  FROM (SELECT doc_id, {_PROMPT} || ' ' || coalesce(text, '') t FROM documents)))"""
 
 
-@query("f28_tag_intent", f"{_DUCK_TAGS}, [1.0, 1.0, 0.4, 0.4, 0.35, 0.45][doc_id%6+1]::double AS confidence FROM documents")
+@query("f28_tag_intent", f"SELECT doc_id, place, metric, round(least(1.0, (CASE WHEN place IS NOT NULL THEN 0.45 ELSE 0 END) + weight + (CASE WHEN map THEN 0.2 ELSE 0 END))::double, 6) AS confidence, CASE WHEN map THEN 'choropleth' END AS visualization FROM {_TAGGED}")
 def _(s, d):
-    t = I.tag_intent(_prompts(s, d))
-    # the first prompt's weights sum to 1, the second's to 1 as well: place .45, metric .55
-    return t.select("doc_id", "place", "metric", "confidence")
+    return I.tag_intent(_prompts(s, d)).select("doc_id", "place", "metric", "confidence", "visualization")
 
 
-@query("c10_route_prompts", "SELECT doc_id, ['population_density','geoparquet_density','remote_cog','local_cog',NULL,NULL][doc_id%6+1] AS workflow, CASE WHEN doc_id%6<4 THEN 'routed' ELSE 'ambiguous' END AS status FROM documents")
+#: Tags of a workflow's datasets on some records: one of the first, none of the second, several of the others.
+_DATASETS = """CASE WHEN cast(id AS bigint)=11 THEN {0} WHEN cast(id AS bigint)%40=7 THEN {1} WHEN cast(id AS bigint)=12 THEN {2} WHEN cast(id AS bigint)=13 THEN {3} WHEN cast(id AS bigint)%50=4 THEN {4} ELSE {5} END"""
+_SETS = [("nagoya", "density", "population"), ("cog", "demo", "local"), ("stac", "demo", "external", "extra"), ("nagoya", "geoparquet", "density", "demo"), ("cog", "remote"), ("other",)]
+
+
+_BOUND = f"""(SELECT workflow, count(id) n, min(id) id FROM (VALUES {", ".join(f"('{name}', [{', '.join(repr(t) for t in tags)}])" for *_, name, tags in I.WORKFLOWS)}) w(workflow, req)
+  LEFT JOIN (SELECT id, {_DATASETS.format(*(str(list(t)) for t in _SETS))} AS tags FROM v_catalog) c ON list_has_all(c.tags, w.req) GROUP BY 1)"""
+_ROUTED = f"(SELECT *, CASE {' '.join(f"WHEN metric='{m}'{' AND place IS NOT NULL' if place else ''} THEN '{name}'" for m, place, name, _ in I.WORKFLOWS)} END AS workflow FROM {_TAGGED})"
+
+
+@query("c10_route_prompts", f"""SELECT doc_id, r.workflow, CASE WHEN trim(low)='' THEN 'empty' WHEN r.workflow IS NOT NULL THEN 'routed' WHEN (place IS NOT NULL AND metric IS NULL) OR (metric='population_density' AND place IS NULL) OR url THEN 'ambiguous' ELSE 'unresolved' END AS status,
+  CASE WHEN r.workflow IS NULL THEN NULL WHEN n=0 THEN 'no_match' WHEN n=1 THEN 'matched' ELSE 'ambiguous' END AS dataset_status, CASE WHEN n=1 THEN id END AS dataset_id FROM {_ROUTED} r LEFT JOIN {_BOUND} b ON r.workflow=b.workflow""")
 def _(s, d):
-    catalog = view(s, d, "v_catalog").select("id", F.array(F.lit("nagoya"), F.lit("population")).alias("tags"))
-    return I.route_prompts(_prompts(s, d), catalog).select("doc_id", "workflow", "status")
+    tags = _DATASETS.format(*("array(" + ", ".join(repr(x) for x in t) + ")" for t in _SETS))
+    catalog = view(s, d, "v_catalog").select("id", F.expr(tags).alias("tags"))
+    return I.route_prompts(_prompts(s, d), catalog).select("doc_id", "workflow", "status", "dataset_status", "dataset_id")
 
 
 # logs
@@ -568,9 +690,11 @@ def _(s, d):
     return b.select(number("$.merged.item_count").alias("items"), number("$.comments").alias("comments"), number("$.runs").alias("runs"))
 
 
-@query("c04_verify_rasters", "SELECT vec_id raster_id, true AS passed FROM embeddings")
+@query("c04_verify_rasters", "SELECT vec_id raster_id, vec_id%3<>0 AND vec_id%5<>0 AND vec_id%7<>0 AS passed FROM embeddings")
 def _(s, d):
-    inv = view(s, d, "v_pixels").groupBy("raster_id").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height")).withColumn("bands", F.lit(1)).withColumn("crs", F.lit("EPSG:4326"))
+    n = F.col("raster_id")
+    inv = view(s, d, "v_pixels").groupBy("raster_id").agg((F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"))
+    inv = inv.withColumn("bands", F.when(n % 3 == 0, 0).otherwise(n % 3)).withColumn("crs", F.when(n % 5 == 0, F.when(n % 2 == 0, "").otherwise(F.lit(None))).otherwise("EPSG:4326")).withColumn("width", F.when(n % 7 == 0, 0).otherwise(F.col("width")))
     return T.verify_rasters(inv).select("raster_id", "passed")
 
 
@@ -578,3 +702,18 @@ def _(s, d):
 def _(s, d):
     c = s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("id"), F.when(F.col("r_regionkey") == 2, "Feature").otherwise("Collection").alias("type"))
     return C.verify_collections(c).select("id", "passed")
+
+
+@query("s17_audit_items", "SELECT snapshot, id FROM (SELECT 'base' AS snapshot, id FROM v_catalog UNION ALL SELECT 'overlay', id FROM v_catalog WHERE cast(id AS bigint)<10 UNION ALL SELECT 'merged', id FROM v_catalog)")
+def _(s, d):
+    return _audit(s, d)["items"].select("snapshot", "id")
+
+
+@query("s17_audit_runs", "SELECT id, workflow_id, CASE WHEN verified THEN 'agent_run_verified' WHEN plan_only THEN 'agent_plan_pending' ELSE 'agent_run_failed' END AS action FROM v_runs")
+def _(s, d):
+    return _audit(s, d)["runs"].select("id", "workflow_id", "action")
+
+
+def _audit(s, d) -> dict[str, DataFrame]:
+    c, runs = view(s, d, "v_catalog"), view(s, d, "v_runs")
+    return L.audit_tables(c, c.filter("cast(id as bigint) < 10"), view(s, d, "v_comments"), L.provenance_of(runs), runs)

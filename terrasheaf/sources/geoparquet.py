@@ -1,22 +1,21 @@
 """GeoParquet: WKB in and out, footers, scans by row group, and a sink that writes the `geo` footer."""
 
 import json
-import os
 import struct
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from terrasheaf.functions.text import crs_text
 
+from .files import listed, open_file, rows_of_files, with_content
+
 RINGS = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
 
 
@@ -54,28 +53,39 @@ def _exterior(wkb: bytes, at: int) -> tuple[list[np.ndarray], int]:
     raise ValueError(f"geometry type {kind} has no rings")
 
 
-@F.pandas_udf(RINGS)
-def rings_of_wkb(values: pd.Series) -> pd.Series:
-    return values.map(lambda b: None if b is None else [[{"x": x, "y": y} for x, y in r.tolist()] for r in _exterior(bytes(b), 0)[0]])
+@F.arrow_udf(RINGS)
+def rings_of_wkb(values: pa.Array) -> pa.Array:
+    found = [None if b is None else _exterior(b, 0)[0] for b in values.to_pylist()]
+    rings = [r for f in found if f for r in f]
+    xy = np.concatenate([np.zeros((0, 2)), *rings])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+    inner = pa.ListArray.from_arrays(_offsets([len(r) for r in rings]), points)
+    return pa.ListArray.from_arrays(_offsets([len(f or ()) for f in found]), inner, mask=pa.array([f is None for f in found], pa.bool_())).cast(to_arrow_type(RINGS))
+
 
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32))
 
-def _polygon(ring) -> bytes:
-    flat = np.array([(p["x"], p["y"]) for p in ring], "<f8")
-    return struct.pack("<BIII", 1, 3, 1, len(flat)) + flat.tobytes()
 
+def _polygon(xy: np.ndarray) -> bytes:
+    return struct.pack("<BIII", 1, 3, 1, len(xy)) + xy.tobytes()
 
-@F.pandas_udf(BinaryType())
-def wkb_of_rings(values: pd.Series) -> pd.Series:
-    def encode(rings):
-        parts = [_polygon(r) for r in rings]
-        return parts[0] if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(parts)
 
-    return values.map(lambda rings: None if rings is None else encode(rings))
+@F.arrow_udf(BinaryType())
+def wkb_of_rings(values: pa.Array) -> pa.Array:
+    inner = values.values
+    points, at = inner.values, inner.offsets.to_numpy()
+    xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1).astype("<f8")
+    out = []
+    for known, a, b in zip(values.is_valid().to_pylist(), values.offsets[:-1].to_pylist(), values.offsets[1:].to_pylist(), strict=True):
+        parts = [_polygon(xy[at[k] : at[k + 1]]) for k in range(a, b)] if known else []
+        out.append(None if not known else parts[0] if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(parts))
+    return pa.array(out, pa.binary())
 
 
-def footer_of(path: str) -> dict:
-    """Row groups, fields, CRS and geometry column of a file, from its footer alone; no `geo` key: an error."""
-    meta = pq.read_metadata(path)
+def footer_of(path: str, file: pa.NativeFile) -> dict:
+    """Row groups, fields, CRS and geometry column of an open file, from its footer alone; no `geo` key: an error."""
+    meta = pq.read_metadata(file)
     raw = (meta.metadata or {}).get(b"geo")
     if raw is None:
         raise ValueError(f"{path}: no geo metadata")
@@ -86,157 +96,65 @@ def footer_of(path: str) -> dict:
     return {"path": path, "row_group_count": meta.num_row_groups, "schema_fields": [c.name for c in meta.schema.to_arrow_schema()], "geometry_column": primary, "geo": json.dumps(geo.get("columns", {}).get(primary, {}))}
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, group: int | None = None):
-        super().__init__((path, group))
-        self.path, self.group = path, group
-
-
-class FooterSource(DataSource):
-    """One partition a file; only footers are read. Files must be on a file system that all executors mount."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "geoparquet_footer"
-
-    def schema(self) -> str:
-        return "path string, row_group_count int, schema_fields array<string>, geometry_column string, geo string"
-
-    def reader(self, schema):
-        return _FooterReader(self.options)
-
-
-class _FooterReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = json.loads(options["paths"])
-
-    def partitions(self):
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition) -> Iterator[tuple]:
-        f = footer_of(partition.path)
-        yield f["path"], f["row_group_count"], f["schema_fields"], f["geometry_column"], f["geo"]
-
-
-class RowGroupSource(DataSource):
-    """One partition for each file and row group; yields Arrow batches."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "geoparquet_groups"
-
-    def reader(self, schema):
-        return _GroupReader(self.options)
-
-
-class _GroupReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.groups = json.loads(options["paths"]), json.loads(options["groups"])
-
-    def partitions(self):
-        out = []
-        for p in self.paths:
-            n = pq.read_metadata(p).num_row_groups
-            for g in range(n) if self.groups is None else self.groups:
-                if g >= n:
-                    raise ValueError(f"{p} has no row group {g}")
-                out.append(_File(p, g))
-        return out or [_File(self.paths[0], -1)]
-
-    def read(self, partition):
-        if partition.group >= 0:
-            yield from pq.ParquetFile(partition.path).read_row_group(partition.group).to_batches(1024)
-
-
-class GeoParquetSink(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "geoparquet_sink"
-
-    def writer(self, schema, overwrite):
-        return _SinkWriter(self.options)
-
-
-class _Part(WriterCommitMessage):
-    def __init__(self, staged: str, final: str):
-        self.staged, self.final = staged, final
-
-
-class _SinkWriter(DataSourceArrowWriter):
-    """Tasks write to a staging folder; commit renames, abort removes, so a failed or repeated task leaves no file."""
-
-    def __init__(self, options):
-        self.path, self.rows, self.geo = options["path"], int(options.get("row_group_rows", "10000")), options["geo"]
-
-    def write(self, iterator):
-        name = f"part-{uuid.uuid4().hex}.parquet"
-        staging = os.path.join(self.path, "_staging")
-        os.makedirs(staging, exist_ok=True)
-        staged = os.path.join(staging, name)
-        writer = None
-        for batch in iterator:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                writer = pq.ParquetWriter(staged, batch.schema.with_metadata({b"geo": self.geo.encode()}))
-            writer.write_table(pa.Table.from_batches([batch.replace_schema_metadata({b"geo": self.geo.encode()})]), row_group_size=self.rows)
-        if writer is None:
-            return _Part("", "")
-        writer.close()
-        return _Part(staged, os.path.join(self.path, name))
-
-    def commit(self, messages):
-        for m in messages:
-            if m is not None and m.staged:
-                os.replace(m.staged, m.final)
-        self._clean()
-
-    def abort(self, messages):
-        for m in messages:
-            if m is not None and m.staged and os.path.exists(m.staged):
-                os.remove(m.staged)
-        self._clean()
-
-    def _clean(self):
-        try:
-            os.rmdir(os.path.join(self.path, "_staging"))
-        except OSError:
-            pass
+def geoparquet_footer(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, row_group_count, schema_fields, geometry_column, crs) a file; only footers are read, in tasks."""
+    rows = lambda name, file: [tuple(footer_of(name, file).values())]
+    df = rows_of_files(with_content(_files(spark, path)), "path string, row_group_count int, schema_fields array<string>, geometry_column string, geo string", rows)
+    return df.withColumn("crs", crs_text(F.col("geo"))).drop("geo")
 
 
-def _register(spark: SparkSession) -> None:
-    for source in (FooterSource, RowGroupSource, GeoParquetSink):
-        spark.dataSource.register(source)
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return listed(spark, path).filter(F.col("length") > 0)
 
 
-def _files(path: str | list[str]) -> list[str]:
-    if isinstance(path, str):
-        path = path.removeprefix("file://")
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")) if os.path.isdir(path) else [path]
-    return [p.removeprefix("file://") for p in path]
+def _row_groups(spark: SparkSession, path: str | list[str], groups: list[int], schema: StructType) -> DataFrame:
+    """The rows of some row groups of each file, with `_file` and `_row`: a task for each file and group."""
+    full = StructType([*schema.fields, StructField("_file", StringType()), StructField("_row", LongType())])
+    if not groups:
+        return spark.createDataFrame([], full)
+    target = to_arrow_schema(schema)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = with_content(_files(spark, path)).withColumn("group", F.explode(F.array(*map(F.lit, groups)))).repartition(parts, "path", "group")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, group in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                with open_file(name, content) as raw:
+                    file = pq.ParquetFile(raw)
+                    if group >= file.num_row_groups:
+                        raise ValueError(f"{name} has no row group {group}")
+                    at = group << 40  # rows of a later group stand behind those of all before it
+                    for part in file.iter_batches(4096, row_groups=[group]):
+                        table = pa.Table.from_batches([part]).select(target.names).cast(target).combine_chunks()
+                        table = table.append_column("_file", pa.array([name] * len(table), pa.string())).append_column("_row", pa.array(np.arange(at, at + len(table)), pa.int64()))
+                        yield from table.to_batches()
+                        at += len(table)
 
-def geoparquet_footer(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, row_group_count, schema_fields, geometry_column, crs) a file."""
-    _register(spark)
-    df = spark.read.format("geoparquet_footer").option("paths", json.dumps(_files(path))).load()
-    return df.withColumn("crs", crs_text(F.col("geo"))).drop("geo")
+    return wanted.mapInArrow(run, full)
 
 
-def read_geoparquet(spark: SparkSession, path: str | list[str], row_groups: list[int] | None = None, geometry_col: str | None = None) -> DataFrame:
+def read_geoparquet(spark: SparkSession, path: str | list[str], row_groups: list[int] | None = None, geometry_col: str | None = None, ids: bool = False) -> DataFrame:
     """Attributes and rings; rows without geometry are skipped. row_groups: only those of each file ([]: none).
 
     Whole reads go through Spark's own vectorised reader, so columns are pruned and filters pushed down; geometry_col
-    spares the look into a footer."""
-    files = _files(path) if row_groups is not None or geometry_col is None else None
-    column = geometry_col or footer_of(files[0])["geometry_column"]
-    if row_groups is None:
-        df = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
-    else:
-        _register(spark)
-        schema = spark.read.parquet(*files).schema
-        df = spark.read.format("geoparquet_groups").schema(schema).option("paths", json.dumps(files)).option("groups", json.dumps(row_groups)).load()
-    return df.filter(F.col(column).isNotNull()).withColumn("rings", rings_of_wkb(F.col(column))).drop(column)
+    spares the look into a footer. ids: a column `id`, 0 to n - 1 over the rows kept, in the order of files and rows."""
+    column = geometry_col or geoparquet_footer(spark, path).first()["geometry_column"]
+    df = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
+    if row_groups is not None:
+        df = _row_groups(spark, path, row_groups, df.schema)
+    elif ids:
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    df = df.filter(F.col(f"`{column}`").isNotNull())
+    df = _numbered(df) if ids else df.drop("_file", "_row")
+    return df.withColumn("rings", rings_of_wkb(F.col(f"`{column}`"))).drop(column)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with `id` in place of _file and _row: a running number in each file, and the files' totals before it."""
+    totals = df.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = totals.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = df.withColumn("_i", F.row_number().over(Window.partitionBy("_file").orderBy("_row")) - 1)
+    return inner.join(before, "_file").withColumn("id", F.col("_before") + F.col("_i")).drop("_file", "_row", "_i", "_before")
 
 
 def properties_json(df: DataFrame, geometry_col: str = "rings") -> Column:
@@ -252,15 +170,57 @@ def properties_json(df: DataFrame, geometry_col: str = "rings") -> Column:
 
 
 def write_geoparquet(df: DataFrame, path: str, row_group_rows: int = 10_000, rings: str = "rings", crs: str = "EPSG:4326") -> None:
-    """Attributes, WKB `geometry` and flat min_x .. max_y columns (for pruning by box), with the `geo` footer key."""
-    _register(df.sparkSession)
+    """Attributes, WKB `geometry` and flat min_x .. max_y columns (for pruning by box), with the `geo` footer key.
+
+    Files of about FILE_BYTES are made in tasks and written by Spark's sink and committer, on any store it can write."""
     authority, _, code = crs.partition(":")
     geo = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": ["Polygon", "MultiPolygon"], "crs": {"id": {"authority": authority, "code": int(code) if code.isdigit() else code}}}}}
     xs, ys = _axis(rings, "x"), _axis(rings, "y")
     out = df.withColumns({"min_x": F.array_min(xs), "min_y": F.array_min(ys), "max_x": F.array_max(xs), "max_y": F.array_max(ys)}).withColumn("geometry", wkb_of_rings(F.col(rings))).drop(rings)
-    target = path.removeprefix("file://")
-    os.makedirs(target, exist_ok=True)
-    out.write.format("geoparquet_sink").option("path", target).option("row_group_rows", str(row_group_rows)).option("geo", json.dumps(geo)).mode("append").save()
+    files = out.mapInArrow(_encoder(row_group_rows, json.dumps(geo)), "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.mode("append").option("lineSep", _LAST).option("maxRecordsPerFile", 1).text(path)
+
+
+#: A Parquet file ends in PAR1. Its last byte is left to the text sink, whose separator it is: so files of our own making
+#: go through Spark's committer, to any store that Spark can write.
+_LAST = "1"
+#: Bytes of a file at which a task begins another.
+FILE_BYTES = 64 << 20
+
+
+def _encoder(row_group_rows: int, geo: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = writer = held = None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            raw = sink.getvalue().to_pybytes()
+            assert raw.endswith(_LAST.encode())
+            return pa.RecordBatch.from_arrays([pa.array([raw[:-1]], pa.binary())], names=["file"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch.replace_schema_metadata({b"geo": geo.encode()})])
+            held = table if held is None else pa.concat_tables([held, table])
+            while len(held) >= row_group_rows:
+                if writer is None:
+                    sink = pa.BufferOutputStream()
+                    writer = pq.ParquetWriter(sink, held.schema)
+                writer.write_table(held.slice(0, row_group_rows), row_group_size=row_group_rows)
+                held = held.slice(row_group_rows)
+                if sink.tell() >= FILE_BYTES:
+                    yield closed()
+                    writer = None
+        if held is not None and (len(held) or writer is not None):
+            if writer is None:
+                sink = pa.BufferOutputStream()
+                writer = pq.ParquetWriter(sink, held.schema)
+            if len(held):
+                writer.write_table(held, row_group_size=row_group_rows)
+            yield closed()
+
+    return run
 
 
 def _axis(rings: str, name: str) -> Column:

@@ -2,45 +2,58 @@
 
 from __future__ import annotations
 
-import mmap
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import Blocks, listed, rows_of_files, with_content
+
+#: Number formats of tag types; the tags of an image whose values are read.
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d", 16: "Q"}
+_WANTED = (256, 257, 277, 322, 323, 33550, 33922, 34735)
 _RASTER = "path string, width long, height long, bands int, crs string, min_x double, min_y double, max_x double, max_y double, tiled boolean, tile_width long, tile_height long, overview_count int, cloud_optimized boolean"
 _CLOUD = "path string, point_count long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, crs string, center_x double, center_y double, center_z double, half_size double, spacing double, hierarchy_entries long"
 
 
-def _tags(head: bytes | mmap.mmap, at: int, order: str) -> tuple[dict[int, tuple], int]:
-    (n,) = struct.unpack_from(order + "H", head, at)
-    out = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", head, at + 2 + 12 * k)
-        letter = _TYPES.get(kind)
-        if letter is None:
-            continue
-        size = struct.calcsize(letter) * count
-        place = at + 10 + 12 * k
-        if size > 4:
-            (place,) = struct.unpack_from(order + "I", head, place)
-        if place + size <= len(head):
-            out[tag] = struct.unpack_from(f"{order}{count}{letter}", head, place)
-    (after,) = struct.unpack_from(order + "I", head, at + 2 + 12 * n)
-    return out, after
-
-
-def raster_header(head: bytes | mmap.mmap) -> dict:
-    """Fields of a classic TIFF header; overviews are the further images of the file."""
-    order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if order is None or struct.unpack_from(order + "H", head, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    first, after = _tags(head, struct.unpack_from(order + "I", head, 4)[0], order)
-    overviews = 0
-    while after and after + 2 <= len(head):
-        _, after = _tags(head, after, order)
+class _Layout:
+    """Widths of a TIFF file's fields: classic (32-bit places) or big (64-bit)."""
+
+    def __init__(self, head: Blocks):
+        self.order = {b"II": "<", b"MM": ">"}.get(head.at(0, 2))
+        version = struct.unpack(self.order + "H", head.at(2, 2))[0] if self.order else 0
+        if version not in (42, 43):
+            raise ValueError("not a TIFF file")
+        big = version == 43
+        self.place, self.count = ("Q", "Q") if big else ("I", "H")
+        self.first = struct.unpack(self.order + self.place, head.at(8 if big else 4, struct.calcsize(self.place)))[0]
+
+    def directory(self, head: Blocks, at: int) -> tuple[dict[int, tuple], int]:
+        """(values of the wanted tags, place of the next directory or 0), wherever in the file they stand."""
+        wide = struct.calcsize(self.place)
+        size = struct.calcsize(self.count)
+        (n,) = struct.unpack(self.order + self.count, head.at(at, size))
+        raw, entry, out = head.at(at + size, n * (4 + 2 * wide) + wide), 4 + 2 * wide, {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(self.order + "HH" + self.place, raw, k * entry)
+            letter = _TYPES.get(kind)
+            if letter is None or tag not in _WANTED:
+                continue
+            length, field = struct.calcsize("=" + letter) * count, raw[k * entry + 4 + wide : (k + 1) * entry]
+            values = field[:length] if length <= wide else head.at(struct.unpack(self.order + self.place, field)[0], length)
+            out[tag] = struct.unpack(f"{self.order}{count}{letter}", values)
+        return out, struct.unpack_from(self.order + self.place, raw, n * entry)[0]
+
+
+def raster_header(head: Blocks) -> dict:
+    """Fields of a TIFF header, classic or big; overviews are the further images of the file."""
+    layout = _Layout(head)
+    first, after = layout.directory(head, layout.first)
+    overviews, seen = 0, {layout.first}
+    while after and after not in seen:
+        seen.add(after)
+        _, after = layout.directory(head, after)
         overviews += 1
     one = lambda tag, default=0: first.get(tag, (default,))[0]
     width, height = one(256), one(257)
@@ -52,47 +65,38 @@ def raster_header(head: bytes | mmap.mmap) -> dict:
     return {"width": width, "height": height, "bands": one(277, 1), "crs": f"EPSG:{epsg}" if epsg else "unknown", "box": box, "tiled": tiled, "tile": (one(322), one(323)), "overviews": overviews}
 
 
-def cloud_header(head: bytes | mmap.mmap) -> dict:
+def cloud_header(head: Blocks) -> dict:
     """Fields of a LAS 1.4 header and of the COPC info record behind it."""
-    if head[:4] != b"LASF":
+    if head.at(0, 4) != b"LASF":
         raise ValueError("not a LAS file")
-    size, vlrs = struct.unpack_from("<H", head, 94)[0], struct.unpack_from("<I", head, 100)[0]
-    (points,) = struct.unpack_from("<Q", head, 247)
-    max_x, min_x, max_y, min_y, max_z, min_z = struct.unpack_from("<6d", head, 179)
+    fixed = head.at(0, 375)
+    size, vlrs = struct.unpack_from("<H", fixed, 94)[0], struct.unpack_from("<I", fixed, 100)[0]
+    (points,) = struct.unpack_from("<Q", fixed, 247)
+    max_x, min_x, max_y, min_y, max_z, min_z = struct.unpack_from("<6d", fixed, 179)
     at, projected, info = size, False, None
     for _ in range(vlrs):
-        user, record, length = head[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", head, at + 18)
+        record = head.at(at, 54)
+        user, kind, length = record[2:18].rstrip(b"\0"), *struct.unpack_from("<HH", record, 18)
         projected |= user == b"LASF_Projection"
-        if user == b"copc" and record == 1:
-            info = struct.unpack_from("<5d2Q", head, at + 54)
+        if user == b"copc" and kind == 1:
+            info = struct.unpack("<5d2Q", head.at(at + 54, 56))
         at += 54 + length
     if info is None:
         raise ValueError("no COPC info record")
     return {"points": points, "box": (min_x, min_y, min_z, max_x, max_y, max_z), "crs": "projected" if projected else "unknown", "center": info[:3], "half": info[3], "spacing": info[4], "entries": info[6] // 32}
 
 
-def _inventory(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
-    """A row per file. Spark's binary reader finds the files on any file system; only paths leave the listing, and a task
-    maps its file where it is mounted, so that only the pages of its headers are read."""
-    files = spark.read.format("binaryFile").load(path).select("path")
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+def _inventory(spark: SparkSession, path: str, schema: str, row: Callable[[Blocks], tuple]) -> DataFrame:
+    """A row per file, of which only the blocks are read that headers, directories and tags stand in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for name in batch.column(0).to_pylist():
-                with open(name.removeprefix("file:").replace("//", "/"), "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as whole:
-                    out.append((name, *row(whole)))
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+    def rows(name: str, file: pa.NativeFile) -> list[tuple]:
+        return [(name, *row(Blocks(file)))]
 
-    return files.mapInArrow(run, schema)
+    return rows_of_files(with_content(listed(spark, path)), schema, rows)
 
 
 def raster_inventory(spark: SparkSession, path: str) -> DataFrame:
-    def row(head: bytes | mmap.mmap) -> tuple:
+    def row(head: Blocks) -> tuple:
         h = raster_header(head)
         return h["width"], h["height"], h["bands"], h["crs"], *h["box"], h["tiled"], *h["tile"], h["overviews"], h["tiled"] and h["overviews"] > 0
 
@@ -100,7 +104,7 @@ def raster_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pointcloud_inventory(spark: SparkSession, path: str) -> DataFrame:
-    def row(head: bytes | mmap.mmap) -> tuple:
+    def row(head: Blocks) -> tuple:
         h = cloud_header(head)
         return h["points"], *h["box"], h["crs"], *h["center"], h["half"], h["spacing"], h["entries"]
 

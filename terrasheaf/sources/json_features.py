@@ -55,6 +55,10 @@ def _defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("assets", F.coalesce(kept, F.create_map().cast(_ASSETS))).withColumn("links", F.coalesce("links", F.array().cast("array<struct<rel: string, href: string>>")))
 
 
+def _box() -> list[Column]:
+    return [F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("min_x", "min_y", "max_x", "max_y"))]
+
+
 def read_stac_items(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
     """(items, outcomes): items of landed search responses, one file an endpoint, and a row per file with its error.
 
@@ -64,9 +68,16 @@ def read_stac_items(spark: SparkSession, paths: list[str] | str) -> tuple[DataFr
     error = F.when(F.col("_corrupt").isNotNull(), "corrupt response").when(~F.coalesce(F.col("type") == "FeatureCollection", F.lit(False)), "not a FeatureCollection")
     judged = docs.withColumn("error", error)
     items = judged.filter("error is null").select("endpoint_file", F.explode(F.coalesce("features", F.array().cast(f"array<{item}>"))).alias("i")).select("endpoint_file", "i.*")
-    box = [F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("min_x", "min_y", "max_x", "max_y"))]
     matched = F.when(F.col("error").isNull(), F.coalesce(F.size("features"), F.lit(0))).otherwise(0)
-    return _defaults(items).select("*", *box), judged.select("endpoint_file", "error", matched.alias("matched"))
+    return _defaults(items).select("*", *_box()), judged.select("endpoint_file", "error", matched.alias("matched"))
+
+
+def read_stac_item(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Items that stand alone, one a file, in the shape of read_stac_items; another type or no id is an error when read."""
+    docs = spark.read.schema(STAC_ITEM).option("multiLine", True).json(path).withColumn("endpoint_file", F.input_file_name())
+    good = F.coalesce((F.col("type") == "Feature") & F.col("id").isNotNull(), F.lit(False))
+    checked = docs.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no STAC item in "), F.col("endpoint_file")))))
+    return _defaults(checked).select("endpoint_file", *(c for c in checked.columns if c != "endpoint_file"), *_box())
 
 
 def read_stac_collection(spark: SparkSession, path: str) -> DataFrame:

@@ -89,7 +89,8 @@ def test_prompts(spark):
     texts = ["名古屋市の人口密度を表示", "nagoya geoparquet density", "nagoya geoparquet", "local raster", "fetch STAC from https://x.org/c.json", "nagoya", " "]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r["id"]: r for r in I.route(I.tag_intent(df)).collect()}
-    assert [got[i]["workflow"] for i in range(7)] == ["population_density", "geoparquet_density", "geoparquet", "local_cog", "external_stac", None, None]
+    assert [got[i]["workflow"] for i in range(7)] == ["nagoya-density", "nagoya-geoparquet-density", "nagoya-geoparquet", "local-cog-demo", "external-stac-demo", None, None]
+    assert got[0]["place"] == "名古屋市" and got[0]["matched"] == ["place:nagoya", "metric:population_density", "viz:choropleth"]
     assert [got[i]["status"] for i in (4, 5, 6)] == ["routed", "ambiguous", "empty"] and got[0]["confidence"] == 1.0
 
 
@@ -144,8 +145,8 @@ def test_geoparquet_round_trip(spark, tmp_path):
         GP.read_geoparquet(spark, path, [9]).count()
     plain = tmp_path / "plain.parquet"
     pq.write_table(pa.table({"a": [1]}), plain)
-    with pytest.raises(ValueError, match="geo"):
-        GP.footer_of(str(plain))
+    with pytest.raises(Exception, match="no geo metadata"):
+        GP.geoparquet_footer(spark, str(plain)).collect()
     text = back.withColumn("x", F.lit(float("nan"))).select(GP.properties_json(back.withColumn("x", F.lit(float("nan"))).select("id", "x", "rings")).alias("p")).first()["p"]
     assert json.loads(text)["x"] is None
 
