@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage: written as Parquet in the shared folder and read again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    if _PASSING:
+        _PASSING[-1].append(path)
+    return out
+
+
+#: Paths written in each open block of passing(), the innermost last.
+_PASSING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block at whose end the tables written in it are removed, but for those given to the function it yields. What the
+    block hands on must be written itself, so that no lost executor asks for what is gone."""
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch)
+        return df
+
+    _PASSING.append(own)
+    try:
+        yield keep
+    finally:
+        _PASSING.pop()
+        if _PASSING:
+            _PASSING[-1].extend(p for p in own if p in kept)
+        remove(spark, [p for p in own if p not in kept])
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Removes folders of the shared store through Spark's own file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        name = jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(conf).delete(name, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

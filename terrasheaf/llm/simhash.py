@@ -168,6 +168,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star joins; each round is written to the shared folder, so a lost executor costs
     one round. Rounds grow with the logarithm of the longest chain."""
+    with common.passing(edges.sparkSession) as keep:
+        current = keep(_stars(edges, max_rounds))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(u, v): every other node of a component with its smallest."""
     current = common.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = None
     for _ in range(max_rounds):
@@ -179,11 +186,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         current = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         new = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
-            break
+            return current
         state = new
-    else:
-        raise RuntimeError("components did not settle")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,6 +411,18 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     same = ["digest", "b0", "n"]
     classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in (*PARITY[1:], "code", "keys")))
     classes = common.written(classes, "classes")
+    with common.passing(docs.sparkSession) as keep:
+        roots_ = _joined_classes(classes, ids, width, similarity)
+        if roots_ is not None:
+            keep(roots_)
+    named = classes.select(*same, F.col("doc").alias("component_id"))
+    if roots_ is not None:
+        named = classes.join(roots_, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("root", "doc").alias("component_id"))
+    return sketch.select("doc", *same).join(named, same).select(F.col("doc").alias("doc_id"), "component_id")
+
+
+def _joined_classes(classes: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame | None:
+    """(node, root) of classes that similar pairs join; none: null."""
     shared = common.written(_shared_keys(classes).join(classes.select("doc", "n", *PARITY), "doc"), "shared")
     seen, edges, roots_ = None, None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -420,7 +437,4 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
         if found.take(1):
             edges = found if edges is None else edges.unionByName(found)
             roots_ = common.written(components(edges), "roots")
-    named = classes.select(*same, F.col("doc").alias("component_id"))
-    if roots_ is not None:
-        named = classes.join(roots_, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("root", "doc").alias("component_id"))
-    return sketch.select("doc", *same).join(named, same).select(F.col("doc").alias("doc_id"), "component_id")
+    return roots_

@@ -295,7 +295,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.coalesce(F.col(doc_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("tag"), text.alias("text"))
-    found = common.written(paths(repeated_edges(chains(base.select("doc", "tag", "text"), window)), window), "paths")
+    with common.passing(docs.sparkSession) as keep:
+        found = keep(common.written(paths(repeated_edges(chains(base.select("doc", "tag", "text"), window)), window), "paths"))
     dealt = base.repartition(n, "doc", "tag")
     wanted = found.groupBy(F.col("src_doc").alias("doc"), F.col("src_tag").alias("tag")).agg(F.collect_set(F.struct("src_start", (F.col("src_start") + F.col("stop") - F.col("start")).alias("src_stop"))).alias("spans"))
     seen = dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(common.tidy(_source_digests), "src_doc long, src_tag int, src_start int, src_stop int, digest binary").dropDuplicates(["src_doc", "src_tag", "src_start", "src_stop"])
