@@ -7,6 +7,8 @@ smaller document holds it, and that holder is its source. Repeated edges that le
 the document and the source compact into nonbranching paths by joins of the nodes that edges leave with those that edges
 enter. Each path is verified at its source coordinates: the words there must be the same.
 
+Edges travel as 48 bits of their hash, beside the 64 bits of their anchor.
+
 An anchor in very many contexts does not meet in one task: where a task sees many edges of it, they go on edge by edge,
 and a marker tells the join to send on whatever else it gets of that anchor.
 """
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, ANCHOR = 13, 4
+EDGE_BYTES = 6
 #: Edges whose equal chains collapse before the shuffle (about 100 bytes each while they do).
 FLUSH_EDGES = 4_000_000
 #: Distinct edges of an anchor in one flush, or in one task of the join, above which they go on edge by edge.
@@ -37,7 +40,8 @@ _HITS = "doc long, tag int, first int, edges int, src_doc long, src_tag int, src
 
 
 def _doc_chains(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """For each chain: document, anchor, first window's word place in the document, windows; then all windows' hashes."""
+    """For each chain: document, anchor, first window's word place in the document, windows; then all windows' hashes, of
+    EDGE_BYTES."""
     starts, ends, first = common.word_bounds(data, offsets)
     words = common.byte_range_hashes(data, starts, ends)
     n = np.diff(first)
@@ -52,7 +56,7 @@ def _doc_chains(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
     doc = np.repeat(np.arange(len(n)), size)
     head, anchor, _ = common.anchor_runs(grams, begin, doc, window - width + 1)
     d = doc[head]
-    return d, anchor, begin[head] - first[d], np.diff(np.r_[head, len(begin)]), common.range_hashes(words, begin, begin + window)
+    return d, anchor, begin[head] - first[d], np.diff(np.r_[head, len(begin)]), common.range_hashes(words, begin, begin + window) >> np.uint64(64 - 8 * EDGE_BYTES)
 
 
 def _holders(key: np.ndarray) -> np.ndarray:
@@ -83,8 +87,25 @@ def _settled_rows(doc, tag, first, count, src_doc, src_tag, src_first) -> pa.Rec
     return _chain_rows(common.mixed(doc.astype(np.int64).view(np.uint64) + first.astype(np.uint64)), _SETTLED, doc, tag, first, common.binaries(info, 32 * np.arange(1, len(doc) + 1)))
 
 
-def _hash_lists(hashes: np.ndarray, count: np.ndarray) -> pa.Array:
-    return common.binaries(hashes.astype("<u8"), 8 * np.cumsum(count))
+def _hash_lists(hashes: np.ndarray, count: np.ndarray, width: int = EDGE_BYTES) -> pa.Array:
+    return common.binaries(np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]), width * np.cumsum(count))
+
+
+def _hashes_of(chain: pa.Array, width: int = EDGE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(all hashes, number of each row)."""
+    data, offsets = common.buffers(chain)
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(-1, width)
+    return out.view("<u8").reshape(-1), np.diff(offsets) // width
+
+
+def _edge_keys(anchor: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """64 bits of an edge, from its anchor and its hash."""
+    return common.mixed(anchor.view(np.uint64) ^ common.mixed(hashes))
+
+
+def _key_lists(keys: np.ndarray) -> pa.Array:
+    return _hash_lists(keys, np.ones(len(keys), np.int64), 8)
 
 
 def _flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +135,13 @@ def _flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h = own[hot]
         step = common.ragged(count[h])
         e_doc, e_tag, e_place, e_hash = np.repeat(doc[h], count[h]), np.repeat(tag[h], count[h]), np.repeat(first[h], count[h]) + step, hashes[np.repeat(begin[h], count[h]) + step]
-        source = _holders(e_hash)
+        source = _holders(_edge_keys(np.repeat(anchor[h], count[h]), e_hash))
         again = e_doc[source] < e_doc
         runs = _runs(e_doc[again], e_tag[again], e_place[again], e_doc[source[again]], e_tag[source[again]], e_place[source[again]])
         yield _settled_rows(*(common.column(runs, x).to_numpy() for x in ("doc", "tag", "first", "edges", "src_doc", "src_tag", "src_first")))
         k = ~again
-        yield _chain_rows(common.mixed(e_hash[k]), _LOOSE, e_doc[k], e_tag[k], e_place[k], _hash_lists(e_hash[k], np.ones(int(k.sum()), np.int64)))
+        keys = _edge_keys(np.repeat(anchor[h], count[h])[k], e_hash[k])
+        yield _chain_rows(common.mixed(keys), _LOOSE, e_doc[k], e_tag[k], e_place[k], _key_lists(keys))
 
 
 def chains(docs: DataFrame, window: int) -> DataFrame:
@@ -156,8 +178,8 @@ def _loose(doc, tag, first, chain: pa.Array) -> pa.RecordBatch:
 
 
 def joined_chains(rows: DataFrame) -> DataFrame:
-    """_HITS of the edges of chains that a smaller document holds, with the smallest one's coordinates; and, with their
-    hashes in `chain`, the edges of anchors that are too large for one task.
+    """_HITS of the edges of chains that a smaller document holds, with the smallest one's coordinates; and, with 64-bit
+    keys in `chain`, the edges of anchors that are too large for one task.
 
     Rows of an anchor come in document order, so the first holder of an edge is its smallest. Distinct edges of the
     anchor at hand are remembered, JOIN_EDGES at most."""
@@ -179,9 +201,13 @@ def joined_chains(rows: DataFrame) -> DataFrame:
             marked = np.isin(anchor, anchor[kind == _MARK])
             if open_ is not None:
                 marked |= anchor == open_
-            on = np.flatnonzero((kind == _LOOSE) | ((kind == _CHAIN) & marked))
+            on = np.flatnonzero(kind == _LOOSE)
             if len(on):
                 yield _loose(doc[on], tag[on], first[on], chain.take(pa.array(on)))
+            on = np.flatnonzero((kind == _CHAIN) & marked)
+            if len(on):
+                hashes, count = _hashes_of(chain.take(pa.array(on)))
+                yield _loose(doc[on], tag[on], first[on], _hash_lists(_edge_keys(np.repeat(anchor[on], count), hashes), count, 8))
             real = np.flatnonzero(kind <= _CHAIN)
             last = anchor[real[-1]] if len(real) else None
             if last is not None and not (open_ is not None and last == open_):
@@ -191,15 +217,14 @@ def joined_chains(rows: DataFrame) -> DataFrame:
                 if last is not None and state is not None and state[0][0] != last:
                     state = None
                 continue
-            data, offsets = common.buffers(chain.take(pa.array(pick)))
-            count = np.diff(offsets) // 8
+            hashes, count = _hashes_of(chain.take(pa.array(pick)))
             step = common.ragged(count)
-            e = [np.repeat(anchor[pick], count), np.frombuffer(data.tobytes(), "<u8"), np.repeat(doc[pick], count), np.repeat(tag[pick], count), np.repeat(first[pick], count) + step]
+            e = [np.repeat(anchor[pick], count), hashes, np.repeat(doc[pick], count), np.repeat(tag[pick], count), np.repeat(first[pick], count) + step]
             known = 0
             if state is not None and state[0][0] == anchor[pick[0]]:
                 known = len(state[0])
                 e = [np.concatenate([a, b]) for a, b in zip(state, e, strict=True)]
-            source = _holders(e[1] ^ common.mixed(e[0].view(np.uint64)))
+            source = _holders(_edge_keys(e[0], e[1]))
             again = e[2][source] < e[2]
             again[:known] = False
             if again.any():
@@ -210,7 +235,7 @@ def joined_chains(rows: DataFrame) -> DataFrame:
             if last != e[0][-1]:
                 state = None
             elif len(state[0]) > JOIN_EDGES:
-                yield _loose(state[2], state[3], state[4], _hash_lists(state[1], np.ones(len(state[1]), np.int64)))
+                yield _loose(state[2], state[3], state[4], _key_lists(_edge_keys(state[0], state[1])))
                 open_, state = last, None
 
     return dealt.mapInArrow(common.tidy(run), _JOINED)
@@ -222,11 +247,10 @@ def loose_edges(joined: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = common.buffers(common.column(batch, "chain"))
-            count = np.diff(offsets) // 8
+            keys, count = _hashes_of(common.column(batch, "chain"), 8)
             row = np.repeat(np.arange(batch.num_rows), count)
             doc, tag, first = (common.column(batch, c).to_numpy()[row] for c in ("doc", "tag", "first"))
-            yield common.record("edge doc tag place", np.frombuffer(data.tobytes(), "<i8"), doc, tag, (first + common.ragged(count)).astype(np.int32))
+            yield common.record("edge doc tag place", keys.view(np.int64), doc, tag, (first + common.ragged(count)).astype(np.int32))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the first holder of the edge at hand
