@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer document is handled alone and whole.
 SLICE_BYTES = 1 << 21
@@ -88,6 +89,24 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
         name.getFileSystem(conf).delete(name, True)
 
 
+#: A key is hot with over HOT_ROWS rows and a HOT_KEYS-th of all: HOT_KEYS keys can be, at most.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, n: str = "n") -> DataFrame:
+    """left joined with right, which has one row a key; counts (on, n) tells the rows of left by key.
+
+    Rows of hot keys stay where they are and meet the few rows of right by broadcast; only the others are dealt by key."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = counts.filter(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(*on)
+    if not hot.take(1):
+        return left.join(right, on)
+    hot = written(hot, "hot")
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(right, on)
+    return left.join(F.broadcast(few), on).unionByName(rest)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}

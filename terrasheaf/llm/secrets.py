@@ -119,13 +119,13 @@ def find_secrets(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
     spans: base spans, and further candidates whose owners are fewer than example_owners. found tells, for each
     candidate, its repositories and owners and whether it looks live. Null text: empty. Null owner or repository
     columns count as one owner. Repeated or null doc_id: rows stay apart. Empty table: empty result. A value that very many
-    documents hold is a skewed key of the join with its spread, which adaptive execution splits. Other columns do not
-    matter."""
+    documents hold meets its spread by broadcast. Other columns do not matter."""
     rows = docs.select(F.col(doc_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols)).alias("repo"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     scanned = common.written(scan(rows), "secrets")
     spread = ownership(scanned)
     candidates = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = candidates.join(spread, "hash").withColumn("live", F.col("n_owners") < example_owners)
+    counts = candidates.groupBy("hash").agg(F.count("*").alias("n"))
+    judged = common.join_hot(candidates, spread, ["hash"], counts).withColumn("live", F.col("n_owners") < example_owners)
     item = F.struct("start", "kind_no", "end", "hash", "base", "live", "n_repos", "n_owners")
     by_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(item)).alias("all"))
     none = by_row.schema["all"].dataType

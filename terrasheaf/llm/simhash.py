@@ -198,10 +198,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS, d
     the component has no other. Repeated doc_id: each row has its own fingerprint. Empty table: empty result."""
     ids = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = common.written(fingerprints(ids, width), "prints")
-    each = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
+    each = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "fps")
     joined = each.join(components(links(each.select("fp"), max_bits)), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    return common.join_hot(prints, named, ["fp"], each.select("fp", "n"), "n").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -409,7 +409,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     ids = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     sketch = common.written(_sketch(ids, width, similarity, _common_shingles(ids, width)), "sketch")
     same = ["digest", "b0", "n"]
-    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in (*PARITY[1:], "code", "keys")))
+    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in (*PARITY[1:], "code", "keys")))
     classes = common.written(classes, "classes")
     with common.passing(docs.sparkSession) as keep:
         roots_ = _joined_classes(classes, ids, width, similarity)
@@ -418,7 +418,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     named = classes.select(*same, F.col("doc").alias("component_id"))
     if roots_ is not None:
         named = classes.join(roots_, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("root", "doc").alias("component_id"))
-    return sketch.select("doc", *same).join(named, same).select(F.col("doc").alias("doc_id"), "component_id")
+    return common.join_hot(sketch.select("doc", *same), named, same, classes.select(*same, "rows"), "rows").select(F.col("doc").alias("doc_id"), "component_id")
 
 
 def _joined_classes(classes: DataFrame, ids: DataFrame, width: int, similarity: float) -> DataFrame | None:

@@ -312,8 +312,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
     words. Null doc_id: counts as larger than all others. Rows of equal doc_id do not remove each other's words.
     Empty table: empty result. Other columns do not matter. Very long or periodic texts: chains are cut by edges, not by
     texts, and periodic text has as few chains as any other. Texts are shuffled once, and that shuffle is read by both
-    sides of the verification. A source span that very many documents repeat is a skewed key of the join with its
-    digest, which adaptive execution splits."""
+    sides of the verification. A source span that very many documents repeat meets its digest by broadcast."""
     if not 1 <= window <= 60:
         raise ValueError("window must be 1 to 60")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -324,7 +323,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
     dealt = base.repartition(n, "doc", "tag")
     wanted = found.groupBy(F.col("src_doc").alias("doc"), F.col("src_tag").alias("tag")).agg(F.collect_set(F.struct("src_start", (F.col("src_start") + F.col("stop") - F.col("start")).alias("src_stop"))).alias("spans"))
     seen = dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(common.tidy(_source_digests), "src_doc long, src_tag int, src_start int, src_stop int, digest binary").dropDuplicates(["src_doc", "src_tag", "src_start", "src_stop"])
-    checked = found.withColumn("src_stop", F.col("src_start") + F.col("stop") - F.col("start")).join(seen, ["src_doc", "src_tag", "src_start", "src_stop"])
+    span = ["src_doc", "src_tag", "src_start", "src_stop"]
+    found = found.withColumn("src_stop", F.col("src_start") + F.col("stop") - F.col("start"))
+    checked = common.join_hot(found, seen, span, found.groupBy(*span).agg(F.count("*").alias("n")))
     own = checked.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop", "digest")).alias("spans"))
     return dealt.join(own.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(common.tidy(_without()), "doc_id long, n_words long, n_removed long, removed array<struct<start: int, stop: int>>, kept_text string")
 

@@ -40,12 +40,15 @@ def decide_records(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFram
     """pages (page_id, url, html, captured) with payload_bytes, payload_digest and refers_to (null: a response).
 
     Payloads are compared by length and SHA-1. Only ids and digests are grouped, with a partial maximum before the
-    shuffle; the join back is on the page. Rows without page_id are responses, and never referred to."""
+    shuffle; pages of a very common payload meet its last page by broadcast; the join back is on the page. Rows without page_id are responses, and never referred to."""
     html = F.coalesce("html", F.lit(""))
     pages = pages.withColumn("html", html).withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
     large = pages.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_bytes", "payload_digest")
     groups = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
-    again = large.join(groups, ["payload_digest", "payload_bytes"]).filter("page_id < _last").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("_last").alias("refers_to")).distinct()
+    key = ["payload_digest", "payload_bytes"]
+    groups = common.written(groups, "payloads")
+    same = common.join_hot(large, groups.select(*key, "_last"), key, groups.select(*key, F.col("_n").alias("n")))
+    again = same.filter("page_id < _last").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("_last").alias("refers_to")).distinct()
     return pages.join(again, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_id", "_digest")
 
 

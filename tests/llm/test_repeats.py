@@ -137,3 +137,14 @@ def test_long_and_periodic_bytes(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
     assert got == {1: (20_000_000, 20_000_000, 1), 2: (300, 300, 1), 3: (2_000_000, 0, 0), 4: (300_001, 300_000, 1)}
     assert time.time() - began < 120
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    """The join of counted keys gives the same rows with and without hot ones, nulls and missing keys included."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    left = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 1), (None, 1), (3, 7)], "key int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "key int, w string")
+    counts = left.groupBy("key").count().withColumnRenamed("count", "n")
+    assert sorted(common.join_hot(left, right, ["key"], counts).collect()) == sorted(left.join(right, "key").collect())
+    rows = hot_texts()
+    assert words_of(substrings.remove_repeats(frame(spark, rows))) == brute_words(rows)
