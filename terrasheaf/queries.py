@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,10 @@ from terrasheaf.operators import tiles as T
 from terrasheaf.oracle_views import oracle
 from terrasheaf.plans import steps
 from terrasheaf.sources import geoparquet as GP
+from terrasheaf.sources import headers as H
+from terrasheaf.sources import json_features as J
 from terrasheaf.sources.files import scratch
+from terrasheaf.streaming import logs as SL
 from terrasheaf.views import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,10 +460,12 @@ def _(s, d):
     return E.rank_candidates(_scored(s, d), "key").select(F.col("key").alias("item_key"), "asset_key", "place")
 
 
-@query("a09_compare_and_bind", "SELECT item_key, asset_key, cast(score AS int) score, sources, crs, license FROM v_scored WHERE compatible ORDER BY v_scored.score DESC, item_key, asset_key LIMIT 1")
+@query("a09_compare_and_bind", """SELECT item_key, asset_key, cast(score AS int) score, sources, crs, license,
+  (SELECT string_agg('https://'||lower(r_name)||'.example.com/', ',' ORDER BY r_regionkey) FROM region WHERE list_contains(string_split(sources, ','), r_name)) AS source_urls
+  FROM v_scored WHERE compatible ORDER BY v_scored.score DESC, item_key, asset_key LIMIT 1""")
 def _(s, d):
     b = E.compare_and_bind(_items(s, d), _endpoints(s, d), MEDIA)
-    return b.select(F.col("key").alias("item_key"), "asset_key", "score", F.array_join("source_endpoints", ",").alias("sources"), "crs", "license")
+    return b.select(F.col("key").alias("item_key"), "asset_key", "score", F.array_join("source_endpoints", ",").alias("sources"), "crs", "license", F.array_join("source_urls", ",").alias("source_urls"))
 
 
 # text and addresses
@@ -509,10 +516,16 @@ def _(s, d):
 @query("s04_geoparquet_footer", "SELECT 'geometry' AS geometry_column, 'EPSG:6668' AS crs, cast(8 AS bigint) AS n_fields, count(*) AS n_rows FROM v_wards")
 def _(s, d):
     path = _stored(s, d)
-    foot = GP.geoparquet_footer(s, path)
-    groups = foot.agg(F.max("row_group_count")).first()[0]
-    rows = sum(GP.read_geoparquet(s, path, [g]).count() for g in range(groups)) if foot.count() == 1 else GP.read_geoparquet(s, path).count()
-    return foot.agg(F.min("geometry_column").alias("geometry_column"), F.max("crs").alias("crs"), F.max(F.size("schema_fields")).cast("long").alias("n_fields")).withColumn("n_rows", F.lit(rows).cast("long"))
+    foot = GP.geoparquet_footer(s, path).agg(F.min("geometry_column").alias("geometry_column"), F.max("crs").alias("crs"), F.max(F.size("schema_fields")).cast("long").alias("n_fields"))
+    return foot.join(F.broadcast(GP.read_geoparquet(s, path).agg(F.count("*").alias("n_rows"))))
+
+
+@query("s05_row_groups", "SELECT least(100, count(*)) AS n_first, cast(0 AS bigint) AS n_none, count(*) AS n_all FROM v_wards")
+def _(s, d):
+    path = scratch(s, "wards")
+    GP.write_geoparquet(wards(s, d).coalesce(1), path, row_group_rows=100)
+    count = lambda groups, name: GP.read_geoparquet(s, path, groups).agg(F.count("*").alias(name))
+    return count([0], "n_first").join(F.broadcast(count([], "n_none"))).join(F.broadcast(count(None, "n_all")))
 
 
 @query("c06_federated_execute", """SELECT item_key, unnest(['schema_fields','crs_matches_binding','source_matches_binding']) AS name, unnest([true, false, true]) AS passed
@@ -637,6 +650,13 @@ def _(s, d):
     return L.merge_comments(c.filter("src < 2"), c.filter("src > 0").withColumn("body", F.concat("body", F.lit("!")))).select("id", "body")
 
 
+@query("u04_merge_branches", "SELECT n_name AS name, CASE WHEN n_nationkey<10 THEN n_nationkey WHEN n_nationkey<15 THEN greatest(n_nationkey, 25-n_nationkey) ELSE 25-n_nationkey END AS created_at FROM nation")
+def _(s, d):
+    n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
+    a, b = n.filter("k < 15").withColumn("created_at", F.col("k")), n.filter("k >= 10").withColumn("created_at", 25 - F.col("k"))
+    return L.merge_branches(a, b).select("name", "created_at")
+
+
 @query("u05_create_branches", "SELECT n_name AS name FROM nation WHERE n_regionkey<3 AND n_nationkey>=10 AND regexp_full_match(n_name, '[A-Za-z0-9_-]+')")
 def _(s, d):
     n = s.read.parquet(f"{d}/nation.parquet")
@@ -717,3 +737,166 @@ def _(s, d):
 def _audit(s, d) -> dict[str, DataFrame]:
     c, runs = view(s, d, "v_catalog"), view(s, d, "v_runs")
     return L.audit_tables(c, c.filter("cast(id as bigint) < 10"), view(s, d, "v_comments"), L.provenance_of(runs), runs)
+
+
+# files that a query stages in the shared folder and reads back
+
+def _geojson(s, d) -> DataFrame:
+    """v_wards as one GeoJSON feature a line."""
+    parts = F.to_json(F.transform("rings", lambda g: F.array(F.transform(g, lambda p: F.array(p["x"], p["y"])))))
+    single = F.to_json(F.array(F.transform(F.get("rings", F.lit(0)), lambda p: F.array(p["x"], p["y"]))))
+    many = F.size("rings") > 1
+    shape = F.concat(F.lit('{"type":"'), F.when(many, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":'), F.when(many, parts).otherwise(single), F.lit("}"))
+    return wards(s, d).select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct("ward_code", "population")), F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
+
+
+@query("s01_geojson", "SELECT ward_code, population, len(rings) n_rings, cast(list_sum(list_transform(rings, lambda g: len(g))) AS bigint) n_vertices, round(list_sum(list_transform(rings, lambda g: list_sum(list_transform(g, lambda p: p.y)))),6) sum_y FROM v_wards")
+def _(s, d):
+    path = scratch(s, "geojson")
+    _geojson(s, d).write.text(path)
+    f = J.read_geojson_lines(s, path)
+    text = lambda k: F.get_json_object("properties", f"$.{k}")
+    total = F.aggregate(F.transform(F.flatten("rings"), lambda p: p["y"]), F.lit(0.0), lambda t, x: t + x)
+    return f.select(text("ward_code").alias("ward_code"), text("population").cast("long").alias("population"), F.size("rings").cast("long").alias("n_rings"), F.size(F.flatten("rings")).cast("long").alias("n_vertices"), r(total).alias("sum_y"))
+
+
+@query("s08_population", "SELECT ward_code, ward_name, population, cast(2020 AS int) census_year FROM v_wards")
+def _(s, d):
+    path = scratch(s, "population")
+    listed = F.to_json(F.struct(F.lit(2020).alias("census_year"), F.lit("census").alias("source"), F.collect_list(F.struct("ward_code", "ward_name", "population")).alias("wards")))
+    wards(s, d).groupBy(F.pmod(F.xxhash64("ward_code"), F.lit(10)).alias("k")).agg(listed.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return J.read_population(s, path).select("ward_code", "ward_name", "population", "census_year")
+
+
+@query("s09_stac_items", "SELECT id, collection, round(min_x,6) min_x, round(max_y,6) max_y, 1 AS n_roles FROM v_hits UNION ALL SELECT 'errors', string_agg(e, ',' ORDER BY e), NULL, NULL, count(*) FROM (VALUES ('corrupt response'), ('not a FeatureCollection')) t(e)")
+def _(s, d):
+    path = scratch(s, "stac")
+    item = F.struct(F.lit("Feature").alias("type"), "id", "collection", F.array("min_x", "min_y", "max_x", "max_y").alias("bbox"), F.create_map(F.lit("data"), F.struct(F.lit("a").alias("href"), F.array(F.lit("data")).alias("roles"))).alias("assets"))
+    good = view(s, d, "v_hits").groupBy("endpoint_id").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(item).alias("features"))).alias("value")).select("value")
+    bad = s.sql("select explode(array('{broken', '{\"type\": \"Other\"}')) value")
+    good.unionByName(bad).write.option("maxRecordsPerFile", 1).text(path)
+    items, outcomes = J.read_stac_items(s, path)
+    found = items.select("id", "collection", r("min_x").alias("min_x"), r("max_y").alias("max_y"), F.size(F.col("assets")["data"]["roles"]).cast("long").alias("n_roles"))
+    errors = outcomes.filter("error is not null").agg(F.array_join(F.sort_array(F.collect_list("error")), ",").alias("collection"), F.count("*").alias("n_roles"))
+    none = F.lit(None).cast("double")
+    return found.unionByName(errors.select(F.lit("errors").alias("id"), "collection", none.alias("min_x"), none.alias("max_y"), "n_roles"))
+
+
+@query("s12_runs", "SELECT id, workflow_id, verified, plan_only FROM v_runs")
+def _(s, d):
+    path = scratch(s, "runs")
+    runs = view(s, d, "v_runs").withColumn("k", F.pmod(F.xxhash64("id"), F.lit(20)))
+    runs.groupBy("k").agg(F.to_json(F.collect_list(F.struct("id", "workflow_id", "verified", "plan_only"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    # the reader takes *.json; the sink names its files *.txt
+    return J.read_runs(s, path, "*.txt").select("id", "workflow_id", "verified", "plan_only")
+
+
+@query("s14_map_paths", """SELECT '<path d="' || path || '" fill="' || color || '"><title>' || ward_name || ': ' || format('{:.0f}', density_per_km2) || '</title></path>' AS line FROM
+  (SELECT c.ward_code, ward_name, density_per_km2, ['#edf4fc','#bfd8f2','#72ade0','#3372bf','#0c3f8c'][cls+1] AS color,
+  list_aggregate(list_transform(range(1,len(ring)+1), lambda i: (CASE WHEN i=1 THEN 'M ' ELSE 'L ' END) || format('{:.2f}', 10.0+(ring[i].x-min_x)/greatest(max_x-min_x,1e-9)*780.0) || ' ' || format('{:.2f}', 10.0+(max_y-ring[i].y)/greatest(max_y-min_y,1e-9)*580.0)), 'string_agg', ' ') || ' Z' AS path
+  FROM v_classed c JOIN v_rings r ON c.ward_code=r.ward_code AND ring_no=0, v_box)""")
+def _(s, d):
+    path = scratch(s, "paths")
+    w = D.population_density(wards(s, d)).join(F.broadcast(D.dataset_bbox(wards(s, d)).select(F.struct("*").alias("box"))))
+    J.write_svg_paths(w.withColumn("path", G.svg_path(F.get("rings", F.lit(0)), F.col("box"), 800.0, 600.0, 10.0)), path)
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("s11_overlay_file", "SELECT id, CASE WHEN cast(id AS bigint)%10=0 THEN 'new' ELSE title END AS title FROM v_catalog")
+def _(s, d):
+    c, path = view(s, d, "v_catalog"), scratch(s, "overlay")
+    none = C.upsert_overlay(c, C.read_overlay(c, path))
+    C.write_overlay(none.filter("cast(id as bigint) % 10 = 0").withColumn("title", F.lit("new")), path)
+    return C.upsert_overlay(none, C.read_overlay(c, path)).select("id", "title")
+
+
+@query("s13_provenance_log", "SELECT cast(started_at AS date)::varchar AS day, count(*) n FROM v_runs GROUP BY 1")
+def _(s, d):
+    path = scratch(s, "provenance")
+    rows = L.provenance_of(view(s, d, "v_runs"))
+    L.append_provenance(rows.filter("run_id % 2 = 0"), path)
+    L.append_provenance(rows.filter("run_id % 2 = 1"), path)
+    return s.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("w01_provenance_stream", "SELECT cast(ts AS date)::varchar AS day, count(*) n FROM events GROUP BY 1")
+def _(s, d):
+    table, path = s.read.parquet(f"{d}/events.parquet"), scratch(s, "stream")
+    stream = s.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]").withColumnRenamed("ts", "at")
+    SL.stream_provenance(stream, path, scratch(s, "offsets"), once=True).awaitTermination()
+    return s.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("w02_comment_stream", "SELECT id, count(*) n FROM (SELECT DISTINCT id FROM v_comments WHERE trim(author)<>'' AND trim(body)<>'') GROUP BY 1")
+def _(s, d):
+    table, path = s.read.parquet(f"{d}/conversations.parquet"), scratch(s, "stream")
+    stream = s.readStream.schema(table.schema).parquet(f"{d}/conversations.parque[t]")
+    said = stream.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("author"), F.col("text").alias("body"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("created_at"))
+    SL.stream_comments(said.unionByName(said)).writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(s, "offsets")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(path).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("x01_sql_functions", "SELECT w.ward_code, round(area_km2,6) area_km2, round(density_per_km2,3) density_per_km2, round(c.cx,6) cx FROM v_density w LEFT JOIN v_centroid c USING (ward_code)")
+def _(s, d):
+    steps.register_functions(s)
+    wards(s, d).createOrReplaceTempView("x01_wards")
+    return s.sql("SELECT ward_code, round(a, 6) area_km2, round(density(p, a), 3) density_per_km2, round(c.x, 6) cx FROM (SELECT ward_code, cast(population AS double) p, feature_area_km2(rings) a, vertex_centroid(rings) c FROM x01_wards)")
+
+
+@query("x02_steps", "SELECT ward_code, round(density_per_km2,3) density_per_km2 FROM v_density WHERE density_per_km2>0")
+def _(s, d):
+    named = [steps.Step("density", D.with_density, "area_km2 double, density_per_km2 double"), steps.Step("inhabited", lambda df: df.filter("density_per_km2 > 0")), steps.Step("columns", lambda df: df.select("ward_code", r("density_per_km2", 3).alias("density_per_km2")), "ward_code string, density_per_km2 double")]
+    return steps.run_steps(wards(s, d), named)
+
+
+def _staged(df: DataFrame, key: str, encode: Callable[[int], bytes], name: str) -> str:
+    """A file for each key in the shared folder, a line feed after its bytes."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encode(k) for k in batch.column(0).to_pylist()], pa.binary())], names=["value"])
+
+    path = scratch(df.sparkSession, name)
+    df.select(F.col(key).cast("long").alias(key)).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _tiff(k: int) -> bytes:
+    """A TIFF header of which size, tiles, overviews and CRS follow from k; its directories stand at its end."""
+    far = 70_000
+    keys = struct.pack("<8H", 1, 1, 0, 1, 3072, 0, 1, 4000 + k)
+    entries = [(256, 4, 1, 100 + k), (257, 4, 1, 50 + k), (277, 4, 1, 1 + k % 4), (34735, 3, 8, far)] + ([(322, 4, 1, 256), (323, 4, 1, 128)] if k % 2 else [])
+    directory = lambda rows, after: struct.pack("<H", len(rows)) + b"".join(struct.pack("<HHII", *e) for e in rows) + struct.pack("<I", after)
+    sizes = [2 + 12 * len(entries) + 4] + [2 + 12 + 4] * (k % 3)
+    starts = [far + len(keys) + sum(sizes[:i]) for i in range(len(sizes))] + [0]
+    images = directory(entries, starts[1]) + b"".join(directory([(256, 4, 1, 8)], starts[i + 1]) for i in range(1, len(sizes)))
+    return struct.pack("<2sHI", b"II", 42, starts[0]) + bytes(far - 8) + keys + images
+
+
+@query("s15_raster_inventory", "SELECT 100+n_nationkey AS width, 50+n_nationkey AS height, 1+n_nationkey%4 AS bands, 'EPSG:'||(4000+n_nationkey) AS crs, n_nationkey%2=1 AS tiled, n_nationkey%3 AS overview_count, n_nationkey%2=1 AND n_nationkey%3>0 AS cloud_optimized FROM nation")
+def _(s, d):
+    path = _staged(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey", _tiff, "rasters")
+    return H.raster_inventory(s, path).select("width", "height", F.col("bands").cast("long").alias("bands"), "crs", "tiled", F.col("overview_count").cast("long").alias("overview_count"), "cloud_optimized")
+
+
+def _cloud(k: int) -> bytes:
+    """A LAS 1.4 header with a COPC info record; a projection record for odd k."""
+    head = bytearray(375)
+    head[:4] = b"LASF"
+    struct.pack_into("<H", head, 94, 375)
+    struct.pack_into("<I", head, 100, 1 + k % 2)
+    struct.pack_into("<6d", head, 179, k + 2.0, k, 4, 3, 6, 5)
+    struct.pack_into("<Q", head, 247, 1000 * k)
+    info = bytearray(54 + 160)
+    info[2:6] = b"copc"
+    struct.pack_into("<HH", info, 18, 1, 160)
+    struct.pack_into("<5d2Q", info, 54, k + 1.0, 2, 3, 10, 0.5, 0, 32 * k)
+    projection = bytearray(54)
+    projection[2:17] = b"LASF_Projection"
+    return bytes(head) + (bytes(projection) if k % 2 else b"") + bytes(info)
+
+
+@query("s16_pointcloud_inventory", "SELECT 1000*n_nationkey AS point_count, n_nationkey::double AS min_x, n_nationkey+2::double AS max_x, CASE WHEN n_nationkey%2=1 THEN 'projected' ELSE 'unknown' END AS crs, n_nationkey+1::double AS center_x, n_nationkey AS hierarchy_entries FROM nation")
+def _(s, d):
+    path = _staged(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey", _cloud, "clouds")
+    return H.pointcloud_inventory(s, path).select("point_count", "min_x", "max_x", "crs", "center_x", "hierarchy_entries")

@@ -85,11 +85,11 @@ def read_stac_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs of a folder of JSON files; other files and those that do not parse are skipped, no folder: no rows."""
+def read_runs(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Runs of a folder of JSON files, one or a list in each; other files and those that do not parse are skipped, no folder: no rows."""
     schema = "id string, prompt string, workflow_id string, started_at timestamp, verified boolean, plan_only boolean, attempts int, steps array<struct<id: string, role: string>>"
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.json").json(folder)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", pattern).json(folder)
     except Exception as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise
