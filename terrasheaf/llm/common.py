@@ -5,8 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
+import threading
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasheaf.sources.files import scratch
+
 #: Bytes of text that one numpy step handles; a longer document is handled alone and whole.
 SLICE_BYTES = 1 << 21
 
@@ -28,36 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set here only where unset on a local master, as in tests.
-    A cluster without one is an error: a temporary folder of the driver is no place that executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df cut from its lineage: written as Parquet in the shared folder and read again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
-    if _PASSING:
-        _PASSING[-1].append(path)
+    if blocks := _open_blocks():
+        blocks[-1].append(path)
     return out
 
 
-#: Paths written in each open block of passing(), the innermost last.
-_PASSING: list[list[str]] = []
+_LOCAL = threading.local()
+
+
+def _open_blocks() -> list[list[str]]:
+    """Paths written in each open block of passing() of this thread, the innermost last."""
+    if not hasattr(_LOCAL, "blocks"):
+        _LOCAL.blocks = []
+    return _LOCAL.blocks
 
 
 @contextlib.contextmanager
@@ -71,13 +61,14 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(df._scratch)
         return df
 
-    _PASSING.append(own)
+    blocks = _open_blocks()
+    blocks.append(own)
     try:
         yield keep
     finally:
-        _PASSING.pop()
-        if _PASSING:
-            _PASSING[-1].extend(p for p in own if p in kept)
+        blocks.pop()
+        if blocks:
+            blocks[-1].extend(p for p in own if p in kept)
         remove(spark, [p for p in own if p not in kept])
 
 

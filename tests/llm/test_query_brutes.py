@@ -194,3 +194,27 @@ def test_pipeline_stage_by_stage(spark, texts):
     ends = sorted((r["start"], r["n_tokens"]) for r in last)
     assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == Counter(ids(mixed))
+
+
+def test_secrets_of_awkward_rows(spark):
+    """Nulls in every column, repeated rows and ids, a long text, names that clash with the operator's own."""
+    from terrasheaf.llm import secrets
+
+    key = 'api_key = "abcd1234efgh"'
+    rows = [(1, key, "a", None), (1, key, "a", None), (None, key, None, "en"), (2, None, None, None), (3, "", "b", "en"), (4, "é " * 100_000 + key, "b", "en")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, lang string, found int, ROW int, hash int, n int")
+    out = secrets.find_secrets(docs).collect()
+    assert Counter((r["doc_id"], r["n_assign"], r["spans"]) for r in out) == Counter([(1, 1, "assign:0:23"), (1, 1, "assign:0:23"), (None, 1, "assign:0:23"), (2, 0, ""), (3, 0, ""), (4, 1, "assign:200000:200023")])
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_scratch_of_a_block_is_removed(spark):
+    import os
+
+    with common.passing(spark) as keep:
+        lost = common.written(spark.range(3), "lost")
+        with common.passing(spark) as inner:
+            kept = inner(common.written(spark.range(4), "kept"))
+        keep(kept)
+    there = lambda df: os.path.isdir(df._scratch.removeprefix("file://"))
+    assert there(kept) and not there(lost) and kept.count() == 4
