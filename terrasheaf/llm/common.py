@@ -72,13 +72,6 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         remove(spark, [p for p in own if p not in kept])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more, which it does when the driver's memory
-    is collected: a job of several large steps asks for it between them, so that disks hold one step's files."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     """Removes folders of the shared store through Spark's own file systems."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -277,8 +277,6 @@ def loose_edges(joined: DataFrame) -> DataFrame:
 def repeated_edges(rows: DataFrame) -> DataFrame:
     """_HITS of all chain rows."""
     joined = common.written(joined_chains(rows), "edges")
-    del rows
-    common.release(joined.sparkSession)
     hits = joined.filter("chain is null").drop("chain")
     return hits.unionByName(loose_edges(joined)) if joined.filter("chain is not null").take(1) else hits
 
