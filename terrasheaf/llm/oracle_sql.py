@@ -68,4 +68,52 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE_SQL = {"op2_substrings": OP2, "op3_quality_rules": OP3, "op4_suffix_arrays": OP4, "op5_warc": OP5, "op10_decontamination": OP10}
+OP11 = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+met AS (SELECT vec_id a, vec_id b FROM embeddings UNION SELECT m.a, l.b FROM met m JOIN links l ON m.b = l.a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.c AS component_id, e.vec_id = r.c AS kept FROM embeddings e
+LEFT JOIN (SELECT a, count(*) n FROM links GROUP BY a) n ON n.a = e.vec_id JOIN (SELECT a, min(b) c FROM met GROUP BY a) r ON r.a = e.vec_id"""
+
+# CRC-32 byte by byte over UTF-8, from its table of 256 remainders; words with one code point left out, by its place, tell
+# both kinds of single edits.
+OP12 = """
+WITH RECURSIVE bits AS (SELECT i, i::ubigint c, 0 k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::ubigint) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, w, count(*) n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w FROM documents) GROUP BY ALL),
+bytes AS (SELECT doc_id, w, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || w)) x FROM runs),
+crc AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, len(x)::bigint, 2), lambda i: ('0x' || x[i:i + 1])::ubigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255)::bigint + 1])), 4294967295::ubigint) h FROM bytes, tab),
+words AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN w[1:(h % length(w))::bigint] || w[(h % length(w))::bigint + 2:] ELSE w END AS word, sum(n)::bigint n FROM crc GROUP BY 1),
+v AS MATERIALIZED (SELECT * FROM words WHERE n >= 3 AND length(word) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] d FROM v, range(1, length(word) + 1) t(i)),
+pairs AS (SELECT a.word w, b.word o, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.d = b.word),
+near AS (SELECT w, count(*) n_near, max(n) m, arg_min(o, (-n, o)) f FROM pairs GROUP BY w),
+forms AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) n_near, CASE WHEN m >= 2 * v.n THEN f END form, CASE WHEN m >= 2 * v.n THEN m END form_n FROM v LEFT JOIN near ON near.w = v.word),
+path AS (SELECT word, word AS step, 0 k FROM forms UNION ALL SELECT p.word, f.form, k + 1 FROM path p JOIN forms f ON f.word = p.step WHERE f.form IS NOT NULL)
+SELECT f.word, form, r.root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(step, k) root FROM path GROUP BY word) r USING (word)"""
+
+
+def _rounds() -> str:
+    """The four rounds of OP13, each one nearest entry and one mean after the other."""
+    out = []
+    for k in range(5):
+        out.append(f"""near{k} AS MATERIALIZED (SELECT q.vec_id, q.part, arg_min(c.entry, (q.s - 2 * list_inner_product(q.x, c.x) + c.s, c.entry)) entry, min(q.s - 2 * list_inner_product(q.x, c.x) + c.s)::bigint d FROM p q JOIN (SELECT *, list_inner_product(x, x) s FROM book{k}) c USING (part) GROUP BY q.vec_id, q.part)""")
+        if k < 4:
+            out.append(f"""book{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) x FROM book{k} b LEFT JOIN (SELECT part, entry, list(z ORDER BY j) x FROM
+  (SELECT part, entry, j, floor(sum(p.x[j]) / count(*)) z FROM near{k} JOIN p USING (vec_id, part), range(1, len(p.x) + 1) t(j) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))""")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT *, list_inner_product(x, x) s FROM (SELECT vec_id, part, e[part * len(e) // 4 + 1:(part + 1) * len(e) // 4] x FROM v, range(4) t(part))),
+book0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 256) USING (vec_id)),
+{_rounds()},
+each AS (SELECT vec_id, string_agg(printf('%02x', entry::integer), '' ORDER BY part) code, sum(d)::bigint error FROM near4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error,
+  (SELECT sha256(string_agg(c::bigint::varchar, ',' ORDER BY part, entry, j)) FROM (SELECT part, entry, unnest(x) c, generate_subscripts(x, 1) j FROM book4)) AS codebooks_sha256 FROM each JOIN v USING (vec_id)"""
+
+
+ORACLE_SQL = {"op2_substrings": OP2, "op3_quality_rules": OP3, "op4_suffix_arrays": OP4, "op5_warc": OP5, "op10_decontamination": OP10, "op11_embeddings": OP11, "op12_spelling": OP12, "op13_codebooks": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, mixing, pii, quality, secrets, simhash, substrings, suffixes, tokens, warc
+from . import codebooks, common, decontaminate, mixing, neighbors, pii, quality, secrets, simhash, substrings, suffixes, tokens, variants, warc
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 #: Where a deployment sets its secret, and what stands in for it in the registered query.
@@ -62,4 +62,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_substrings, op3_quality_rules, op4_suffix_arrays, op5_warc, op6_pii, op7_token_ids, op8_secrets, op9_simhash, op10_decontamination)}
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(common.table(spark, sf_dir, "documents"))
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(common.table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_substrings, op3_quality_rules, op4_suffix_arrays, op5_warc, op6_pii, op7_token_ids, op8_secrets, op9_simhash,
+        op10_decontamination, op11_embeddings, op12_spelling, op13_codebooks,
+    )
+}
