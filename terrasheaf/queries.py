@@ -296,12 +296,22 @@ def _(s, d):
     return p.select("raster_id", "r", "c", r(ring[0]["x"]).alias("x0"), r(ring[2]["y"]).alias("y2"), *(r(x).alias(x) for x in ("red", "green", "blue")))
 
 
-@query("f26_raster_window", "SELECT raster_id, r, c, px FROM v_pixels WHERE r BETWEEN 2 AND 5 AND c BETWEEN 3 AND 6")
-def _(s, d):
+def _raster_tiles(s, d) -> DataFrame:
     p = view(s, d, "v_pixels").withColumn("tr", F.floor(F.col("r") / 4)).withColumn("tc", F.floor(F.col("c") / 4))
     tiles = p.groupBy("raster_id", F.col("tr").alias("tile_row"), F.col("tc").alias("tile_col")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "c", "px"))), lambda x: x["px"]).alias("pixels"))
-    tiles = tiles.select("*", *(F.lit(v).alias(n) for n, v in (("w", 4), ("h", 4), ("width", 8), ("height", 8))))
-    return T.raster_window(tiles, 2, 3, 4, 4)
+    return tiles.select("*", *(F.lit(v).alias(n) for n, v in (("w", 4), ("h", 4), ("width", 8), ("height", 8))))
+
+
+@query("f26_raster_window", "SELECT raster_id, r, c, px FROM v_pixels WHERE r BETWEEN 2 AND 5 AND c BETWEEN 3 AND 6")
+def _(s, d):
+    return T.raster_window(_raster_tiles(s, d), 2, 3, 4, 4)
+
+
+@query("f26_window_of_files", "SELECT raster_id, r, c, px FROM v_pixels WHERE r BETWEEN 5 AND 7 AND c BETWEEN 0 AND 3")
+def _(s, d):
+    path = scratch(s, "rasters")
+    T.write_raster_tiles(_raster_tiles(s, d), path, 8)
+    return T.read_raster_window(s, path, 5, 0, 3, 4)
 
 
 # catalog
@@ -528,6 +538,25 @@ def _(s, d):
     return count([0], "n_first").join(F.broadcast(count([], "n_none"))).join(F.broadcast(count(None, "n_all")))
 
 
+@query("s05_groups_by_box", "SELECT ward_code, population FROM v_wards WHERE list_max(list_transform(flatten(rings), lambda p: p.x)) >= 136.2 AND list_min(list_transform(flatten(rings), lambda p: p.x)) <= 136.25 AND list_max(list_transform(flatten(rings), lambda p: p.y)) >= 35.1 AND list_min(list_transform(flatten(rings), lambda p: p.y)) <= 35.3 AND cast(ward_code AS bigint)%97<>0")
+def _(s, d):
+    path = scratch(s, "wards")
+    w = wards(s, d).filter("cast(ward_code as long) % 97 <> 0")
+    GP.write_geoparquet(w.repartitionByRange(4, F.get(F.get("rings", F.lit(0)), F.lit(0))["x"]).sortWithinPartitions(F.get(F.get("rings", F.lit(0)), F.lit(0))["x"]), path, row_group_rows=50)
+    return GP.read_geoparquet(s, path, ids=True, columns=["ward_code", "population"], box=(136.2, 35.1, 136.25, 35.3)).select("ward_code", "population")
+
+
+@query("s06_properties", """SELECT ward_code, '{"ward_code":"' || ward_code || '","area":' || CASE WHEN cast(ward_code AS bigint)%3=0 THEN 'null' ELSE cast(cast(ward_code AS bigint)%7 AS varchar) || '.5' END || ',"population":' || CASE WHEN cast(ward_code AS bigint)%4=0 THEN 'null' ELSE cast(population AS varchar) END || ',"even":' || CASE WHEN cast(ward_code AS bigint)%2=0 THEN 'true' ELSE 'false' END || '}' AS properties FROM v_wards""")
+def _(s, d):
+    # numbers that are not finite and nulls of a stored file, both null in the object
+    path, k = scratch(s, "wards"), F.col("ward_code").cast("long")
+    odd = F.when(k % 3 == 0, F.when(k % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise((k % 7).cast("double") + 0.5)
+    w = wards(s, d).select("ward_code", odd.alias("area"), F.when(k % 4 != 0, F.col("population")).alias("population"), (k % 2 == 0).alias("even"), "rings")
+    GP.write_geoparquet(w, path, row_group_rows=100)
+    read = GP.read_geoparquet(s, path).drop("min_x", "min_y", "max_x", "max_y")
+    return read.select("ward_code", GP.properties_json(read).alias("properties"))
+
+
 @query("c06_federated_execute", """SELECT item_key, unnest(['schema_fields','crs_matches_binding','source_matches_binding']) AS name, unnest([true, false, true]) AS passed
   FROM (SELECT item_key FROM v_scored WHERE compatible AND asset_type='application/vnd.apache.parquet' ORDER BY v_scored.score DESC, item_key LIMIT 1)""")
 def _(s, d):
@@ -760,6 +789,20 @@ def _(s, d):
     return f.select(text("ward_code").alias("ward_code"), text("population").cast("long").alias("population"), F.size("rings").cast("long").alias("n_rings"), F.size(F.flatten("rings")).cast("long").alias("n_vertices"), r(total).alias("sum_y"))
 
 
+@query("s01_feature_collection", """SELECT ward_code, population, 'wards ' || cast(cast(ward_code AS bigint)//500 AS varchar) AS name, row_number() OVER (PARTITION BY cast(ward_code AS bigint)//500 ORDER BY cast(ward_code AS bigint))-1 AS id, len(rings) n_rings FROM v_wards""")
+def _(s, d):
+    # files of 500 features at most, each read in ranges of 16 KiB; names come from what stands around the features
+    path, k = scratch(s, "collections"), F.col("f.properties.ward_code").cast("long")
+    lines = _geojson(s, d).withColumn("f", F.from_json("value", "properties struct<ward_code: string>")).select(k.alias("k"), F.expr("f.properties.ward_code div 500").cast("long").alias("file"), "value")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), ",\n")
+    whole = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "features", F.lit('], "bbox": [1, [2]], "name": "wards '), F.col("file").cast("string"), F.lit('"}'))
+    lines.groupBy("file").agg(listed.alias("features")).select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    f, meta = J.read_geojson(s, path, split_bytes=16 << 10)
+    text = lambda c: F.get_json_object("properties", f"$.{c}")
+    rows = f.select(text("ward_code").alias("ward_code"), text("population").cast("long").alias("population"), "id", F.size("rings").cast("long").alias("n_rings"))
+    return rows.join(meta.select("name", F.expr("cast(substring(name, 7) as long)").alias("file")), F.expr("ward_code div 500") == F.col("file")).drop("file")
+
+
 @query("s08_population", "SELECT ward_code, ward_name, population, cast(2020 AS int) census_year FROM v_wards")
 def _(s, d):
     path = scratch(s, "population")

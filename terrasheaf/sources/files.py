@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stores that Arrow reads by range. Of others, a task gets whole files (2 GB at most) from Spark's binary reader.
@@ -54,6 +54,35 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.select("path", F.lit(None).cast("binary").alias("content"))
 
 
+def renamed(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """The files of a folder that end in `old` end in `new` from now on: names alone pass through the driver."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if status.isFile() and name.endswith(old) and not name.startswith(("_", ".")):
+            store.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(status.getPath().getParent(), name.removesuffix(old) + new))
+    spark.catalog.refreshByPath(path)
+
+
+def running_totals(df: DataFrame, order: str, value: str, result: str) -> DataFrame:
+    """df with the sum of `value` over all rows before, by a unique `order`.
+
+    Rows are dealt by range and written; only the sums of ranges, one row each, reach the driver, and running sums are
+    made inside the ranges."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before, total = [], 0
+    for row in dealt.groupBy("_range").agg(F.sum(value).alias("n")).orderBy("_range").collect():
+        before.append((row["_range"], total))
+        total += row["n"]
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    started = spark.createDataFrame(before, "_range int, _before long")
+    return dealt.join(F.broadcast(started), "_range").withColumn(result, F.col("_before") + inner).drop("_range", "_before")
+
+
 class Blocks:
     """The bytes of an open file, read in blocks that are kept while the file is looked at."""
 

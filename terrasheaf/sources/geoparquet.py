@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Strin
 
 from terrasheaf.functions.text import crs_text
 
-from .files import listed, open_file, rows_of_files, with_content
+from .files import listed, open_file, renamed, rows_of_files, running_totals, with_content
 
 RINGS = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
 
@@ -107,54 +107,114 @@ def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return listed(spark, path).filter(F.col("length") > 0)
 
 
-def _row_groups(spark: SparkSession, path: str | list[str], groups: list[int], schema: StructType) -> DataFrame:
-    """The rows of some row groups of each file, with `_file` and `_row`: a task for each file and group."""
-    full = StructType([*schema.fields, StructField("_file", StringType()), StructField("_row", LongType())])
-    if not groups:
-        return spark.createDataFrame([], full)
+_STATS = "path string, group int, groups int, rows long, kept long, before long, min_x double, min_y double, max_x double, max_y double"
+
+
+def row_group_stats(spark: SparkSession, path: str | list[str], groups: list[int] | None = None) -> DataFrame:
+    """(path, group, groups, rows, kept, before, min_x .. max_y) for row groups of each file, from footers, in tasks.
+
+    kept: rows with a geometry, before: those of the file's earlier groups; the geometry column is read for this only
+    where the footer does not count its nulls. The box comes from the statistics of flat columns min_x .. max_y; null
+    where there are none. groups: only these, of which every file must have each."""
+
+    def edge(meta: pq.FileMetaData, group: int, at: dict[str, int], name: str) -> float | None:
+        stats = meta.row_group(group).column(at[name]).statistics if name in at else None
+        if stats is None or not stats.has_min_max:
+            return None
+        return float(stats.min if name.startswith("min") else stats.max)
+
+    def rows(name: str, raw: pa.NativeFile) -> list[tuple]:
+        geometry = footer_of(name, raw)["geometry_column"]
+        file = pq.ParquetFile(raw)
+        meta, out, before = file.metadata, [], 0
+        if groups and max(groups) >= meta.num_row_groups:
+            raise ValueError(f"{name} has no row group {max(groups)}")
+        at = {meta.schema.column(k).path: k for k in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            n = meta.row_group(g).num_rows
+            stats = meta.row_group(g).column(at[geometry]).statistics if geometry in at else None
+            nulls = stats.null_count if stats is not None and stats.has_null_count else file.read_row_group(g, [geometry])[geometry].null_count
+            if groups is None or g in groups:
+                out.append((name, g, meta.num_row_groups, n, n - nulls, before, *(edge(meta, g, at, c) for c in BOX)))
+            before += n - nulls
+        return out
+
+    return rows_of_files(with_content(_files(spark, path)), _STATS, rows)
+
+
+BOX = ("min_x", "min_y", "max_x", "max_y")
+
+
+def _meeting(stats: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Row groups whose statistics do not rule a box out."""
+    if box is None:
+        return stats
+    outside = (F.col("min_x") > box[2]) | (F.col("max_x") < box[0]) | (F.col("min_y") > box[3]) | (F.col("max_y") < box[1])
+    return stats.filter(~F.coalesce(outside, F.lit(False)))
+
+
+def _row_groups(spark: SparkSession, path: str | list[str], stats: DataFrame, schema: StructType, geometry: str, first_id: str | None) -> DataFrame:
+    """Rows with a geometry of row groups (path, group[, first_id]), of which only the schema's columns are read: a task
+    for each file and group, or several. first_id: the id of a group's first row; the others follow."""
+    full = StructType([*schema.fields, *([StructField("id", LongType())] if first_id else [])])
     target = to_arrow_schema(schema)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = with_content(_files(spark, path)).withColumn("group", F.explode(F.array(*map(F.lit, groups)))).repartition(parts, "path", "group")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, stats.count()))
+    wanted = with_content(_files(spark, path)).join(stats.select("path", "group", F.col(first_id).alias("first") if first_id else F.lit(0).cast("long").alias("first")), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content, group in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for name, content, group, number in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 with open_file(name, content) as raw:
-                    file = pq.ParquetFile(raw)
-                    if group >= file.num_row_groups:
-                        raise ValueError(f"{name} has no row group {group}")
-                    at = group << 40  # rows of a later group stand behind those of all before it
-                    for part in file.iter_batches(4096, row_groups=[group]):
+                    for part in pq.ParquetFile(raw).iter_batches(4096, row_groups=[group], columns=target.names):
                         table = pa.Table.from_batches([part]).select(target.names).cast(target).combine_chunks()
-                        table = table.append_column("_file", pa.array([name] * len(table), pa.string())).append_column("_row", pa.array(np.arange(at, at + len(table)), pa.int64()))
-                        yield from table.to_batches()
-                        at += len(table)
+                        table = table.filter(table[geometry].is_valid())
+                        if first_id:
+                            table = table.append_column("id", pa.array(np.arange(number, number + len(table)), pa.int64()))
+                            number += len(table)
+                        yield from table.combine_chunks().to_batches()
 
-    return wanted.mapInArrow(run, full)
+    return wanted.repartition(parts).mapInArrow(run, full)
 
 
-def read_geoparquet(spark: SparkSession, path: str | list[str], row_groups: list[int] | None = None, geometry_col: str | None = None, ids: bool = False) -> DataFrame:
+def read_geoparquet(
+    spark: SparkSession, path: str | list[str], row_groups: list[int] | None = None, geometry_col: str | None = None, ids: bool = False,
+    columns: list[str] | None = None, box: tuple[float, float, float, float] | None = None,
+) -> DataFrame:
     """Attributes and rings; rows without geometry are skipped. row_groups: only those of each file ([]: none).
 
-    Whole reads go through Spark's own vectorised reader, so columns are pruned and filters pushed down; geometry_col
-    spares the look into a footer. ids: a column `id`, 0 to n - 1 over the rows kept, in the order of files and rows."""
+    columns: only these attributes are read. box (min_x, min_y, max_x, max_y): only rows whose own box meets it, by the
+    flat columns that write_geoparquet() adds; row groups that their statistics rule out are not read.
+    Whole reads go through Spark's vectorised reader, which prunes columns and row groups itself; geometry_col spares the
+    look into a footer. Reads by row group, and with ids, are tasks a row group. ids: a column `id`, 0 to n - 1 over all
+    rows with a geometry, in the order of files and rows, from the counts in footers."""
     column = geometry_col or geoparquet_footer(spark, path).first()["geometry_column"]
     df = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
-    if row_groups is not None:
-        df = _row_groups(spark, path, row_groups, df.schema)
-    elif ids:
-        df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    kept = [c for c in df.columns if columns is None or c in columns or c == column or (box is not None and c in BOX)]
+    df = df.select(*(f"`{c}`" for c in kept))
+    if row_groups == []:
+        df = spark.createDataFrame([], df.schema.add("id", "long") if ids else df.schema)
+    elif row_groups is not None or ids:
+        stats = row_group_stats(spark, path, row_groups)
+        if ids:
+            stats = _numbered(stats if row_groups is None else _counted(stats))
+        df = _row_groups(spark, path, _meeting(stats, box), df.schema, column, "first_id" if ids else None)
     df = df.filter(F.col(f"`{column}`").isNotNull())
-    df = _numbered(df) if ids else df.drop("_file", "_row")
-    return df.withColumn("rings", rings_of_wkb(F.col(f"`{column}`"))).drop(column)
+    if box is not None:
+        df = df.filter((F.col("min_x") <= box[2]) & (F.col("max_x") >= box[0]) & (F.col("min_y") <= box[3]) & (F.col("max_y") >= box[1]))
+    df = df.withColumn("rings", rings_of_wkb(F.col(f"`{column}`"))).drop(column)
+    return df if columns is None else df.select(*(c for c in df.columns if c in columns or c in ("rings", "id")))
+
+
+def _counted(stats: DataFrame) -> DataFrame:
+    """stats of some row groups with `before` over these alone; a file's chosen groups are few."""
+    earlier = Window.partitionBy("path").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    return stats.withColumn("before", F.coalesce(F.sum("kept").over(earlier), F.lit(0)))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """df with `id` in place of _file and _row: a running number in each file, and the files' totals before it."""
-    totals = df.groupBy("_file").agg(F.count("*").alias("_n"))
-    before = totals.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = df.withColumn("_i", F.row_number().over(Window.partitionBy("_file").orderBy("_row")) - 1)
-    return inner.join(before, "_file").withColumn("id", F.col("_before") + F.col("_i")).drop("_file", "_row", "_i", "_before")
+def _numbered(stats: DataFrame) -> DataFrame:
+    """stats with first_id: rows kept in all files before, by path, and in the file's groups before."""
+    totals = running_totals(stats.groupBy("path").agg(F.sum("kept").alias("n")), "path", "n", "files_before")
+    return stats.join(totals.select("path", "files_before"), "path").withColumn("first_id", F.col("files_before") + F.col("before"))
 
 
 def properties_json(df: DataFrame, geometry_col: str = "rings") -> Column:
@@ -179,6 +239,7 @@ def write_geoparquet(df: DataFrame, path: str, row_group_rows: int = 10_000, rin
     out = df.withColumns({"min_x": F.array_min(xs), "min_y": F.array_min(ys), "max_x": F.array_max(xs), "max_y": F.array_max(ys)}).withColumn("geometry", wkb_of_rings(F.col(rings))).drop(rings)
     files = out.mapInArrow(_encoder(row_group_rows, json.dumps(geo)), "file binary").select(F.col("file").cast("string").alias("value"))
     files.write.mode("append").option("lineSep", _LAST).option("maxRecordsPerFile", 1).text(path)
+    renamed(df.sparkSession, path, ".txt", ".parquet")
 
 
 #: A Parquet file ends in PAR1. Its last byte is left to the text sink, whose separator it is: so files of our own making

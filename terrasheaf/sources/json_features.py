@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_splits import SPLIT_BYTES, feature_texts, splittable
+
 _POSITIONS = "array<array<double>>"
 _FEATURE = "type string, id string, properties string, geometry struct<type: string, coordinates: string>"
 _ASSETS = "map<string, struct<href: string, type: string, roles: array<string>, title: string>>"
@@ -23,14 +25,28 @@ def to_rings(kind: Column, coordinates: Column) -> Column:
     return F.when(rings.isNull() | (F.size(rings) == 0) | F.exists(rings, lambda r: r.isNull() | (F.size(r) == 0)), bad).otherwise(rings)
 
 
-def read_geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(features, meta) of a FeatureCollection file: (id by position, properties JSON, rings) and (name, crs).
-
-    Another root type or a feature without geometry raises when read. Such a file is one task; see read_geojson_lines."""
+def read_geojson(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(features, meta) of FeatureCollection files: (id by position, properties JSON, rings) and (name, crs).
+
+    Another root type or a feature without geometry raises when read. Files are read in ranges of split_bytes by many
+    tasks where tasks can read ranges of the store, else each file by one task; rows are the same."""
+    if splittable(spark, path):
+        elements, roots = feature_texts(spark, path, split_bytes)
+        doc = roots.select("path", "complete", F.from_json("root", "type string, name string, crs string").alias("d")).select("path", "complete", "d.*")
+        good = F.coalesce((F.col("type") == "FeatureCollection") & F.col("complete"), F.lit(False))
+        wrong = F.raise_error(F.lit("not a FeatureCollection")).cast("boolean")
+        features = _features(elements.select("id", F.from_json("element", _FEATURE).alias("f")))
+        refused = doc.filter(F.when(good, F.lit(False)).otherwise(wrong))  # never a row: it raises where a file is none
+        none = refused.select(*(F.lit(None).cast(t).alias(n) for n, t in features.dtypes))
+        return features.unionByName(none), doc.filter(F.when(good, F.lit(True)).otherwise(wrong)).select(*_meta())
     doc = spark.read.schema(f"type string, name string, crs string, features array<struct<{_FEATURE}>>").option("multiLine", True).json(path)
     features = F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")))
-    meta = doc.select(F.coalesce("name", F.lit("unnamed")).alias("name"), F.coalesce(F.get_json_object("crs", "$.properties.name"), F.when(~F.col("crs").startswith("{"), F.col("crs")), F.lit("EPSG:4326")).alias("crs"))
-    return _features(doc.select(F.posexplode(features).alias("id", "f"))), meta
+    return _features(doc.select(F.posexplode(features).alias("id", "f"))), doc.select(*_meta())
+
+
+def _meta() -> list[Column]:
+    named = F.when(~F.col("crs").startswith("{"), F.col("crs"))
+    return [F.coalesce("name", F.lit("unnamed")).alias("name"), F.coalesce(F.get_json_object("crs", "$.properties.name"), named, F.lit("EPSG:4326")).alias("crs")]
 
 
 def _features(df: DataFrame) -> DataFrame:
