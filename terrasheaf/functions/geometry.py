@@ -48,6 +48,46 @@ def area_km2(rings: Column) -> Column:
     return _sum(F.transform(rings, ring_area_km2))
 
 
+#: Fixed values of the WGS 84 ellipsoid: half of its long axis in km, and the square of its eccentricity.
+SEMI_MAJOR_KM, ECCENTRICITY2 = 6378.137, 0.0066943799901413165
+
+
+def _authalic(sin_lat: Column) -> Column:
+    """q of a latitude: the area between the equator and it, by which latitudes are spaced in an equal-area projection."""
+    e = ECCENTRICITY2**0.5
+    return (sin_lat / (1 - ECCENTRICITY2 * sin_lat * sin_lat) + F.atanh(sin_lat * e) / e) * (1 - ECCENTRICITY2)
+
+
+def equal_area(lon: Column, lat: Column) -> Column:
+    """struct(x, y) in km of a point in degrees: the cylindrical equal-area projection of the WGS 84 ellipsoid.
+
+    x runs along the equator; y is such that areas on the plane are those on the ellipsoid."""
+    x, y = F.radians(lon) * SEMI_MAJOR_KM, _authalic(F.sin(F.radians(lat))) * (SEMI_MAJOR_KM / 2)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def reproject_ring(ring: Column) -> Column:
+    """A lon/lat ring on the equal-area plane, in km."""
+    return F.transform(ring, lambda p: equal_area(p["x"], p["y"]))
+
+
+def plane_area(ring: Column) -> Column:
+    """Area of a ring on a plane; under 3 vertices: 0. Taken relative to the first vertex, so that no digits are lost."""
+
+    def shoelace(r: Column) -> Column:
+        origin = F.get(r, F.lit(0))
+        turned = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+        cross = lambda p, q: (p["x"] - origin["x"]) * (q["y"] - origin["y"]) - (q["x"] - origin["x"]) * (p["y"] - origin["y"])
+        return F.abs(_sum(F.zip_with(r, turned, cross))) * 0.5
+
+    return bound(ring, lambda r: F.when(F.size(r) < 3, 0.0).otherwise(shoelace(r)))
+
+
+def equal_area_km2(rings: Column) -> Column:
+    """Area of a feature on the ellipsoid, edges straight on the equal-area plane."""
+    return _sum(F.transform(rings, lambda r: plane_area(reproject_ring(r))))
+
+
 def density(population: Column, area: Column) -> Column:
     """population / area; 0 where the area is null, NaN or not positive."""
     return F.when((area > 0) & ~F.isnan(area), population / area).otherwise(F.lit(0.0))

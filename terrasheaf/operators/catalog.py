@@ -53,15 +53,47 @@ def listed(catalog: DataFrame, key: str = "id") -> DataFrame:
     return catalog.orderBy(key)
 
 
+#: A tag on more records than this, and than a HOT_TAGS-th of all tags given, is hot; HOT_TAGS tags can be, at most.
+HOT_RECORDS, HOT_TAGS = 100_000, 10_000
+
+
+def tag_counts(catalog: DataFrame) -> DataFrame:
+    """(tag, records, slots): records with each tag, counted where they are first; slots: 1, or for a hot tag so many
+    that each has about HOT_RECORDS of them."""
+    counts = catalog.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count("*").alias("records"))
+    total = F.broadcast(counts.agg(F.sum("records").alias("total")))
+    hot = F.col("records") > F.greatest(F.lit(HOT_RECORDS), F.expr(f"total div {HOT_TAGS}"))
+    return counts.join(total).select("tag", "records", F.when(hot, F.ceil(F.col("records") / HOT_RECORDS)).otherwise(1).cast("int").alias("slots"))
+
+
+def rarest_tags(requests: DataFrame, counts: DataFrame) -> DataFrame:
+    """(request_id, required, tag, slots): the required tag that the fewest records have; requests with none of a tag
+    anywhere, and those without tags, are left out."""
+    wanted = requests.select("request_id", F.array_distinct("required").alias("required")).filter(F.size("required") > 0)
+    each = wanted.select("request_id", "required", F.explode("required").alias("tag")).join(counts, "tag")
+    chosen = each.groupBy("request_id", "required").agg(F.min(F.struct("records", "tag", "slots")).alias("rare"), F.count("*").alias("known"))
+    return chosen.filter(F.col("known") == F.size("required")).select("request_id", "required", "rare.tag", "rare.slots")
+
+
+def offered_tags(catalog: DataFrame, rare: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, tags, tag, slot): a row for each record and tag, without hot tags that are no request's rarest."""
+    used = rare.select("tag").distinct()
+    hot = counts.filter("slots > 1").join(used.withColumn("used", F.lit(True)), "tag", "left").select("tag", F.col("slots").alias("_slots"), F.coalesce("used", F.lit(False)).alias("used"))
+    rows = catalog.select("id", "tags", F.explode(F.array_distinct("tags")).alias("tag")).join(F.broadcast(hot), "tag", "left")  # HOT_TAGS rows at most
+    return rows.filter("used is null or used").select("id", "tags", "tag", F.pmod(F.xxhash64("id"), F.coalesce("_slots", F.lit(1))).cast("int").alias("slot"))
+
+
 def bind_datasets(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """(request_id, id) for each record with all of a request's tags (array `required`); no tags: no match.
 
-    An equi-join on single tags and a count, so it scales past what could be broadcast; repeated tags count once."""
-    wanted = requests.select("request_id", F.array_distinct("required").alias("required"))
-    wanted = wanted.select("request_id", F.size("required").alias("n"), F.explode("required").alias("tag"))
-    offered = catalog.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
-    met = wanted.join(offered, "tag").groupBy("request_id", "id").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-    return met.filter("met = n").select("request_id", "id")
+    A request meets only records with its rarest tag, and the others of its tags are looked for there; so a tag that most
+    records have is no key of the join unless a request has no other. Such a tag's records are dealt to several slots,
+    each of which the request goes to. Repeated tags count once."""
+    counts = tag_counts(catalog)
+    rare = rarest_tags(requests, counts)
+    asked = rare.select("request_id", "required", "tag", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    met = asked.join(offered_tags(catalog, rare, counts), ["tag", "slot"])
+    return met.filter(X.has_all_tags(F.col("tags"), F.col("required"))).select("request_id", "id").distinct()
 
 
 def match_dataset(requests: DataFrame, catalog: DataFrame) -> DataFrame:

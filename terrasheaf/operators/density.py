@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasheaf.functions import geometry as G
+from terrasheaf.sources.files import scratch
 
 UNIT = "persons/km²"
 
@@ -150,14 +151,56 @@ def join_population(boundaries: DataFrame, population: DataFrame) -> DataFrame:
     return joined.withColumn("rings", F.coalesce("rings", F.array().cast(rings.schema["rings"].dataType)))
 
 
-def timing_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """By group: least, largest, whole mean and upper median (element n div 2) of whole values.
+#: A group of more distinct values than this, and than a LARGE_GROUPS-th of all, is large; so many can be, at most.
+LARGE_VALUES, LARGE_GROUPS = 100_000, 10_000
+
 
-    Values are counted first, with a partial step, so a group is as large as its distinct values: the median is the first
-    whose running count passes half of the group."""
-    order = Window.partitionBy(group).orderBy("v")
-    counts = df.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+def timing_summary(df: DataFrame, group: str, value: str) -> DataFrame:
+    """By group: least, largest, whole mean and upper median (element n div 2) of whole values; nulls do not count.
+
+    Values are counted first, with a partial step. In a small group the median is the first value whose running count
+    passes half of it. In a large one it is found by its bits: four counts of 16 bits each, a bucket a row, say which
+    bucket holds it, so that no task sees the group's values together."""
+    counts = df.groupBy(F.col(group).alias("g"), F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c")).filter("v is not null")
+    path = scratch(df.sparkSession, "values")
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+    mean = F.expr("cast(sum(cast(v AS decimal(38, 0)) * c) div sum(c) AS bigint)")
+    totals = counts.groupBy("g").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), mean.alias("mean_value"), F.sum("c").alias("n"), F.count("*").alias("distinct"))
+    most = max(LARGE_VALUES, (totals.agg(F.sum("distinct")).first()[0] or 0) // LARGE_GROUPS)
+    large = totals.filter(F.col("distinct") > most).select("g", F.expr("n div 2").alias("rank"))
+    medians = _small_medians(counts, large).unionByName(_large_medians(counts, large))
+    joined = totals.alias("t").join(medians.alias("m"), F.col("t.g").eqNullSafe(F.col("m.g")))
+    return joined.select(F.col("t.g").alias(group), "min_value", "max_value", "mean_value", "median_value")
+
+
+def _small_medians(counts: DataFrame, large: DataFrame) -> DataFrame:
+    order = Window.partitionBy("g").orderBy("v")
+    named = F.broadcast(large.select(F.col("g").alias("h"), F.lit(True).alias("is_large")))  # LARGE_GROUPS rows at most
+    small = counts.join(named, F.col("g").eqNullSafe(F.col("h")), "left").filter("is_large is null")
     upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
     n = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = counts.select(group, "v", "c", (upto > F.floor(n / 2)).alias("past"))
-    return ranked.groupBy(group).agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.expr("sum(v * c) div sum(c)").alias("mean_value"), F.min(F.when(F.col("past"), F.col("v"))).alias("median_value"))
+    ranked = small.select("g", "v", (upto > F.floor(n / 2)).alias("past"))
+    return ranked.groupBy("g").agg(F.min(F.when(F.col("past"), F.col("v"))).alias("median_value"))
+
+
+def _large_medians(counts: DataFrame, large: DataFrame) -> DataFrame:
+    """The value at `rank` of each large group, 16 bits more of it with each pass over the counted values."""
+    bits = F.col("v").bitwiseXOR(F.lit(-(1 << 63)))  # as unsigned numbers these stand in the values' order
+    found = large.select("g", F.lit(0).cast("long").alias("prefix"), F.col("rank"))
+    for shift in (48, 32, 16, 0):
+        # the state is LARGE_GROUPS rows at most
+        state = F.broadcast(found.select(F.col("g").alias("h"), "prefix", "rank"))
+        above = F.lit(0).cast("long") if shift == 48 else F.shiftrightunsigned(bits, shift + 16)
+        inside = counts.join(state, F.col("g").eqNullSafe(F.col("h")) & (above == F.col("prefix")))
+        bucket = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF))
+        buckets = inside.groupBy("g", "prefix", "rank", bucket.alias("bucket")).agg(F.sum("c").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # 65,536 buckets at most
+        here = buckets.withColumn("upto", upto).filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+        found = here.select("g", F.shiftleft("prefix", 16).bitwiseOR(F.col("bucket")).alias("prefix"), (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    return found.select("g", F.col("prefix").bitwiseXOR(F.lit(-(1 << 63))).alias("median_value"))
+
+
+def with_equal_area(df: DataFrame, rings: str = "rings") -> DataFrame:
+    """df with rings on the equal-area plane, in km, and the area there."""
+    return df.withColumn("area_km2", G.equal_area_km2(F.col(rings))).withColumn(rings, F.transform(rings, G.reproject_ring))

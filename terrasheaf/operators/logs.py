@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrasheaf.sources.files import scratch
+
 
 def validate_comments(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejected): author and body must not be blank."""
@@ -71,8 +74,35 @@ def provenance_for_run(df: DataFrame, run_id: str | None = None) -> DataFrame:
     return df if run_id is None else df.filter(F.col("run_id") == run_id)
 
 
+def append_new(df: DataFrame, path: str, key: str, day: str | None = None) -> int:
+    """Appends the rows whose key has not landed at path yet, one row a key; running it again appends nothing.
+
+    day: a column that the table is partitioned by; only the days of df are looked through, of these the key alone.
+    Returns the number of rows appended."""
+    spark = df.sparkSession
+    kept, landing = df.dropDuplicates([key]), scratch(spark, "landing")
+    try:
+        landed = spark.read.parquet(path)
+    except AnalysisException:  # nothing has landed
+        landed = None
+    if landed is not None:
+        if day is not None:
+            days = [r[0] for r in kept.select(day).distinct().collect()]  # a row a day
+            known = F.col(day).isin([x for x in days if x is not None])
+            landed = landed.filter(known | F.col(day).isNull() if None in days else known)
+        kept = kept.join(landed.select(key), key, "left_anti")
+    kept.write.parquet(landing)  # what is appended is settled before the table changes
+    new = spark.read.schema(kept.schema).parquet(landing)
+    n = new.count()
+    if n:
+        writer = new.write.mode("append")
+        (writer.partitionBy(day) if day is not None else writer).parquet(path)
+    return n
+
+
 def append_provenance(df: DataFrame, path: str) -> None:
-    df.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)
+    """Adds entries to the log at path, by day; an entry_id that is there already is passed over, so a job can be rerun."""
+    append_new(df.withColumn("day", F.to_date("at")), path, "entry_id", "day")
 
 
 def failure_comments(runs: DataFrame) -> DataFrame:

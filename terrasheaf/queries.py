@@ -923,23 +923,99 @@ def _(s, d):
 
 
 def _cloud(k: int) -> bytes:
-    """A LAS 1.4 header with a COPC info record; a projection record for odd k."""
+    """A LAS 1.4 header with a COPC info record, a projection record for odd k, and hierarchy pages of three levels: one
+    node in the root page, 1 + k % 4 in the page that it points to, k % 3 in a page that this one points to."""
     head = bytearray(375)
     head[:4] = b"LASF"
     struct.pack_into("<H", head, 94, 375)
     struct.pack_into("<I", head, 100, 1 + k % 2)
     struct.pack_into("<6d", head, 179, k + 2.0, k, 4, 3, 6, 5)
     struct.pack_into("<Q", head, 247, 1000 * k)
-    info = bytearray(54 + 160)
-    info[2:6] = b"copc"
-    struct.pack_into("<HH", info, 18, 1, 160)
-    struct.pack_into("<5d2Q", info, 54, k + 1.0, 2, 3, 10, 0.5, 0, 32 * k)
     projection = bytearray(54)
     projection[2:17] = b"LASF_Projection"
-    return bytes(head) + (bytes(projection) if k % 2 else b"") + bytes(info)
+    records = bytes(head) + (bytes(projection) if k % 2 else b"")
+    node = lambda level, at, size, points: struct.pack("<4iQ2i", level, 0, 0, 0, at, size, points)
+    root = len(records) + 54 + 160 + 5
+    sizes = (64, 32 * (2 + k % 4), 32 * (k % 3))
+    starts = (root, root + sizes[0] + 3, root + sizes[0] + 3 + sizes[1] + 7)
+    pages = node(0, 1, 1, 10 + k) + node(1, starts[1], sizes[1], -1) + bytes(3)
+    pages += b"".join(node(1, 1, 1, 20 + k) for _ in range(1 + k % 4)) + node(2, starts[2], sizes[2], -1) + bytes(7)
+    pages += b"".join(node(2, 1, 1, 30 + k) for _ in range(k % 3))
+    info = bytearray(54 + 160 + 5)
+    info[2:6] = b"copc"
+    struct.pack_into("<HH", info, 18, 1, 160)
+    struct.pack_into("<5d2Q", info, 54, k + 1.0, 2, 3, 10, 0.5, root, sizes[0])
+    return records + bytes(info) + pages
 
 
-@query("s16_pointcloud_inventory", "SELECT 1000*n_nationkey AS point_count, n_nationkey::double AS min_x, n_nationkey+2::double AS max_x, CASE WHEN n_nationkey%2=1 THEN 'projected' ELSE 'unknown' END AS crs, n_nationkey+1::double AS center_x, n_nationkey AS hierarchy_entries FROM nation")
+@query("s16_pointcloud_inventory", "SELECT 1000*n_nationkey AS point_count, n_nationkey::double AS min_x, n_nationkey+2::double AS max_x, CASE WHEN n_nationkey%2=1 THEN 'projected' ELSE 'unknown' END AS crs, n_nationkey+1::double AS center_x, 2+n_nationkey%4+n_nationkey%3 AS hierarchy_entries FROM nation")
 def _(s, d):
     path = _staged(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey", _cloud, "clouds")
     return H.pointcloud_inventory(s, path).select("point_count", "min_x", "max_x", "crs", "center_x", "hierarchy_entries")
+
+
+@query("s16_pointcloud_nodes", """SELECT n_regionkey, level, sum(n)::bigint nodes, sum(n*(10*(level+1)+k))::bigint points FROM (SELECT n_regionkey, n_nationkey k, unnest([0,1,2]) level, unnest([1,1+n_nationkey%4,n_nationkey%3]) n FROM nation) WHERE n>0 GROUP BY 1,2""")
+def _(s, d):
+    nations = s.read.parquet(f"{d}/nation.parquet")
+    path = _staged(nations, "n_nationkey", _cloud, "clouds")
+    found = H.pointcloud_nodes(s, path).join(H.pointcloud_inventory(s, path).select("path", F.expr("point_count div 1000").alias("k")), "path")
+    return found.join(nations, F.col("k") == F.col("n_nationkey")).groupBy("n_regionkey", "level").agg(F.sum("nodes").alias("nodes"), F.sum("points").alias("points"))
+
+
+_Q = "(0.9933056200098587::double * (sin(radians({0})) / (1 - 0.0066943799901413165::double * sin(radians({0})) * sin(radians({0}))) + atanh(0.08181919084262149::double * sin(radians({0}))) / 0.08181919084262149::double))"
+
+
+@query("x03_equal_area", f"""SELECT ward_code, round(list_sum(list_transform(rings, lambda g: CASE WHEN len(g)<3 THEN 0.0 ELSE abs(list_sum(list_transform(range(1,len(g)+1), lambda i:
+  (radians(g[i].x)-radians(g[1].x)) * ({_Q.format('g[i%len(g)+1].y')} - {_Q.format('g[1].y')}) - (radians(g[i%len(g)+1].x)-radians(g[1].x)) * ({_Q.format('g[i].y')} - {_Q.format('g[1].y')})))) * 6378.137*6378.137/4 END)),5) area_km2,
+  round(radians(rings[1][1].x)*6378.137,6) x, round(6378.137/2*{_Q.format('rings[1][1].y')},6) y FROM v_wards""")
+def _(s, d):
+    # the declared reprojection before areas are computed, as a named step
+    done = steps.run_steps(wards(s, d), [steps.Step("ReprojectForAreaCalculation", D.with_equal_area, "area_km2 double")])
+    first = F.get(F.get("rings", F.lit(0)), F.lit(0))
+    return done.select("ward_code", r("area_km2", 5).alias("area_km2"), r(first["x"]).alias("x"), r(first["y"]).alias("y"))
+
+
+@query("a11_large_groups", """SELECT grp, min(v) min_value, max(v) max_value, cast(sum(v)//count(*) AS bigint) mean_value, list_sort(list(v))[cast(count(*)//2 AS bigint)+1] median_value FROM (SELECT l_linenumber%2 AS grp, cast(l_orderkey*7919-l_partkey*1000003 AS bigint) v FROM lineitem) GROUP BY 1""")
+def _(s, d):
+    # half a million distinct values a group at sf0.1
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") % 2).alias("grp"), (F.col("l_orderkey") * 7919 - F.col("l_partkey") * 1000003).alias("v"))
+    return D.timing_summary(rows, "grp", "v")
+
+
+@query("w02_late_comments", "SELECT id, count(*) n FROM (SELECT DISTINCT id FROM v_comments WHERE trim(author)<>'' AND trim(body)<>'') GROUP BY 1")
+def _(s, d):
+    # all comments land twice, the second time a day later and from a stream of its own
+    table, path = s.read.parquet(f"{d}/conversations.parquet"), scratch(s, "comments")
+    for late in (0, 86_400):
+        stream = s.readStream.schema(table.schema).parquet(f"{d}/conversations.parque[t]")
+        said = stream.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("author"), F.col("text").alias("body"), F.timestamp_seconds(F.lit(1_700_000_000 + late)).alias("created_at"))
+        SL.land_comments(said, path, scratch(s, "offsets"), once=True).awaitTermination()
+    return s.read.parquet(path).filter("created_at < '2023-11-15'").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("s13_rerun", "SELECT cast(started_at AS date)::varchar AS day, count(*) n FROM v_runs GROUP BY 1")
+def _(s, d):
+    path, rows = scratch(s, "provenance"), L.provenance_of(view(s, d, "v_runs"))
+    L.append_provenance(rows.filter("run_id % 3 > 0"), path)
+    L.append_provenance(rows, path)
+    L.append_provenance(rows, path)
+    return s.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("j02_common_tag", "SELECT w.id AS request_id, c.id FROM v_catalog w JOIN v_catalog c ON list_has_all(list_append(c.tags, 'everywhere'), list_append(w.tags, 'everywhere')) WHERE cast(w.id AS bigint)%10=0")
+def _(s, d):
+    # every record has one tag, which every request asks for besides its own
+    c = view(s, d, "v_catalog").withColumn("tags", F.concat("tags", F.array(F.lit("everywhere"))))
+    return C.bind_datasets(c.filter("id % 10 = 0").select(F.col("id").alias("request_id"), F.col("tags").alias("required")), c)
+
+
+@query("x01_more_functions", """SELECT ward_code, CASE WHEN z>=1 THEN 0 WHEN z>=0.5 THEN 1 ELSE 3 END AS lod, cls AS density_class, ['#edf4fc','#bfd8f2','#72ade0','#3372bf','#0c3f8c'][cls+1] AS color, len(ring) AS n_closed,
+  round(10.0*2/4,6) AS third_break, cast(least(greatest(floor((cx-min_x)/greatest(max_x-min_x,1e-9)*7),0),6) AS int) AS tx, len(ring) AS n_simple
+FROM (SELECT c.*, (cast(c.ward_code AS bigint)%12)/10.0 z FROM v_classed c) JOIN v_rings USING (ward_code) JOIN v_centroid USING (ward_code), v_box WHERE ring_no=0 AND len(ring)>2""")
+def _(s, d):
+    steps.register_functions(s)
+    D.population_density(wards(s, d)).join(F.broadcast(D.equal_interval(D.with_density(wards(s, d)), "density_per_km2", 5).select("breaks"))).join(F.broadcast(D.dataset_bbox(wards(s, d)).select(F.struct("*").alias("box")))).createOrReplaceTempView("x01_dense")
+    return s.sql(
+        "SELECT ward_code, lod_for_zoom((cast(ward_code AS bigint) % 12) / 10D, 4) lod, cast(density_class(density_per_km2, breaks) AS bigint) density_class, class_color(density_class(density_per_km2, breaks)) color, "
+        "cast(size(ensure_closed(rings[0])) AS bigint) n_closed, round(equal_interval(0D, 10D, 4)[2], 6) third_break, tile_index(vertex_centroid(rings).x, box.min_x, box.max_x, 7) tx, cast(size(simplify_ring(rings[0], 1)) AS bigint) n_simple FROM x01_dense WHERE size(rings[0]) > 2"
+    )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,7 +85,41 @@ def cloud_header(head: Blocks) -> dict:
         at += 54 + length
     if info is None:
         raise ValueError("no COPC info record")
-    return {"points": points, "box": (min_x, min_y, min_z, max_x, max_y, max_z), "crs": "projected" if projected else "unknown", "center": info[:3], "half": info[3], "spacing": info[4], "entries": info[6] // 32}
+    return {"points": points, "box": (min_x, min_y, min_z, max_x, max_y, max_z), "crs": "projected" if projected else "unknown", "center": info[:3], "half": info[3], "spacing": info[4], "root": info[5:7]}
+
+
+#: An entry of a hierarchy page: a node's level and place, and its data; no points of its own (-1): a further page there.
+_ENTRY = np.dtype([("level", "<i4"), ("xyz", "<i4", 3), ("offset", "<u8"), ("bytes", "<i4"), ("points", "<i4")])
+
+
+def hierarchy(head: Blocks, root: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """(level, nodes, points) of all hierarchy pages of a point cloud, by level. An entry that points to a page is no node;
+    the page is read by its range, each once."""
+    todo, seen, nodes, points = [root], {root}, Counter(), Counter()
+    while todo:
+        at, size = todo.pop()
+        page = np.frombuffer(head.at(at, size - size % _ENTRY.itemsize), _ENTRY)
+        own = page[page["points"] >= 0]
+        for level in np.unique(own["level"]).tolist():
+            mine = own["points"][own["level"] == level]
+            nodes[level] += len(mine)
+            points[level] += int(mine.sum(dtype=np.int64))
+        for entry in page[page["points"] < 0]:
+            below = int(entry["offset"]), int(entry["bytes"])
+            if below not in seen:
+                seen.add(below)
+                todo.append(below)
+    return [(level, nodes[level], points[level]) for level in sorted(nodes)]
+
+
+def pointcloud_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, level, nodes, points): the octree nodes of each file by level, from all its hierarchy pages."""
+
+    def rows(name: str, file: pa.NativeFile) -> list[tuple]:
+        head = Blocks(file)
+        return [(name, *row) for row in hierarchy(head, cloud_header(head)["root"])]
+
+    return rows_of_files(with_content(listed(spark, path)), "path string, level int, nodes long, points long", rows)
 
 
 def _inventory(spark: SparkSession, path: str, schema: str, row: Callable[[Blocks], tuple]) -> DataFrame:
@@ -106,6 +142,7 @@ def raster_inventory(spark: SparkSession, path: str) -> DataFrame:
 def pointcloud_inventory(spark: SparkSession, path: str) -> DataFrame:
     def row(head: Blocks) -> tuple:
         h = cloud_header(head)
-        return h["points"], *h["box"], h["crs"], *h["center"], h["half"], h["spacing"], h["entries"]
+        nodes = sum(n for _, n, _ in hierarchy(head, h["root"]))
+        return h["points"], *h["box"], h["crs"], *h["center"], h["half"], h["spacing"], nodes
 
     return _inventory(spark, path, _CLOUD, row)

@@ -185,8 +185,9 @@ def test_headers(spark, tmp_path):
     vlr = bytearray(54 + 160)
     vlr[2:6] = b"copc"
     struct.pack_into("<HH", vlr, 18, 1, 160)
-    struct.pack_into("<5d2Q", vlr, 54, 1, 2, 3, 10, 0.5, 0, 64)
-    (tmp_path / "c.laz").write_bytes(bytes(head + vlr))
+    struct.pack_into("<5d2Q", vlr, 54, 1, 2, 3, 10, 0.5, 375 + len(vlr), 64)
+    root = b"".join(struct.pack("<4iQ2i", level, 0, 0, 0, 1, 1, 5) for level in (0, 1))
+    (tmp_path / "c.laz").write_bytes(bytes(head + vlr) + root)
     row = H.pointcloud_inventory(spark, str(tmp_path / "c.laz")).first()
     assert row["point_count"] == 518862 and row["max_z"] == 6.0 and row["hierarchy_entries"] == 2 and row["crs"] == "unknown"
 
