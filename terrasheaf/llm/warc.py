@@ -26,6 +26,8 @@ FILE_RECORDS, LARGE_RECORDS, LARGE_BYTES = 2000, 16, 1 << 20
 RANGE_ROWS, BLOCK_ROWS = 200_000, 1024
 #: A gzip member ends in the upper byte of its length, which is zero below this. Longer records take several members.
 MEMBER_BYTES = (1 << 24) - 1
+#: A hundred years: the dates that stand in for page ids stay within what a timestamp holds.
+DATE_SECONDS = 3_155_760_000
 _END = "\r\n\r\n"
 
 
@@ -92,8 +94,14 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, min_bytes: int = REVISIT_BYTES) -> str:
-    """Writes gzip-compressed archives under path; returns path. Without date_col, page ids count seconds from 2020."""
-    when = F.col(date_col).cast("timestamp") if date_col else F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.col(page_col), F.lit(0)))
+    """Writes gzip-compressed archives under path; returns path.
+
+    Without date_col, page ids, whatever their size or sign, count seconds from 2020 modulo DATE_SECONDS. Null html is an
+    empty payload, a null url an empty address, a null page_id a record with a random id, which no other refers to or is
+    merged with. Repeated ids: a record each; of equal payloads of the largest id one is the response. Empty table: no
+    record. Other columns do not matter."""
+    seconds = F.lit(1577836800) + F.pmod(F.coalesce(F.col(page_col).cast("long"), F.lit(0)), F.lit(DATE_SECONDS))
+    when = F.col(date_col).cast("timestamp") if date_col else F.timestamp_seconds(seconds)
     rows = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), when.alias("captured"))
     decided = decide_records(rows, min_bytes)
     large = F.col("payload_bytes") >= LARGE_BYTES
@@ -221,10 +229,10 @@ class LoserTree:
 def capture_index(captures: DataFrame) -> DataFrame:
     """Captures in global order of (url_key, captured, page_id), partitions being ranges of it. Ties keep both rows.
 
-    Captures (no payloads) are written once, then cut into ranges of about RANGE_ROWS, by time and page too, so that one
+    Captures (no payloads) are sorted in the tasks that read their archives and written once, then cut into ranges of about RANGE_ROWS, by time and page too, so that one
     much captured URL spreads over several and a merging task's rows are bounded; their keys are unpacked a block of
     each run at a time. Null page ids come first. No captures: empty result."""
-    captures = common.written(captures, "captures")
+    captures = common.written(captures.sortWithinPartitions("run", "url_key", "captured", "page_id"), "captures")
     n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
     cols = captures.columns
     dealt = captures.repartitionByRange(n, F.col("url_key"), F.col("captured"), F.col("page_id")).sortWithinPartitions("run", "url_key", "captured", "page_id")

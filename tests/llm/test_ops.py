@@ -146,6 +146,16 @@ def test_warc(spark, tmp_path):
         assert headers["WARC-Payload-Digest"] == "sha1:" + r["payload_digest"] and (r["record_type"] == "revisit" or len(block.partition(b"\r\n\r\n")[2]) == r["payload_bytes"])
 
 
+def test_warc_of_any_page_id(spark, tmp_path):
+    """The largest and smallest ids, which no timestamp could count in seconds."""
+    ids = [2**63 - 1, -(2**63), 10**13, -1, 0, 7]
+    rows = [(i, "http://a.org/", "same text " * 200) for i in ids]
+    path = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    index = warc.capture_index(warc.read_captures(spark, path)).collect()
+    assert {r["page_id"]: r["refers_to"] for r in index} == {i: None if i == max(ids) else max(ids) for i in ids}
+    assert [r["captured"] for r in index] == sorted(r["captured"] for r in index) and len(index) == 6
+
+
 def test_warc_large_records(spark, tmp_path, monkeypatch):
     """Records of several members, small ranges and blocks, one much captured URL, repeated rows."""
     monkeypatch.setattr(warc, "RANGE_ROWS", 20)
