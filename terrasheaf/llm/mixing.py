@@ -140,7 +140,8 @@ def _block_rounder(seed: int, last: bool):
 
 def _row_key(doc_col: str, source_col: str, text_col: str) -> Column:
     """What rows are told apart by: id, source and text. Rows equal in all three are one unit of several rows."""
-    return F.xxhash64(F.col(doc_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
+    cols = F.col(doc_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")
+    return F.xxhash64(*cols, *(c.isNull() for c in cols))  # the hash passes over nulls, which would shift values between columns
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, doc_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

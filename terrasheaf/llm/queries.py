@@ -40,6 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under the demonstration key, which is public, anyone can undo this result; set PII_KEY_CONF for a secret one."""
     out = pii.pseudonymize(common.table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY_CONF, PII_KEY))
     return out.select("doc_id", "text", "pii.*")
 

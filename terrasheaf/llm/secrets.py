@@ -116,7 +116,8 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, found) for each row of docs.
 
-    spans: base spans, and further candidates whose owners are fewer than example_owners. found tells, for each
+    spans: base spans, and further candidates whose owners are fewer than example_owners. Owners alone decide: a
+    credential in many repositories of one owner is still that owner's. found tells, for each
     candidate, its repositories and owners and whether it looks live. Null text: empty. Null owner or repository
     columns count as one owner. Repeated or null doc_id: rows stay apart. Empty table: empty result. A value that very many
     documents hold meets its spread by broadcast. Other columns do not matter."""

@@ -180,7 +180,8 @@ def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        outward = both.filter("v > u")  # a hub has a row for each of its nodes: these stay where they are
+        large = common.join_hot(outward, low, ["u"], outward.groupBy("u").agg(F.count("*").alias("n"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")

@@ -301,6 +301,19 @@ def paths(hits: DataFrame, window: int) -> DataFrame:
     return path.select("doc", "tag", start.alias("start"), (F.col("p.ends") + (window - 1)).alias("stop"), "src_doc", "src_tag", (start - F.col("shift")).alias("src_start"))
 
 
+_SPAN = ["src_doc", "src_tag", "src_start", "src_stop"]
+#: Paths of one source span for each of its slots.
+SLOT_PATHS = 1_000
+
+
+def _hot_spans(found: DataFrame) -> DataFrame:
+    """(_SPAN, slots): source spans of very many paths; common.HOT_KEYS rows at most."""
+    counts = found.groupBy(*_SPAN).agg(F.count("*").alias("n"))
+    total = F.broadcast(found.agg(F.count("*").alias("total")))
+    hot = F.col("n") > F.greatest(F.lit(SLOT_PATHS), F.expr(f"total div {common.HOT_KEYS}"))
+    return counts.join(total).filter(hot).select(*_SPAN, F.ceil(F.col("n") / SLOT_PATHS).cast("int").alias("slots"))
+
+
 def _digest(words: list[bytes], start: int, stop: int) -> bytes:
     return hashlib.blake2b(b" ".join(words[start:stop]), digest_size=16).digest()
 
@@ -312,8 +325,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
     words. Null doc_id: counts as larger than all others. Rows of equal doc_id do not remove each other's words.
     Empty table: empty result. Other columns do not matter. Very long or periodic texts: chains are cut by edges, not by
     texts, and periodic text has as few chains as any other. Texts are shuffled once, and that shuffle is read by both
-    sides of the verification. A source span that very many documents repeat is a skewed key of the join with its
-    digest, which adaptive execution splits."""
+    sides of the verification. A source span that very many documents repeat meets them in several
+    slots, each with a copy of its digest."""
     if not 1 <= window <= 60:
         raise ValueError("window must be 1 to 60")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -322,9 +335,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_col: str = "doc_id
     with common.passing(docs.sparkSession) as keep:
         found = keep(common.written(paths(repeated_edges(chains(base.select("doc", "tag", "text"), window)), window), "paths"))
     dealt = base.repartition(n, "doc", "tag")
-    wanted = found.groupBy(F.col("src_doc").alias("doc"), F.col("src_tag").alias("tag")).agg(F.collect_set(F.struct("src_start", (F.col("src_start") + F.col("stop") - F.col("start")).alias("src_stop"))).alias("spans"))
-    seen = dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(common.tidy(_source_digests), "src_doc long, src_tag int, src_start int, src_stop int, digest binary").dropDuplicates(["src_doc", "src_tag", "src_start", "src_stop"])
-    checked = found.withColumn("src_stop", F.col("src_start") + F.col("stop") - F.col("start")).join(seen, ["src_doc", "src_tag", "src_start", "src_stop"])
+    found = found.withColumn("src_stop", F.col("src_start") + F.col("stop") - F.col("start"))
+    wanted = found.groupBy(F.col("src_doc").alias("doc"), F.col("src_tag").alias("tag")).agg(F.collect_set(F.struct("src_start", "src_stop")).alias("spans"))
+    seen = dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(common.tidy(_source_digests), "src_doc long, src_tag int, src_start int, src_stop int, digest binary").dropDuplicates(_SPAN)
+    # a span that very many documents repeat: they and its digest, once for each of its slots, meet in many tasks
+    hot = F.broadcast(common.written(_hot_spans(found), "hot_spans"))
+    slot = F.pmod(F.xxhash64("doc", "tag", "start"), F.coalesce("slots", F.lit(1))).cast("int")
+    spread = found.join(hot, _SPAN, "left").withColumn("slot", slot).drop("slots")
+    digests = seen.join(hot, _SPAN, "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+    checked = spread.join(digests, [*_SPAN, "slot"])
     own = checked.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop", "digest")).alias("spans"))
     return dealt.join(own.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(common.tidy(_without()), "doc_id long, n_words long, n_removed long, removed array<struct<start: int, stop: int>>, kept_text string")
 

@@ -96,3 +96,10 @@ def test_query_sizes_and_targets(spark):
         taken[source[r["doc_id"]]] += r["taken"]
     for s, t in want.items():
         assert abs(taken[s] - t) <= max(n for d, n in size.items() if source[d] == s) / 2
+
+
+def test_a_null_moves_no_value_to_another_column(spark):
+    """(null source, text x) and (source x, null text) of one id are different rows."""
+    docs = spark.createDataFrame([(1, None, "aa bb"), (1, "aa bb", None), (None, "aa bb", "c")], "doc_id long, source string, text string")
+    keys = [r["key"] for r in mixing.mix(docs).select("key").collect()]
+    assert len(set(keys)) == 3
