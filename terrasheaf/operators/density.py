@@ -138,8 +138,14 @@ def analysis_summary(df: DataFrame, goal: str, dataset: str, crs: str, expected:
     return df.agg(*_facts(df), top).select(F.lit(goal).alias("goal"), F.lit(dataset).alias("dataset"), F.col("n").alias("feature_count"), F.lit(UNIT).alias("unit"), F.lit(crs).alias("crs"), passed.alias("all_passed"), F.col("top.ward_name").alias("top_name"), F.col("top.density_per_km2").alias("top_density"))
 
 
-def attach_sources(df: DataFrame, citations: list[str]) -> DataFrame:
-    return df.withColumn("sources", F.array(*map(F.lit, citations)).cast("array<string>"))
+def attach_sources(df: DataFrame, citations: list[str] | DataFrame, key: str = "dataset_id") -> DataFrame:
+    """df with `sources`: the same citations for each row, or, of a table (key, citation), those of the row's key, distinct
+    and in order. A key without any, or null: an empty array. The citations of one key are what a person reads, few."""
+    none = F.array().cast("array<string>")
+    if isinstance(citations, list):
+        return df.withColumn("sources", F.array(*map(F.lit, citations)).cast("array<string>"))
+    by_key = citations.filter(F.col("citation").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("citation")).alias("sources"))
+    return df.join(by_key, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("sources", F.coalesce("sources", none))
 
 
 def join_population(boundaries: DataFrame, population: DataFrame) -> DataFrame:

@@ -1029,6 +1029,14 @@ def _(s, d):
     return C.bind_datasets(c.filter("id % 10 = 0").select(F.col("id").alias("request_id"), F.col("tags").alias("required")), c)
 
 
+@query("c12_citations", """SELECT c_custkey, coalesce(string_agg(DISTINCT s_name, '; ' ORDER BY s_name), '') AS sources FROM customer LEFT JOIN supplier ON c_nationkey=s_nationkey AND s_suppkey%3>0 GROUP BY 1""")
+def _(s, d):
+    # a customer's nation stands for the dataset, a nation's suppliers for what is cited; each citation is given twice
+    customers = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("dataset_id"))
+    cited = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("dataset_id"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).alias("citation"))
+    return D.attach_sources(customers, cited.unionByName(cited)).select("c_custkey", F.array_join("sources", "; ").alias("sources"))
+
+
 @query("x01_more_functions", """SELECT ward_code, CASE WHEN z>=1 THEN 0 WHEN z>=0.5 THEN 1 ELSE 3 END AS lod, cls AS density_class, ['#edf4fc','#bfd8f2','#72ade0','#3372bf','#0c3f8c'][cls+1] AS color, len(ring) AS n_closed,
   round(10.0*2/4,6) AS third_break, cast(least(greatest(floor((cx-min_x)/greatest(max_x-min_x,1e-9)*7),0),6) AS int) AS tx, len(ring) AS n_simple
 FROM (SELECT c.*, (cast(c.ward_code AS bigint)%12)/10.0 z FROM v_classed c) JOIN v_rings USING (ward_code) JOIN v_centroid USING (ward_code), v_box WHERE ring_no=0 AND len(ring)>2""")
