@@ -7,7 +7,8 @@ refinement, takes common prefixes by Kasai's rule, and marks strings that two pl
 than a shard holds spans several, whose sorted suffixes are merged by binary search.
 
 An anchor in very many contexts (beyond MERGE_SHARDS shards, or beyond LOCAL_BYTES where its pieces are cut) would be too
-much for one task. Its strings are dealt by their 128-bit hashes instead, so that they meet wherever they come from.
+much for one task. Its pieces are cut anew by longer anchors, which take in the bytes around it and so part its contexts,
+and go through suffix arrays again; the longest anchor is the string itself, whose group has equal strings only.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHARD_BYTES = 1 << 21
 MERGE_SHARDS = 4
 #: Places, and bytes of pieces, whose equals collapse before a shuffle; bytes of an anchor's pieces that are cut at once.
 FLUSH_PLACES, FLUSH_BYTES, LOCAL_BYTES = 1_000_000, 32 << 20, 1 << 18
+#: Turns in which anchors grow to whole strings.
+TURNS = 3
 #: Kinds of piece rows: an anchor's marker, a piece, a range settled in its task, a piece that passes through.
 _MARK, _PIECE, _SETTLED, _LOOSE = range(4)
 
@@ -185,10 +188,10 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, length: int, shard
     return out
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, width: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """For each run of strings under one anchor: document, anchor, first string's place in the document, strings, and
     whether the run is tied (its strings may be equal to each other)."""
-    width = min(ANCHOR, length)
+    width = min(width, length)
     size = np.maximum(np.diff(offsets) - length + 1, 0)
     if not size.sum():
         none = np.zeros(0, np.int64)
@@ -269,29 +272,31 @@ def repeated_places(places: DataFrame) -> DataFrame:
 _PIECES = "anchor long, kind int, doc long, tag int, first int, strings int, piece binary, copies int, tied boolean"
 
 
+def _flushed(held: list[tuple], final: bool) -> Iterator[pa.RecordBatch]:
+    """_PIECES of the pieces held: of equal ones, all repeated, one goes on with copies 2, the others leave settled, with an
+    empty piece. Anchors with many bytes are marked and go on loose, unless they are the whole strings (final)."""
+    doc, tag, anchor, first, count, tied, copies = (np.concatenate([h[k] for h in held]) for k in range(7))
+    pieces = [p for h in held for p in h[7]]
+    seen: dict[bytes, int] = {}
+    copies, kind = copies.astype(np.int32), np.full(len(pieces), _PIECE, np.int32)
+    size = np.array([len(p) for p in pieces], np.int64)
+    for i, p in enumerate(pieces):
+        if (j := seen.setdefault(p, i)) != i:
+            copies[j], kind[i], pieces[i] = 2, _SETTLED, b""
+    own = np.flatnonzero(kind == _PIECE)
+    names, group = np.unique(anchor[own], return_inverse=True)
+    hot = (np.bincount(group, size[own], minlength=len(names)) > LOCAL_BYTES) & (not final)
+    kind[own[hot[group]]] = _LOOSE
+    key = np.where(kind == _PIECE, anchor, common.mixed(doc.view(np.uint64) + first.astype(np.uint64)))
+    yield common.record("anchor kind doc tag first strings piece copies tied", key.view(np.int64), kind, doc, tag.astype(np.int32), first.astype(np.int32), count.astype(np.int32), pa.array(pieces, pa.binary()), copies, tied)
+    if hot.any():
+        marks = names[hot]
+        none = np.zeros(len(marks), np.int32)
+        yield common.record("anchor kind doc tag first strings piece copies tied", marks.view(np.int64), none + _MARK, none.astype(np.int64), none, none, none, pa.array([b""] * len(marks), pa.binary()), none, none.astype(bool))
+
+
 def pieces_of(docs: DataFrame, length: int) -> DataFrame:
-    """_PIECES: the bytes of all strings under each wanted anchor. Equal pieces of a task are all repeated: one goes on
-    with copies 2, the others leave settled, with an empty piece. Anchors with many bytes are marked and go on loose."""
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, tag, anchor, first, count, tied = (np.concatenate([h[k] for h in held]) for k in range(6))
-        pieces = [p for h in held for p in h[6]]
-        seen: dict[bytes, int] = {}
-        copies, kind = np.ones(len(pieces), np.int32), np.full(len(pieces), _PIECE, np.int32)
-        size = np.array([len(p) for p in pieces], np.int64)
-        for i, p in enumerate(pieces):
-            if (j := seen.setdefault(p, i)) != i:
-                copies[j], kind[i], pieces[i] = 2, _SETTLED, b""
-        own = np.flatnonzero(kind == _PIECE)
-        names, group = np.unique(anchor[own], return_inverse=True)
-        hot = np.bincount(group, size[own], minlength=len(names)) > LOCAL_BYTES
-        kind[own[hot[group]]] = _LOOSE
-        key = np.where(kind == _PIECE, anchor, common.mixed(doc.view(np.uint64) + first.astype(np.uint64)))
-        yield common.record("anchor kind doc tag first strings piece copies tied", key.view(np.int64), kind, doc, tag.astype(np.int32), first.astype(np.int32), count.astype(np.int32), pa.array(pieces, pa.binary()), copies, tied)
-        if hot.any():
-            marks = names[hot]
-            none = np.zeros(len(marks), np.int32)
-            yield common.record("anchor kind doc tag first strings piece copies tied", marks.view(np.int64), none + _MARK, none.astype(np.int64), none, none, none, pa.array([b""] * len(marks), pa.binary()), none, none.astype(bool))
+    """_PIECES: the bytes of all strings under each wanted anchor of docs (doc, tag, text, firsts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -309,23 +314,53 @@ def pieces_of(docs: DataFrame, length: int) -> DataFrame:
                 m, mine = mine[:cut], mine[cut:]
                 at = (offsets[d[m]] + first[m]).tolist()
                 pieces = [raw[a : a + c + length - 1] for a, c in zip(at, count[m].tolist(), strict=True)]
-                held.append((common.column(batch, "doc").to_numpy()[d[m]], common.column(batch, "tag").to_numpy()[d[m]], anchor[m], first[m], count[m], tied[m], pieces))
+                held.append((common.column(batch, "doc").to_numpy()[d[m]], common.column(batch, "tag").to_numpy()[d[m]], anchor[m], first[m], count[m], tied[m], np.ones(len(m), np.int32), pieces))
                 size += int(count[m].sum()) + length * len(m)
                 if size >= FLUSH_BYTES:
-                    yield from flush(held)
+                    yield from _flushed(held, length <= ANCHOR)
                     held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from _flushed(held, length <= ANCHOR)
 
     return docs.mapInArrow(common.tidy(run), _PIECES)
 
 
+def recut_pieces(ranges: DataFrame, length: int, width: int) -> DataFrame:
+    """_PIECES of the pieces that ranges (_RANGES) sends on, under anchors of `width` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for a, b in _portions(np.cumsum(common.lengths(common.column(batch, "piece"))), SHARD_BYTES):
+                part = batch.slice(a, b - a)
+                data, offsets = common.buffers(common.column(part, "piece"))
+                d, anchor, first, count, tied = _anchors(data, offsets, length, width)
+                doc, tag, start = (common.column(part, c).to_numpy() for c in ("doc", "tag", "start"))
+                copies = 1 + common.column(part, "sure").to_numpy(zero_copy_only=False).astype(np.int32)
+                raw, mine = data.tobytes(), np.arange(len(d))
+                while len(mine):
+                    cut = max(1, int(np.searchsorted(np.cumsum(count[mine] + length), FLUSH_BYTES)))
+                    m, mine = mine[:cut], mine[cut:]
+                    at = (offsets[d[m]] + first[m]).tolist()
+                    pieces = [raw[x : x + c + length - 1] for x, c in zip(at, count[m].tolist(), strict=True)]
+                    held.append((doc[d[m]], tag[d[m]], anchor[m], start[d[m]] + first[m], count[m], tied[m], copies[d[m]], pieces))
+                    size += int(count[m].sum()) + length * len(m)
+                    if size >= FLUSH_BYTES:
+                        yield from _flushed(held, width >= length)
+                        held, size = [], 0
+        if held:
+            yield from _flushed(held, width >= length)
+
+    return ranges.filter("piece is not null").mapInArrow(common.tidy(run), _PIECES)
+
+
 _RANGES = "doc long, tag int, start int, stop int, piece binary, sure boolean"
 
 
-def sharded_ranges(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def sharded_ranges(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, final: bool = False) -> DataFrame:
     """_RANGES: byte ranges that repeated strings cover, from the shards' suffix arrays (piece null); and the pieces of
-    anchors that are too large for one task."""
+    anchors that are too large for one task. final: anchors are whole strings, and none is too large."""
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.repartition(n, "anchor").sortWithinPartitions("anchor", "kind")
 
@@ -347,7 +382,7 @@ def sharded_ranges(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTE
                         if shard.size >= shard_bytes:
                             shard.solve()
                     shard.add(piece, copies, tied, (doc, tag, first))
-                    if shard.own_size > MERGE_SHARDS * shard_bytes:
+                    if not final and shard.own_size > MERGE_SHARDS * shard_bytes:
                         shard.give_up()
                         open_ = anchor
                 if shard.waiting > 1 << 22:
@@ -435,39 +470,6 @@ class _Shard:
         return common.record("doc tag start stop piece sure", *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)))
 
 
-_SECOND = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def loose_ranges(ranges: DataFrame, length: int) -> DataFrame:
-    """(doc, tag, start, stop) of strings of the pieces that were sent on, which another place starts too, by two 64-bit
-    hashes of each string. Equal strings of a batch collapse before they are dealt."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = common.lengths(common.column(batch, "piece"))
-            ends = np.cumsum(size)
-            for a, b in _portions(ends, SHARD_BYTES):
-                part = batch.slice(a, b - a)
-                data, offsets = common.buffers(common.column(part, "piece"))
-                count = np.diff(offsets) - length + 1
-                row, step = np.repeat(np.arange(part.num_rows), count), common.ragged(count)
-                at = offsets[row] + step
-                h1, h2 = common.byte_range_hashes(data, at, at + length), common.range_hashes(_SECOND[data], at, at + length)
-                doc, tag, start = (common.column(part, c).to_numpy()[row] for c in ("doc", "tag", "start"))
-                start = (start + step).astype(np.int32)
-                sure = common.column(part, "sure").to_numpy(zero_copy_only=False)[row]
-                order = np.lexsort((h2, h1))
-                head = np.r_[True, (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])]
-                follow, twice = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
-                follow[order], twice[order] = ~head, head & np.r_[~head[1:], False]
-                key = np.where(follow, common.mixed(doc.view(np.uint64) + start.astype(np.uint64)), h1)
-                # what follows has keys of its own and is sure; its string goes on through the first
-                yield common.record("h1 h2 doc tag start sure", key.view(np.int64), np.where(follow, doc.view(np.uint64), h2).view(np.int64), doc, tag, start, sure | follow | twice)
-
-    strings = ranges.filter("piece is not null").mapInArrow(common.tidy(cut), "h1 long, h2 long, doc long, tag int, start int, sure boolean")
-    return _equals(strings, ["h1", "h2"], ["doc", "tag", "start"]).withColumn("stop", F.col("start") + length)
-
-
 def _portions(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(ends):
@@ -492,10 +494,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_col: str = "doc_id
     dealt = base.repartition(n, "doc", "tag")
     wanted = repeated_places(anchor_places(base.select("doc", "tag", "text"), length)).groupBy("doc", "tag").agg(F.collect_set("first").alias("firsts"))
     pieces = pieces_of(dealt.select("doc", "tag", "text").join(wanted.hint("shuffle_hash"), ["doc", "tag"]), length)
-    found = common.written(sharded_ranges(pieces, length, shard_bytes), "ranges")
+    found = common.written(sharded_ranges(pieces, length, shard_bytes, length <= ANCHOR), "ranges")
     ranges = found.filter("piece is null").select("doc", "tag", "start", "stop")
-    if found.filter("piece is not null").take(1):
-        ranges = ranges.unionByName(loose_ranges(found, length))
+    for turn in range(1, TURNS + 1):
+        if not found.filter("piece is not null").take(1):
+            break
+        width = ANCHOR + (length - ANCHOR) * turn // TURNS
+        found = common.written(sharded_ranges(recut_pieces(found, length, width), length, shard_bytes, width >= length), "ranges")
+        ranges = ranges.unionByName(found.filter("piece is null").select("doc", "tag", "start", "stop"))
     ranges = ranges.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return dealt.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(common.tidy(_without), "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: int, stop: int>>, kept binary")
 
