@@ -216,7 +216,8 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     fits = F.forall("vector", lambda x: F.abs(x) < LARGEST) & (F.size("vector") % parts == 0)
     start = given.filter(fits).orderBy(F.col("id").asc_nulls_last(), "vector").limit(entries).select("vector").collect()
     width = len(start[0]["vector"]) if start else 0
-    first = np.floor(SCALE * np.array([r["vector"] for r in start if len(r["vector"]) == width], np.float64)).astype(np.int64).reshape(-1, parts, width // parts)
+    same = [r["vector"] for r in start if len(r["vector"]) == width]
+    first = np.floor(SCALE * np.array(same, np.float64)).astype(np.int64).reshape(len(same), parts, width // parts)
     codebooks = first.transpose(1, 0, 2).copy()
     usable = fits & (F.size("vector") == width)
     with common.passing(spark) as keep:
