@@ -83,8 +83,10 @@ def append_new(df: DataFrame, path: str, key: str, day: str | None = None) -> in
     kept, landing = df.dropDuplicates([key]), scratch(spark, "landing")
     try:
         landed = spark.read.parquet(path)
-    except AnalysisException:  # nothing has landed
-        landed = None
+    except AnalysisException as problem:
+        if not any(x in str(problem) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        landed = None  # nothing has landed yet
     if landed is not None:
         if day is not None:
             days = [r[0] for r in kept.select(day).distinct().collect()]  # a row a day

@@ -52,7 +52,8 @@ def write_tiles(tiles: DataFrame, path: str, files: int = 64) -> None:
     """Up to `files` Parquet files, by level and along the curve of tiles, whatever the number of tiles: neighbours share
     a file, and read_tiles() skips files and row groups by their key ranges. A full tile is spread by row."""
     keyed = tiles.withColumn("tile_key", morton(F.col("ty"), F.col("tx")))
-    keyed.repartitionByRange(files, "lod", "tile_key", F.xxhash64(*tiles.columns)).sortWithinPartitions("lod", "tile_key").write.parquet(path)
+    spread = F.xxhash64(*(f"`{n}`" for n, kind in tiles.dtypes if "map<" not in kind and kind != "variant"))
+    keyed.repartitionByRange(files, "lod", "tile_key", spread).sortWithinPartitions("lod", "tile_key").write.parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str, lod: int, tx: tuple[int, int], ty: tuple[int, int]) -> DataFrame:

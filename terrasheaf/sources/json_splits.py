@@ -94,7 +94,7 @@ def _key_before(file: pa.NativeFile, at: int) -> bytes:
         begin = name.rfind(b'"', 0, stop)
         while begin > 0 and (len(name[:begin]) - len(name[:begin].rstrip(b"\\"))) % 2:
             begin = name.rfind(b'"', 0, begin)
-        if begin >= 0:
+        if begin > 0 or (begin == 0 and back >= at):  # at the very start of what was read, a backslash may stand before it
             return name[begin + 1 : stop]
         if back >= at:
             return b""
