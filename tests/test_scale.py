@@ -6,6 +6,7 @@ import random
 import struct
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,16 @@ def test_comments_a_day_late(spark, tmp_path):
         (source / f"{name}.json").write_text("\n".join(json.dumps(dict(zip(("id", "author", "body", "created_at"), s, strict=True))) for s in said))
         land_comments(spark.readStream.schema(kind).json(str(source)), path, offsets, once=True).awaitTermination()
     assert sorted((r["id"], r["body"]) for r in spark.read.parquet(path).collect()) == [("w", "old but new"), ("x", "first"), ("z", "new")]
+
+
+def test_first_row_groups_of_many_files(spark, tmp_path):
+    """Over 20,000 wards lie in several files, of each of which the first row group is read."""
+    from terrasheaf.queries import ORACLE_SQL, QUERIES
+
+    names = spark.sql("select id p_partkey, concat('w', id) p_name, cast(id % 50 as int) p_size from range(0, 25003)")
+    names.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = tuple(QUERIES["s05_row_groups"](spark, str(tmp_path)).first())
+    assert got == (300, 0, 25_003)
+    duck = duckdb.connect()
+    duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got == duck.execute(ORACLE_SQL["s05_row_groups"]).fetchone()
