@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Strin
 
 from terrasheaf.functions.text import crs_text
 
-from .files import listed, open_file, renamed, rows_of_files, running_totals, with_content
+from .files import listed, open_file, renamed, rows_of_files, running_totals, scratch, with_content
 
 RINGS = ArrayType(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
 
@@ -107,11 +107,13 @@ def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return listed(spark, path).filter(F.col("length") > 0)
 
 
-_STATS = "path string, group int, groups int, rows long, kept long, before long, min_x double, min_y double, max_x double, max_y double"
+_STATS = "path string, group int, groups int, rows long, kept long, before long, min_x double, min_y double, max_x double, max_y double, bytes_before long"
+#: Bytes of neighbouring row groups that are read in one go, with one look into the footer.
+READ_BYTES = 8 << 20
 
 
 def row_group_stats(spark: SparkSession, path: str | list[str], groups: list[int] | None = None) -> DataFrame:
-    """(path, group, groups, rows, kept, before, min_x .. max_y) for row groups of each file, from footers, in tasks.
+    """(path, group, groups, rows, kept, before, min_x .. max_y, bytes_before) for row groups of each file, from footers, in tasks.
 
     kept: rows with a geometry, before: those of the file's earlier groups; the geometry column is read for this only
     where the footer does not count its nulls. The box comes from the statistics of flat columns min_x .. max_y; null
@@ -126,7 +128,7 @@ def row_group_stats(spark: SparkSession, path: str | list[str], groups: list[int
     def rows(name: str, raw: pa.NativeFile) -> list[tuple]:
         geometry = footer_of(name, raw)["geometry_column"]
         file = pq.ParquetFile(raw)
-        meta, out, before = file.metadata, [], 0
+        meta, out, before, size = file.metadata, [], 0, 0
         if groups and max(groups) >= meta.num_row_groups:
             raise ValueError(f"{name} has no row group {max(groups)}")
         at = {meta.schema.column(k).path: k for k in range(meta.num_columns)}
@@ -135,8 +137,9 @@ def row_group_stats(spark: SparkSession, path: str | list[str], groups: list[int
             stats = meta.row_group(g).column(at[geometry]).statistics if geometry in at else None
             nulls = stats.null_count if stats is not None and stats.has_null_count else file.read_row_group(g, [geometry])[geometry].null_count
             if groups is None or g in groups:
-                out.append((name, g, meta.num_row_groups, n, n - nulls, before, *(edge(meta, g, at, c) for c in BOX)))
+                out.append((name, g, meta.num_row_groups, n, n - nulls, before, *(edge(meta, g, at, c) for c in BOX), size))
             before += n - nulls
+            size += meta.row_group(g).total_byte_size
         return out
 
     return rows_of_files(with_content(_files(spark, path)), _STATS, rows)
@@ -154,26 +157,31 @@ def _meeting(stats: DataFrame, box: tuple[float, float, float, float] | None) ->
 
 
 def _row_groups(spark: SparkSession, path: str | list[str], stats: DataFrame, schema: StructType, geometry: str, first_id: str | None) -> DataFrame:
-    """Rows with a geometry of row groups (path, group[, first_id]), of which only the schema's columns are read: a task
-    for each file and group, or several. first_id: the id of a group's first row; the others follow."""
+    """Rows with a geometry of row groups (path, group, bytes_before[, first_id]), of which only the schema's columns are
+    read: a task for each file and READ_BYTES of its groups, which open the file once. first_id: the id of a group's first
+    row; the others follow."""
     full = StructType([*schema.fields, *([StructField("id", LongType())] if first_id else [])])
     target = to_arrow_schema(schema)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, stats.count()))
-    wanted = with_content(_files(spark, path)).join(stats.select("path", "group", F.col(first_id).alias("first") if first_id else F.lit(0).cast("long").alias("first")), "path")
+    each = F.struct("group", F.col(first_id).alias("first") if first_id else F.lit(0).cast("long").alias("first"))
+    spans = stats.groupBy("path", F.expr(f"bytes_before div {READ_BYTES}").alias("span")).agg(F.sort_array(F.collect_list(each)).alias("wanted")).drop("span")
+    parts = max(1, min(10_000, spans.count()))
+    spans = with_content(_files(spark, path)).join(spans.select("path", F.col("wanted.group").alias("numbers"), F.col("wanted.first").alias("firsts")), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content, group, number in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for name, content, groups, firsts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 with open_file(name, content) as raw:
-                    for part in pq.ParquetFile(raw).iter_batches(4096, row_groups=[group], columns=target.names):
-                        table = pa.Table.from_batches([part]).select(target.names).cast(target).combine_chunks()
-                        table = table.filter(table[geometry].is_valid())
-                        if first_id:
-                            table = table.append_column("id", pa.array(np.arange(number, number + len(table)), pa.int64()))
-                            number += len(table)
-                        yield from table.combine_chunks().to_batches()
+                    file = pq.ParquetFile(raw)
+                    for group, number in zip(groups, firsts, strict=True):
+                        for part in file.iter_batches(4096, row_groups=[group], columns=target.names):
+                            table = pa.Table.from_batches([part]).select(target.names).cast(target).combine_chunks()
+                            table = table.filter(table[geometry].is_valid())
+                            if first_id:
+                                table = table.append_column("id", pa.array(np.arange(number, number + len(table)), pa.int64()))
+                                number += len(table)
+                            yield from table.combine_chunks().to_batches()
 
-    return wanted.repartition(parts).mapInArrow(run, full)
+    return spans.repartition(parts).mapInArrow(run, full)
 
 
 def read_geoparquet(
@@ -185,7 +193,7 @@ def read_geoparquet(
     columns: only these attributes are read. box (min_x, min_y, max_x, max_y): only rows whose own box meets it, by the
     flat columns that write_geoparquet() adds; row groups that their statistics rule out are not read.
     Whole reads go through Spark's vectorised reader, which prunes columns and row groups itself; geometry_col spares the
-    look into a footer. Reads by row group, and with ids, are tasks a row group. ids: a column `id`, 0 to n - 1 over all
+    look into a footer. Reads by row group, and with ids, are tasks a span of row groups. ids: a column `id`, 0 to n - 1 over all
     rows with a geometry, in the order of files and rows, from the counts in footers."""
     column = geometry_col or geoparquet_footer(spark, path).first()["geometry_column"]
     df = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
@@ -194,7 +202,9 @@ def read_geoparquet(
     if row_groups == []:
         df = spark.createDataFrame([], df.schema.add("id", "long") if ids else df.schema)
     elif row_groups is not None or ids:
-        stats = row_group_stats(spark, path, row_groups)
+        kept_stats = scratch(spark, "groups")
+        row_group_stats(spark, path, row_groups).write.parquet(kept_stats)  # footers are looked into once
+        stats = spark.read.parquet(kept_stats)
         if ids:
             stats = _numbered(stats if row_groups is None else _counted(stats))
         df = _row_groups(spark, path, _meeting(stats, box), df.schema, column, "first_id" if ids else None)
@@ -245,13 +255,14 @@ def write_geoparquet(df: DataFrame, path: str, row_group_rows: int = 10_000, rin
 #: A Parquet file ends in PAR1. Its last byte is left to the text sink, whose separator it is: so files of our own making
 #: go through Spark's committer, to any store that Spark can write.
 _LAST = "1"
-#: Bytes of a file at which a task begins another.
-FILE_BYTES = 64 << 20
+#: Bytes and row groups of a file at which a task begins another; footers, which are read whole, grow with the groups.
+FILE_BYTES, FILE_GROUPS = 64 << 20, 1000
 
 
 def _encoder(row_group_rows: int, geo: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = writer = held = None
+        groups = 0
 
         def closed() -> pa.RecordBatch:
             writer.close()
@@ -267,10 +278,10 @@ def _encoder(row_group_rows: int, geo: str) -> Callable[[Iterator[pa.RecordBatch
             while len(held) >= row_group_rows:
                 if writer is None:
                     sink = pa.BufferOutputStream()
-                    writer = pq.ParquetWriter(sink, held.schema)
+                    writer, groups = pq.ParquetWriter(sink, held.schema), 0
                 writer.write_table(held.slice(0, row_group_rows), row_group_size=row_group_rows)
-                held = held.slice(row_group_rows)
-                if sink.tell() >= FILE_BYTES:
+                held, groups = held.slice(row_group_rows), groups + 1
+                if sink.tell() >= FILE_BYTES or groups >= FILE_GROUPS:
                     yield closed()
                     writer = None
         if held is not None and (len(held) or writer is not None):

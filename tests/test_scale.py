@@ -244,3 +244,17 @@ def test_first_row_groups_of_many_files(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     assert got == duck.execute(ORACLE_SQL["s05_row_groups"]).fetchone()
+
+
+def test_neighbouring_row_groups_are_read_together(spark, tmp_path, monkeypatch):
+    """Files end after so many row groups; a task opens a file once for many of them, ids and rows as in the files."""
+    monkeypatch.setattr(geoparquet, "FILE_GROUPS", 30)
+    path = str(tmp_path / "wards")
+    stored_wards(spark, path, n=400, parts=1, group=5)
+    assert geoparquet.geoparquet_footer(spark, path).agg(F.max("row_group_count"), F.count("*")).first()[:2] == (30, 3)
+    read = geoparquet.read_geoparquet(spark, path, ids=True)
+    assert read.rdd.getNumPartitions() == 3  # 80 row groups
+    rows = read.orderBy("id").collect()
+    assert [(r["id"], r["k"]) for r in rows] == list(enumerate(k for k in range(400) if k % 7 != 3))
+    monkeypatch.setattr(geoparquet, "READ_BYTES", 1000)
+    assert geoparquet.read_geoparquet(spark, path, ids=True).orderBy("id").collect() == rows
