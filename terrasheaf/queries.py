@@ -544,7 +544,7 @@ def _(s, d):
 def _(s, d):
     path = scratch(s, "wards")
     w = wards(s, d).filter("cast(ward_code as long) % 97 <> 0")
-    GP.write_geoparquet(w.repartitionByRange(4, F.get(F.get("rings", F.lit(0)), F.lit(0))["x"]).sortWithinPartitions(F.get(F.get("rings", F.lit(0)), F.lit(0))["x"]), path, row_group_rows=50)
+    GP.write_geoparquet(w.repartitionByRange(F.get(F.get("rings", F.lit(0)), F.lit(0))["x"]).sortWithinPartitions(F.get(F.get("rings", F.lit(0)), F.lit(0))["x"]), path, row_group_rows=50)
     return GP.read_geoparquet(s, path, ids=True, columns=["ward_code", "population"], box=(136.2, 35.1, 136.25, 35.3)).select("ward_code", "population")
 
 
