@@ -83,17 +83,39 @@ def offered_tags(catalog: DataFrame, rare: DataFrame, counts: DataFrame) -> Data
     return rows.filter("used is null or used").select("id", "tags", "tag", F.pmod(F.xxhash64("id"), F.coalesce("_slots", F.lit(1))).cast("int").alias("slot"))
 
 
-def bind_datasets(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(request_id, id) for each record with all of a request's tags (array `required`); no tags: no match.
+def matching_sets(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """(required, tags): the distinct sets of tags asked for, each with the distinct sets offered that hold all of it.
 
-    A request meets only records with its rarest tag, and the others of its tags are looked for there; so a tag that most
-    records have is no key of the join unless a request has no other. Such a tag's records are dealt to several slots,
-    each of which the request goes to. Repeated tags count once."""
+    A set meets only those with its rarest tag, and the others of its tags are looked for there; so a tag that most have is
+    no key of the join unless a set has no other. Such a tag's sets are dealt to several slots, each of which is asked."""
+    requests, catalog = asked.select(F.col("required").alias("request_id"), "required").distinct(), offered.select(F.col("tags").alias("id"), "tags").distinct()
     counts = tag_counts(catalog)
     rare = rarest_tags(requests, counts)
     asked = rare.select("request_id", "required", "tag", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
     met = asked.join(offered_tags(catalog, rare, counts), ["tag", "slot"])
-    return met.filter(X.has_all_tags(F.col("tags"), F.col("required"))).select("request_id", "id").distinct()
+    return met.filter(X.has_all_tags(F.col("tags"), F.col("required"))).select("required", "tags")
+
+
+def bind_datasets(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(request_id, id) for each record with all of a request's tags (array `required`); no tags: no match.
+
+    Tags are compared once for each pair of different sets of tags, whatever the number of requests and records that share
+    them; then records and requests meet by the set asked for, so no pair is made that is not a result. The records of a
+    set that very many answer are dealt to slots. Repeated tags, requests and records count once."""
+    once = lambda tags: F.array_sort(F.array_distinct(tags))
+    offered, asked = catalog.select("id", once("tags").alias("tags")), requests.select("request_id", once("required").alias("required"))
+    rows = offered.join(matching_sets(asked, offered), "tags").select("required", "id").distinct()
+    hot = F.broadcast(rows.groupBy("required").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_RECORDS).select("required", F.ceil(F.col("_n") / HOT_RECORDS).cast("int").alias("_slots")))
+    dealt = rows.join(hot, "required", "left").select("required", "id", F.pmod(F.xxhash64("id"), F.coalesce("_slots", F.lit(1))).cast("int").alias("slot"))
+    sets = asked.groupBy("request_id").agg(F.collect_set("required").alias("sets"))
+
+    def met(some: DataFrame) -> DataFrame:
+        each = some.select("request_id", F.explode("sets").alias("required")).join(hot, "required", "left")
+        slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
+        return each.select("request_id", "required", F.explode(slots).alias("slot")).join(dealt, ["required", "slot"]).select("request_id", "id")
+
+    # an id that asks for one set meets a record once
+    return met(sets.filter("size(sets) = 1")).unionByName(met(sets.filter("size(sets) > 1")).distinct())
 
 
 def match_dataset(requests: DataFrame, catalog: DataFrame) -> DataFrame:
