@@ -138,14 +138,31 @@ def analysis_summary(df: DataFrame, goal: str, dataset: str, crs: str, expected:
     return df.agg(*_facts(df), top).select(F.lit(goal).alias("goal"), F.lit(dataset).alias("dataset"), F.col("n").alias("feature_count"), F.lit(UNIT).alias("unit"), F.lit(crs).alias("crs"), passed.alias("all_passed"), F.col("top.ward_name").alias("top_name"), F.col("top.density_per_km2").alias("top_density"))
 
 
-def attach_sources(df: DataFrame, citations: list[str] | DataFrame, key: str = "dataset_id") -> DataFrame:
+#: A key with more rows than this, and than a SOURCE_KEYS-th of all rows, is hot; so many keys can be, at most.
+SOURCE_ROWS, SOURCE_KEYS = 1000, 10_000
+
+
+def attach_sources(df: DataFrame, citations: list[str] | DataFrame, key: str = "dataset_id", joined: str | None = None) -> DataFrame:
     """df with `sources`: the same citations for each row, or, of a table (key, citation), those of the row's key, distinct
-    and in order. A key without any, or null: an empty array. The citations of one key are what a person reads, few."""
+    and in order. A key without any, or null: an empty array. The citations of one key are what a person reads, few.
+
+    joined: `sources` is one text, its citations joined by this, made once a key. Rows of hot keys are dealt evenly to all
+    tasks, where the citations of these keys are broadcast; only the others meet theirs by key."""
     none = F.array().cast("array<string>")
     if isinstance(citations, list):
-        return df.withColumn("sources", F.array(*map(F.lit, citations)).cast("array<string>"))
+        listed = F.array(*map(F.lit, citations)).cast("array<string>")
+        return df.withColumn("sources", listed if joined is None else F.array_join(listed, joined))
     by_key = citations.filter(F.col("citation").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("citation")).alias("sources"))
-    return df.join(by_key, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("sources", F.coalesce("sources", none))
+    if joined is not None:
+        by_key, none = by_key.select("_key", F.array_join("sources", joined).alias("sources")), F.lit("")
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))
+    hot = F.broadcast(counts.join(total).filter(F.col("_n") > F.greatest(F.lit(SOURCE_ROWS), F.expr(f"_total div {SOURCE_KEYS}"))).select("_hot"))
+    marked = df.join(hot, F.col(key) == F.col("_hot"), "left")
+    few = F.broadcast(by_key.join(hot, F.col("_key") == F.col("_hot"), "left_semi"))
+    many = marked.filter("_hot is not null").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).join(few, F.col(key) == F.col("_key"), "left")
+    met = many.unionByName(marked.filter("_hot is null").join(by_key, F.col(key) == F.col("_key"), "left"))
+    return met.drop("_key", "_hot").withColumn("sources", F.coalesce("sources", none))
 
 
 def join_population(boundaries: DataFrame, population: DataFrame) -> DataFrame:

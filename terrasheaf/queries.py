@@ -1036,7 +1036,7 @@ def _(s, d):
     # a customer's nation stands for the dataset, a nation's suppliers for what is cited; each citation is given twice
     customers = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("dataset_id"))
     cited = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("dataset_id"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).alias("citation"))
-    return D.attach_sources(customers, cited.unionByName(cited)).select("c_custkey", F.array_join("sources", "; ").alias("sources"))
+    return D.attach_sources(customers, cited.unionByName(cited), joined="; ").select("c_custkey", "sources")
 
 
 @query("x01_more_functions", """SELECT ward_code, CASE WHEN z>=1 THEN 0 WHEN z>=0.5 THEN 1 ELSE 3 END AS lod, cls AS density_class, ['#edf4fc','#bfd8f2','#72ade0','#3372bf','#0c3f8c'][cls+1] AS color, len(ring) AS n_closed,

@@ -258,3 +258,29 @@ def test_neighbouring_row_groups_are_read_together(spark, tmp_path, monkeypatch)
     assert [(r["id"], r["k"]) for r in rows] == list(enumerate(k for k in range(400) if k % 7 != 3))
     monkeypatch.setattr(geoparquet, "READ_BYTES", 1000)
     assert geoparquet.read_geoparquet(spark, path, ids=True).orderBy("id").collect() == rows
+
+
+def test_tags_are_compared_once_for_a_set(spark, monkeypatch):
+    """Records and requests of equal tags share one comparison; repeated ids and sets give a pair once."""
+    records = [(f"r{k}", ["all", f"g{k % 3}"][:: 1 if k % 2 else -1]) for k in range(300)] + [("r0", ["all", "g1"])]
+    requests = [(f"q{k}", ["g1", "all", "g1"]) for k in range(50)] + [("q0", ["all"]), ("q0", ["all"]), ("none", None)]
+    offered, asked = spark.createDataFrame(records, "id string, tags array<string>"), spark.createDataFrame(requests, "request_id string, required array<string>")
+    once = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("tags", "required")]
+    assert catalog.matching_sets(asked.select(once[1]), offered.select(once[0])).count() == 4
+    want = sorted({(q, i) for q, need in requests for i, have in records if need and set(need) <= set(have)})
+    for hot in (100_000, 20):
+        monkeypatch.setattr(catalog, "HOT_RECORDS", hot)
+        assert sorted(tuple(r) for r in catalog.bind_datasets(asked, offered).collect()) == want
+
+
+def test_rows_of_a_hot_key_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(density, "SOURCE_ROWS", 50)
+    rows = spark.range(400).select("id", F.when(F.col("id") % 10 > 0, F.lit(1)).when(F.col("id") % 20 > 0, F.col("id")).alias("dataset_id")).coalesce(1)
+    cited = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (10, "c"), (30, None)], "dataset_id long, citation string")
+    got = density.attach_sources(rows, cited)
+    want = {k: ["a", "b"] if k % 10 else ["c"] if k == 10 else [] for k in range(400)}
+    assert {r["id"]: r["sources"] for r in got.collect()} == want and got.columns == ["id", "dataset_id", "sources"]
+    tasks = got.filter("dataset_id = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 120
+    texts = density.attach_sources(rows, cited, joined="; ")
+    assert {r["id"]: r["sources"] for r in texts.collect()} == {k: "; ".join(v) for k, v in want.items()}
