@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import RANGED, listed, open_file
+from .files import RANGED, listed, open_file, scratch
 
 #: Bytes of a range, and of what a task looks at in one step.
 SPLIT_BYTES, STEP_BYTES = 32 << 20, 4 << 20
+#: So many ranges have a task each; of more, small ones share tasks of SPLIT_BYTES.
+RANGE_TASKS = 200
 _QUOTE, _BACKSLASH, _COMMA = b'"\\,'
 _DEPTH = np.zeros(256, np.int8)
 _DEPTH[list(b"{[")] = 1
@@ -193,7 +195,8 @@ def feature_texts(spark: SparkSession, path: str | list[str], split_bytes: int =
 
     The text is UTF-8. Two members of that name: the last one counts. Nothing is checked beyond the structure."""
     files = listed(spark, path).filter("length > 0").select("path", "length")
-    n = max(1, min(10_000, files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1))
+    count, total = files.agg(F.sum(F.ceil(F.col("length") / split_bytes)), F.sum("length")).first()
+    n = max(1, min(10_000, count or 1, max(RANGE_TASKS, -(-(total or 0) // SPLIT_BYTES))))
     starts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = starts.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end")).repartition(n)
     first = _mapped(ranges, "path string, start long, end long, flips long, plain long, quoted long", _first_pass)
@@ -210,6 +213,9 @@ def feature_texts(spark: SparkSession, path: str | list[str], split_bytes: int =
     cuts = before("last", "closes", "close_commas") - before("first", "opens", "open_commas") + holds.cast("long")
     counted = shut.withColumn("cuts", F.when(F.col("last").isNotNull(), cuts).otherwise(0))
     numbered = counted.select("path", "start", "end", "inside", "depth", F.col("first").alias("opens"), F.col("last").alias("closes"), "cuts", F.coalesce(F.sum("cuts").over(earlier), F.lit(0)).alias("before"))
+    kept = scratch(spark, "ranges")
+    numbered.write.parquet(kept)  # the first two passes are made once, for features and for roots
+    numbered = spark.read.parquet(kept)
     elements = _mapped(numbered.filter("cuts > 0").drop("cuts").repartition(n), "path string, id long, element string", _third_pass)
     spans = numbered.groupBy("path").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
     roots = _mapped(spans, "path string, root string", _root).join(spans.select("path", F.col("closes").isNotNull().alias("complete")), "path")

@@ -72,3 +72,11 @@ def test_several_files_and_errors(spark, tmp_path):
         (tmp_path / "bad.json").write_text(text)
         with pytest.raises(Exception, match=says):
             json_features.read_geojson(spark, str(tmp_path / "bad.json"), 16)[0].collect()
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_splits, "RANGE_TASKS", 5)
+    (tmp_path / "big.geojson").write_text(document(300, random.Random(6)))
+    elements, _ = json_splits.feature_texts(spark, str(tmp_path / "big.geojson"), 500)
+    assert elements.rdd.getNumPartitions() == 5
+    assert [r["id"] for r in elements.select("id").orderBy("id").collect()] == list(range(300))
