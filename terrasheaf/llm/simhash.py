@@ -247,8 +247,8 @@ def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """(doc, digest, b0 .. b3, n, code, keys): digest, parity codes and size of each set of shingles, and the prefix of it, in
-    the common order, that it shares a member of with every set of that similarity."""
+    """(doc, fp, digest, b0 .. b3, n, code, keys): SimHash, digest, parity codes and size of each set of shingles, and the
+    prefix of it, in the common order, that it shares a member of with every set of that similarity."""
     place = np.argsort(last)
     shared = docs.sparkSession.sparkContext.broadcast((last[place], place))
 
@@ -272,9 +272,10 @@ def _sketch(docs: DataFrame, width: int, similarity: float, last: np.ndarray) ->
             keys = hashes[common.ragged(n) < np.repeat(take, n)].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(keys))
             codes = [pa.array(x.view(np.int64)) for x in bits]
-            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), pa.array(digest.view(np.int64)), *codes, pa.array(n, pa.int64()), _long_codes(hashes, n), lists], names=["doc", "digest", *PARITY, "n", "code", "keys"])
+            fp = pa.array(majority_bits(hashes, n).view(np.int64))
+            yield pa.RecordBatch.from_arrays([common.column(batch, "doc"), fp, pa.array(digest.view(np.int64)), *codes, pa.array(n, pa.int64()), _long_codes(hashes, n), lists], names=["doc", "fp", "digest", *PARITY, "n", "code", "keys"])
 
-    return docs.mapInArrow(common.tidy(run), f"doc long, digest long, {', '.join(f'{c} long' for c in PARITY)}, n long, code binary, keys array<long>")
+    return docs.mapInArrow(common.tidy(run), f"doc long, fp long, digest long, {', '.join(f'{c} long' for c in PARITY)}, n long, code binary, keys array<long>")
 
 
 def _long_codes(hashes: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -341,6 +342,17 @@ def _may(a: str, b: str, similarity: float) -> str:
     )
 
 
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): documents whose SimHash fingerprints link: by equal ones, and by those of up to MAX_BITS differing bits that
+    the pivot table finds. A star a component, as in links()."""
+    prints = common.written(classes.groupBy("fp").agg(F.min("doc").alias("lead"), F.count("*").alias("n")), "prints")
+    alike = common.join_hot(classes.select("doc", "fp"), prints.filter("n > 1").select("fp", "lead"), ["fp"], prints.select("fp", "n"), "n").filter("doc <> lead")
+    x, y = (prints.select(F.col("fp").alias(c), F.col("lead").alias(f"doc_{c}")) for c in "ab")
+    near = links(prints.select("fp")).join(x, "a").join(y, "b").select("doc_a", "doc_b")
+    pairs = alike.select(F.col("doc").alias("doc_a"), F.col("lead").alias("doc_b")).unionByName(near)
+    return pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
 _PAIR = ("least(x.doc, y.doc) as a", "greatest(x.doc, y.doc) as b")
 _ROW = ("doc", "n", *PARITY, "place", "root")
 
@@ -404,13 +416,15 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc_
     """(doc_id, component_id) of the documents that have words: component_id is the smallest doc_id of the texts that
     chains of pairs connect whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`.
 
+    Fingerprints of the sets, within MAX_BITS bits by the pivot table, propose pairs first, which are verified on texts. What
+    no such pair joins is sought on by prefixes, since similar texts may differ in more bits.
     Exact up to equal 64-bit hashes: similar sets share a member of their prefixes in any common order, here rare
     shingles first; every pair of a shared key is verified unless bounds refuse it or a component joins it already.
     Equal sets are one from the start. Texts without words are left out, as are null ids. Empty table: empty result."""
     ids = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     sketch = common.written(_sketch(ids, width, similarity, _common_shingles(ids, width)), "sketch")
     same = ["digest", "b0", "n"]
-    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in (*PARITY[1:], "code", "keys")))
+    classes = sketch.filter("n > 0").groupBy(*same).agg(F.min("doc").alias("doc"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in (*PARITY[1:], "fp", "code", "keys")))
     classes = common.written(classes, "classes")
     with common.passing(docs.sparkSession) as keep:
         roots_ = _joined_classes(classes, ids, width, similarity)
@@ -426,11 +440,14 @@ def _joined_classes(classes: DataFrame, ids: DataFrame, width: int, similarity:
     """(node, root) of classes that similar pairs join; none: null."""
     shared = common.written(_shared_keys(classes).join(classes.select("doc", "n", *PARITY), "doc"), "shared")
     seen, edges, roots_ = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(-1, STAR_ROUNDS + 1):
         blocks = shared.withColumn("root", F.col("doc"))
         if roots_ is not None:
             blocks = shared.join(roots_, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", *PARITY, "place", F.coalesce("root", "doc").alias("root"))
-        pairs = _star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity)
+        if turn < 0:
+            pairs = _fingerprint_pairs(classes)
+        else:
+            pairs = _star_pairs(blocks, turn, similarity) if turn < STAR_ROUNDS else _open_pairs(blocks, similarity)
         pairs = common.written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
         close = common.written(_close_pairs(pairs, classes, similarity), "close")

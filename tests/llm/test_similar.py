@@ -102,3 +102,13 @@ def test_pairs_that_meet_in_a_large_block_alone(spark):
     line = [f"c{k}" for k in range(12)]
     rows = [(i, " ".join([*line, *(f"u{i % 300}.{k}" for k in range(12)), *(["end"] if i >= 300 else [])])) for i in range(600)]
     assert found(spark, rows) == brute(rows)
+
+
+def test_fingerprints_join_near_copies(spark, monkeypatch):
+    """SimHash proposes pairs by itself, prefixes do not stand in for it; a pair that is not similar is refused on texts."""
+    monkeypatch.setattr(simhash, "_star_pairs", lambda blocks, *_: blocks.selectExpr("doc as a", "doc as b").limit(0))
+    monkeypatch.setattr(simhash, "_open_pairs", lambda blocks, *_: blocks.selectExpr("doc as a", "doc as b").limit(0))
+    base = " ".join(f"w{k}" for k in range(3000))
+    rows = [(5, base), (7, base + " end"), (9, base), (11, " ".join(f"v{k}" for k in range(3000)))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {5: 5, 7: 5, 9: 5, 11: 11}
