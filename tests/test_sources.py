@@ -131,3 +131,16 @@ def test_sql_functions_equal_the_column_forms(spark):
     for sql, column in pairs.items():
         assert spark.sql(f"select {sql} v from shapes").first()["v"] == df.select(column.alias("v")).first()["v"], sql
     assert spark.sql("select equal_interval(1D, 5D, 4) v").first()["v"] == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_stac_items_in_lines(spark, tmp_path):
+    """Suppliers' items take a bounded number of files; lines read as files of their own do."""
+    items = [{"type": "Feature", "id": f"i{k}", "bbox": [k, 0, 1, 2], "assets": {"d": {"href": "a"}}} for k in range(5)]
+    (tmp_path / "a.ndjson").write_text("\n".join(map(json.dumps, items)))
+    for k, item in enumerate(items):
+        (tmp_path / f"{k}.json").write_text(json.dumps(item))
+    read = lambda df: sorted(map(str, df.drop("endpoint_file").collect()))
+    assert read(J.read_stac_item(spark, str(tmp_path / "a.ndjson"), lines=True)) == read(J.read_stac_item(spark, str(tmp_path / "*.json")))
+    (tmp_path / "b.ndjson").write_text('{"type": "Collection", "id": "c"}')
+    with pytest.raises(Exception, match="no STAC item"):
+        J.read_stac_item(spark, str(tmp_path / "b.ndjson"), lines=True).collect()
