@@ -22,8 +22,9 @@ from . import common
 #: The side table of the files' totals; Spark's readers of the folder above pass it by.
 TOTALS = "_totals"
 END_ID = 1
-#: Distinct words whose ids a Python worker remembers; above it, it starts anew. Bytes of text looked up together.
-CACHE_WORDS, LOOKUP_BYTES = 1_000_000, 8 << 20
+#: Distinct words whose ids a Python worker remembers; above it, it starts anew. Bytes of text looked up together. Each
+#: lookup hashes the remembered words, and an executor holds a worker for each of its cores.
+CACHE_WORDS, LOOKUP_BYTES = 300_000, 4 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "compression": "zstd"}
 
 #: The rules of word_bpe_49k.json, which let words be encoded one by one.
@@ -63,11 +64,13 @@ class WordEncoder:
         self.begin = self.count = np.zeros(0, np.int64)
 
     def learn(self, words: pa.Array, together: int = 200) -> None:
-        """Encodes words in lines of many; each id goes to the word in which its text starts."""
-        texts = words.to_pylist()
-        lines = [texts[k : k + together] for k in range(0, len(texts), together)]
+        """Encodes words in lines of many; each id goes to the word in which its text starts.
+
+        Lines go one by one: a batch would hold all their encodings at once, in threads beyond the task's core."""
         ids, counts = [self.ids], []
-        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for k in range(0, len(words), together):
+            line = words.slice(k, together).to_pylist()
+            e = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
             sizes = np.fromiter(map(len, line), np.int64, len(line))
             starts = np.cumsum(sizes + 1) - sizes - 1
             at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
@@ -83,7 +86,7 @@ class WordEncoder:
         """(ids of all texts one after the other, number of ids of each text); null is empty."""
         text = pc.fill_null(text.cast(pa.string()), "")
         if not self.by_word or any(pc.any(pc.match_substring(text, s)).as_py() for s in self.special):
-            found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(text.to_pylist(), add_special_tokens=False)]
+            found = [np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, np.int32) for t in text]
             return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(text, r"([A-Za-z])([.,;:!?])", r"\1 \2"))
         words = lists.flatten().dictionary_encode()
@@ -93,12 +96,17 @@ class WordEncoder:
             self.forget()
         place = pc.index_in(own, self.words)
         if place.null_count:
-            self.learn(own.filter(pc.is_null(place)).unique())
-            place = pc.index_in(own, self.words)
+            missing = pc.is_null(place)
+            lost, known = own.filter(missing), len(self.words)
+            new = lost.unique()
+            self.learn(new)
+            place = pc.replace_with_mask(place, missing, pc.add(pc.index_in(lost, new), pa.scalar(known, pa.int32())))
         at = place.to_numpy()[words.indices.to_numpy()]
         counts = self.count[at]
-        ids = self.ids[np.repeat(self.begin[at], counts) + common.ragged(counts)]
         ends = np.r_[0, np.cumsum(counts)]
+        source = np.repeat(self.begin[at] - ends[:-1], counts)
+        source += np.arange(len(source))
+        ids = self.ids[source]
         doc = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return ids, ends[doc[1:]] - ends[doc[:-1]]
 
